@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -18,29 +21,42 @@ CAPACITY, END_ID = 4096, 1
 BUCKETS = 64
 
 
+#: Texts of these characters and without special strings are split here, others by the tokenizer itself.
+PLAIN = re.compile(r"(?!.*<\|(?:start|end)oftext\|>)[\t\n\r -~\u00a0-\u012f\u0131-\u017f]*", re.S)
+#: The tokenizer's own split of lower-cased text, for the characters of PLAIN.
+SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_²³¹¼½¾]+|[\d²³¹¼½¾]|(?:[^\w\s]|_)+")
+
+
 class WordTokens:
-    """Token ids of a text as little-endian bytes, from the ids of its space-separated words.
+    """Token ids of a text as little-endian bytes, put together from the ids of its words.
 
-    The tokenizer drops white space, never joins letters across it, and holds no special string with a
-    space, so a text's ids are its words' ids in order. Words are remembered up to a bound.
+    The tokenizer lower-cases, drops white space and never joins what its split keeps apart, so a text's
+    ids are its words' ids in order. Words are remembered up to a bound; only new ones are encoded.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.seen = Tokenizer.from_file(path), most, {"": b""}
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
+        self.whole = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            kind = json.load(f)
+        kind["normalizer"] = None
+        kind["pre_tokenizer"] = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+        self.word, self.most, self.seen = Tokenizer.from_str(json.dumps(kind)), most, {}
 
     def __call__(self, text: str) -> bytes:
-        words = text.replace("\n", " ").split(" ")
+        if not PLAIN.fullmatch(text):
+            return np.asarray(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        words = SPLIT.findall(text.lower())
         seen = self.seen
         try:
             return b"".join(map(seen.__getitem__, words))
         except KeyError:
             if len(seen) > self.most:
                 seen.clear()
-                seen[""] = b""
             new = list({w for w in words if w not in seen})
-            for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+            for w, e in zip(new, self.word.encode_batch_fast(new, add_special_tokens=False)):
                 seen[w] = np.asarray(e.ids, "<u4").tobytes()
             return b"".join(map(seen.__getitem__, words))
 

@@ -1,11 +1,21 @@
 """The corpus queries by name, and the SQL of those that SQL can express."""
 
+from panelforge.llm import reputation
+from panelforge.llm.jaccard import op4_ngram_jaccard
+from panelforge.llm.language import op5_language
+from panelforge.llm.neighbours import op9_neighbours
 from panelforge.llm.packing import op2_packing
 from panelforge.llm.quality import op3_quality
+from panelforge.llm.tiling import op10_tiling
 
 QUERIES = {
     "op2_packing": op2_packing,
     "op3_quality": op3_quality,
+    "op4_ngram_jaccard": op4_ngram_jaccard,
+    "op5_language": op5_language,
+    "op7_reputation": reputation.op7_reputation,
+    "op9_neighbours": op9_neighbours,
+    "op10_tiling": op10_tiling,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op7_reputation": reputation.SQL}
