@@ -34,7 +34,7 @@ class WordTokens:
     ids are its words' ids in order. Words are remembered up to a bound; only new ones are encoded.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 600_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
@@ -43,22 +43,32 @@ class WordTokens:
             kind = json.load(f)
         kind["normalizer"] = None
         kind["pre_tokenizer"] = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
-        self.word, self.most, self.seen = Tokenizer.from_str(json.dumps(kind)), most, {}
+        self.part, self.most = Tokenizer.from_str(json.dumps(kind)), most
+        self.words: dict[str, bytes] = {"": b""}  # between spaces, as written
+        self.parts: dict[str, bytes] = {}  # as the tokenizer splits them
 
     def __call__(self, text: str) -> bytes:
         if not PLAIN.fullmatch(text):
             return np.asarray(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        words = SPLIT.findall(text.lower())
-        seen = self.seen
+        words = text.replace("\n", " ").split(" ")
         try:
-            return b"".join(map(seen.__getitem__, words))
+            return b"".join(map(self.words.__getitem__, words))
         except KeyError:
-            if len(seen) > self.most:
-                seen.clear()
-            new = list({w for w in words if w not in seen})
-            for w, e in zip(new, self.word.encode_batch_fast(new, add_special_tokens=False)):
-                seen[w] = np.asarray(e.ids, "<u4").tobytes()
-            return b"".join(map(seen.__getitem__, words))
+            self._learn({w for w in words if w not in self.words}, words)
+            return b"".join(map(self.words.__getitem__, words))
+
+    def _learn(self, new: set[str], words: list[str]) -> None:
+        if len(self.words) > self.most:
+            self.words = {"": b""}
+            new = set(words)
+        if len(self.parts) > self.most:
+            self.parts = {}
+        split = {w: SPLIT.findall(w.lower()) for w in new}
+        unknown = list({p for ps in split.values() for p in ps if p not in self.parts})
+        for p, e in zip(unknown, self.part.encode_batch_fast(unknown, add_special_tokens=False)):
+            self.parts[p] = np.asarray(e.ids, "<u4").tobytes()
+        for w, ps in split.items():
+            self.words[w] = self.parts[ps[0]] if len(ps) == 1 else b"".join(map(self.parts.__getitem__, ps))
 
 
 _tokens: dict[str, WordTokens] = {}
