@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
@@ -185,3 +185,44 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     return stars.select(F.col("u").alias("node"), "root").unionByName(
         stars.select(F.col("root").alias("node"), "root").distinct()
     )
+
+
+def _flagged(df: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """``df`` with __maybe: whether ``column`` may be among ``wanted.id``, by a bitmap of 2^24 bits.
+
+    The bitmap has 512 rows of 512 longs, however many ids there are, so it can be broadcast.
+    """
+
+    def parts(c: Column) -> tuple[Column, Column, Column]:
+        h = F.pmod(F.xxhash64(c), F.lit(1 << 24))
+        return F.shiftright(h, 15).cast("int"), F.shiftright(h, 6).bitwiseAND(F.lit(511)).cast("int"), h.bitwiseAND(F.lit(63)).cast("int")
+
+    b, w, p = parts(F.col("id").cast("long"))
+    words = wanted.select(b.alias("__b"), w.alias("w"), p.alias("p")).groupBy("__b", "w").agg(F.bit_or(F.expr("shiftleft(1L, p)")).alias("v"))
+    word = F.transform(F.sequence(F.lit(0), F.lit(511)), lambda i: F.coalesce(F.try_element_at("m", i.cast("int")), F.lit(0).cast("long")))
+    bits = (
+        words.groupBy("__b").agg(F.map_from_entries(F.collect_list(F.struct("w", "v"))).alias("m"))
+        .select("__b", word.alias("__bits"))
+    )
+    b, w, p = parts(F.col(column).cast("long"))
+    met = df.withColumns({"__b": b, "__w": w, "__p": p}).join(F.broadcast(bits), "__b", "left")
+    return met.withColumn("__maybe", F.coalesce(F.expr("bit_get(__bits[__w], __p) = 1"), F.lit(False))).drop("__b", "__w", "__p", "__bits")
+
+
+def thinned(df: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose ``column`` may be among the ids of ``wanted`` (column id), ahead of an exact join."""
+    return _flagged(df, column, wanted).where("__maybe").drop("__maybe")
+
+
+def parted(df: DataFrame, column: str, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows whose ``column`` may be among ``wanted.id``, rows that surely aren't), so that only the first need moving."""
+    f = _flagged(df, column, wanted)
+    return f.where("__maybe").drop("__maybe"), f.where("not __maybe").drop("__maybe")
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose doc_id isn't in ``ids.id``; rows with a null id stay. Other rows' texts aren't shuffled."""
+    ids = written(ids.select(F.col("id").cast("long").alias("id")).where("id is not null").distinct())
+    maybe, rest = parted(docs, "doc_id", ids)
+    gone = ids.withColumnRenamed("id", "__id")
+    return maybe.join(gone, F.col("doc_id").cast("long") == F.col("__id"), "left_anti").unionByName(rest)

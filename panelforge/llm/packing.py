@@ -34,7 +34,7 @@ class WordTokens:
     ids are its words' ids in order. Words are remembered up to a bound; only new ones are encoded.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 300_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
@@ -87,8 +87,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
         end = np.asarray([end_id], "<u4").tobytes()
         for b in batches:
             out: list[tuple] = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                own = ids(text) + end
+            for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
+                own = ids(text.as_py()) + end
                 for k, at in enumerate(range(0, len(own), 4 * capacity)):
                     part = own[at : at + 4 * capacity]
                     out.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)))
