@@ -4,6 +4,7 @@ from panelforge.llm import reputation
 from panelforge.llm.jaccard import op4_ngram_jaccard
 from panelforge.llm.language import op5_language
 from panelforge.llm.lines import op6_lines
+from panelforge.llm.mixing import op8_mixing
 from panelforge.llm.neighbours import op9_neighbours
 from panelforge.llm.packing import op2_packing
 from panelforge.llm.quality import op3_quality
@@ -16,6 +17,7 @@ QUERIES = {
     "op5_language": op5_language,
     "op6_lines": op6_lines,
     "op7_reputation": reputation.op7_reputation,
+    "op8_mixing": op8_mixing,
     "op9_neighbours": op9_neighbours,
     "op10_tiling": op10_tiling,
 }
