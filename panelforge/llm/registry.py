@@ -7,10 +7,12 @@ from panelforge.llm.lines import op6_lines
 from panelforge.llm.mixing import op8_mixing
 from panelforge.llm.neighbours import op9_neighbours
 from panelforge.llm.packing import op2_packing
+from panelforge.llm.passages import op1_passages
 from panelforge.llm.quality import op3_quality
 from panelforge.llm.tiling import op10_tiling
 
 QUERIES = {
+    "op1_passages": op1_passages,
     "op2_packing": op2_packing,
     "op3_quality": op3_quality,
     "op4_ngram_jaccard": op4_ngram_jaccard,
