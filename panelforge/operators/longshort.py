@@ -61,8 +61,8 @@ def monotonicity_score(spread: Column, monotonic: Column, sharpe: Column) -> Col
 
 def decile_table(values: DataFrame, n: int = 10) -> DataFrame:
     """factor_id, bucket, mean_return, cells: pooled over days, ties sharing a bucket."""
-    bucket = F.least(F.lit(n), F.greatest(F.lit(1), F.ceil(cs_rank("value") * n))).cast("int")
+    bucket = F.least(F.lit(n), F.greatest(F.lit(1), F.ceil(F.col("rank") * n))).cast("int")
     return (
-        values.withColumn("bucket", bucket).where("bucket is not null and fwd is not null")
+        values.withColumn("rank", cs_rank("value")).where("rank is not null and fwd is not null").withColumn("bucket", bucket)
         .groupBy("factor_id", "bucket").agg(F.avg("fwd").alias("mean_return"), F.count("*").alias("cells"))
     )
