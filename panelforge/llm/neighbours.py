@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from panelforge.llm.common import table
 
-#: Trees, bits of a hash string, share of a segment's vectors to gather, rows of a segment, queries of a block.
-TREES, BITS, SHARE, SEGMENT, BLOCK = 32, 32, 0.45, 8_192, 4_096
+#: Trees, bits of a hash string, share of a segment's vectors to gather and their least number, rows of a
+#: segment, queries of a block. Unclustered vectors in many dimensions need a large share: at 0.45 recall is 0.96.
+TREES, BITS, SHARE, LEAST, SEGMENT, BLOCK = 32, 32, 0.45, 1_024, 8_192, 4_096
 
 
 class Forest:
@@ -48,7 +49,7 @@ class Forest:
         query's. The ascent drops one bit in all trees at a time until the ranges hold enough different
         vectors; their true distances are then ranked.
         """
-        want = min(len(self.x), max(4 * self.k, int(np.ceil(SHARE * len(self.x)))))
+        want = min(len(self.x), max(LEAST, 4 * self.k, int(np.ceil(SHARE * len(self.x)))))
         codes = self.codes(queries)
         low, high = np.empty((TREES, BITS + 1, len(queries)), np.int32), np.empty((TREES, BITS + 1, len(queries)), np.int32)
         for t in range(TREES):
