@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from panelforge.functions.windows import TIME, both, clean, full, rolling
+from panelforge.functions.windows import both, clean, full, rolling, time
 
 #: Below this population variance a window that isn't constant has no moments of higher order.
 LEAST_VARIANCE = 1e-14
@@ -48,7 +48,7 @@ def operators() -> list[Operator]:
 
 
 def _lag(x: Column, n: int) -> Column:
-    return F.lag(x, n).over(TIME)
+    return F.lag(x, n).over(time())
 
 
 def _pct(x: Column, n: int) -> Column:

@@ -9,9 +9,20 @@ from __future__ import annotations
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
-TIME = Window.partitionBy("instrument").orderBy("date_idx")
-DAY = Window.partitionBy("factor_id", "date")
-SERIES = Window.partitionBy("factor_id").orderBy("date_idx")
+
+def time():
+    """An instrument's dates in order."""
+    return Window.partitionBy("instrument").orderBy("date_idx")
+
+
+def day():
+    """A factor's instruments on one date."""
+    return Window.partitionBy("factor_id", "date")
+
+
+def series():
+    """A factor's dates in order."""
+    return Window.partitionBy("factor_id").orderBy("date_idx")
 
 
 def clean(x: Column) -> Column:
@@ -20,7 +31,7 @@ def clean(x: Column) -> Column:
 
 
 def rolling(t: int):
-    return TIME.rowsBetween(-(t - 1), 0)
+    return time().rowsBetween(-(t - 1), 0)
 
 
 def full(x: Column, t: int, result: Column) -> Column:

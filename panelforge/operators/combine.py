@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelforge.functions.windows import SERIES
+from panelforge.functions.windows import series
 from panelforge.operators.metrics import cs_rank, daily_rank_ic
 
 
@@ -30,16 +30,16 @@ def ewma_weights(features: DataFrame, halflife: float, least: int, horizon: int)
     """
     dates = features.select("factor_id", "date", "date_idx").distinct()
     ic = dates.join(daily_rank_ic(features).select("factor_id", "date", "ic"), ["factor_id", "date"], "left")
-    upto = SERIES.rowsBetween(Window.unboundedPreceding, 0)
+    upto = series().rowsBetween(Window.unboundedPreceding, 0)
     last = F.max("date_idx").over(Window.partitionBy("factor_id"))
     grow = F.pow(F.lit(2.0), (F.col("date_idx") - last) / F.lit(float(halflife)))
     known = F.when(F.col("ic").isNotNull(), grow)
     mean = F.try_divide(F.sum(F.col("ic") * grow).over(upto), F.sum(known).over(upto))
     smooth = ic.withColumn("s", F.when(F.count("ic").over(upto) >= least, mean))
-    smooth = smooth.withColumn("s", F.greatest(F.lag("s", horizon + 1).over(SERIES), F.when(F.lag("s", horizon + 1).over(SERIES).isNotNull(), F.lit(0.0))))
-    day = Window.partitionBy("date")
-    total = F.sum("s").over(day)
-    n = F.count("*").over(day)
+    smooth = smooth.withColumn("s", F.greatest(F.lag("s", horizon + 1).over(series()), F.when(F.lag("s", horizon + 1).over(series()).isNotNull(), F.lit(0.0))))
+    on_day = Window.partitionBy("date")
+    total = F.sum("s").over(on_day)
+    n = F.count("*").over(on_day)
     return smooth.select("factor_id", "date", "date_idx", F.coalesce(F.when(total > 0, F.col("s") / total), 1 / n).alias("weight"))
 
 
@@ -53,7 +53,7 @@ def table(features: DataFrame, factors: list[str]) -> DataFrame:
     """One row per cell with a column x0, x1, ... per factor, and fwd as a rank around 0 (null where unknown)."""
     columns = [F.coalesce(F.max(F.when(F.col("factor_id") == f, F.col("value"))), F.lit(0.0)).alias(f"x{i}") for i, f in enumerate(factors)]
     cells = features.groupBy("date", "date_idx", "instrument", "inst_ord").agg(F.first("fwd").alias("fwd"), *columns)
-    return cells.withColumn("y", cs_rank("fwd", Window.partitionBy("date"), ("date",)) - 0.5)
+    return cells.withColumn("y", cs_rank("fwd", ("date",)) - 0.5)
 
 
 def gbt(features: DataFrame, factors: list[str], last_train: int, trees: int = 20, depth: int = 4, seed: int = 7) -> DataFrame:

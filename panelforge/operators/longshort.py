@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelforge.functions.windows import DAY
+from panelforge.functions.windows import day
 from panelforge.operators.metrics import cs_rank
 
 TRADING_DAYS = 252
@@ -13,8 +13,8 @@ TRADING_DAYS = 252
 
 def quantile_labels(values: DataFrame, n: int = 5) -> DataFrame:
     """``values`` with bucket 1 to n by rank (ties by instrument), null where the value is."""
-    place = F.row_number().over(DAY.orderBy(F.col("value").asc_nulls_last(), "inst_ord"))
-    share = place / F.count("value").over(DAY)
+    place = F.row_number().over(day().orderBy(F.col("value").asc_nulls_last(), "inst_ord"))
+    share = place / F.count("value").over(day())
     bucket = F.least(F.lit(n), F.greatest(F.lit(1), F.ceil(share * n))).cast("int")
     return values.withColumn("bucket", F.when(F.col("value").isNotNull(), bucket))
 

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelforge.functions.windows import DAY
+from panelforge.functions.windows import day
 
 
-def cs_rank(column: str, window=DAY, keys: tuple[str, ...] = ("factor_id", "date")) -> Column:
+def cs_rank(column: str, keys: tuple[str, ...] = ("factor_id", "date")) -> Column:
     """Percentile rank within the day, ties sharing their mean rank; null stays null and doesn't count."""
-    x = F.col(column)
+    x, window = F.col(column), Window.partitionBy(*keys)
     ties = F.count("*").over(Window.partitionBy(*keys, column))
     rank = F.rank().over(window.orderBy(x.asc_nulls_last()))
     return F.when(x.isNotNull(), (rank + (ties - 1) / 2) / F.count(x).over(window))
@@ -19,7 +19,7 @@ def cs_rank(column: str, window=DAY, keys: tuple[str, ...] = ("factor_id", "date
 def daily_pearson(df: DataFrame, x: str, y: str) -> DataFrame:
     """factor_id, date, date_idx, ic: each day's correlation over complete pairs; null under three or if constant."""
     ok = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    mid = ok.select("factor_id", "date", "date_idx", (F.col(x) - F.avg(x).over(DAY)).alias("x"), (F.col(y) - F.avg(y).over(DAY)).alias("y"))
+    mid = ok.select("factor_id", "date", "date_idx", (F.col(x) - F.avg(x).over(day())).alias("x"), (F.col(y) - F.avg(y).over(day())).alias("y"))
     xy, xx, yy = F.sum(F.col("x") * F.col("y")), F.sum(F.col("x") * F.col("x")), F.sum(F.col("y") * F.col("y"))
     return mid.groupBy("factor_id", "date", "date_idx").agg(F.when(F.count("*") >= 3, F.try_divide(xy, F.sqrt(xx * yy))).alias("ic"))
 
@@ -46,16 +46,16 @@ def coverage(values: DataFrame) -> DataFrame:
 
 def top_weights(values: DataFrame, share: float = 0.1) -> DataFrame:
     """``values`` with weight: equal over the day's top share (at least one), 0 elsewhere; ties by instrument."""
-    n = F.count("value").over(DAY)
+    n = F.count("value").over(day())
     k = F.rint(F.greatest(n * share, F.lit(1.0)))
-    place = F.row_number().over(DAY.orderBy(F.col("value").desc_nulls_last(), "inst_ord"))
+    place = F.row_number().over(day().orderBy(F.col("value").desc_nulls_last(), "inst_ord"))
     return values.withColumn("weight", F.when(F.col("value").isNotNull() & (place <= k), 1 / k).otherwise(F.lit(0.0)))
 
 
 def daily_turnover(values: DataFrame, share: float = 0.1) -> DataFrame:
     """factor_id, turnover: mean over active days but the first of the sum of weight changes since the last active day."""
     weighted = top_weights(values, share)
-    active = weighted.withColumn("active", F.sum("weight").over(DAY) > 0).where("active")
+    active = weighted.withColumn("active", F.sum("weight").over(day()) > 0).where("active")
     own = Window.partitionBy("factor_id", "instrument").orderBy("date_idx")
     moved = active.withColumn("moved", F.abs(F.col("weight") - F.lag("weight").over(own)))
     daily = moved.groupBy("factor_id", "date").agg(F.sum("moved").alias("turnover"))

@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelforge.functions.factors import operators
-from panelforge.functions.windows import TIME
 from panelforge.operators import backtest, combine, longshort, metrics, neutralize, robustness, zoo
 from panelforge.plans.compiler import factor_values, wide
 from panelforge.plans.formula import Formula, Node, Step
@@ -746,3 +745,14 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     b = basket(spark, sf_dir)
     return combine.mlp(b, list(BASKET), _last_train(b), rounds=15).select("date", "instrument", "pred")
+
+
+@query("mine_offline")
+def _(spark, sf_dir):
+    """Members that a short offline search admits on supplier months, under gates that are open but for turnover and likeness."""
+    from panelforge.search.proposer import TemplateProposer
+    from panelforge.search.tree import mine
+
+    found = zoo.Zoo(zoo.Criteria(-1.0, -10.0, 2.1, max_hac_pvalue=1.0, max_control_ic=1.0, min_block_frac=0.0, min_q_spread=-1e9))
+    mine(spark, with_forward(P.supplier_panel(spark, sf_dir)), TemplateProposer(), found, HORIZON, trees=1, budget=2, most_budget=2)
+    return found.table(spark).select("seq", "factor_id", "expression", "rank_ic", "rank_ir", "turnover", "coverage")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panelforge.functions.windows import TIME, clean
+from panelforge.functions.windows import clean, time
 
 FIELDS = ("open", "high", "low", "close", "volume", "vwap")
 
@@ -71,15 +71,15 @@ def supplier_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def forward_return(h: int) -> Column:
     """close[t + h] / close[t] - 1 over the grid."""
-    return clean(F.try_divide(F.lead("close", h).over(TIME), F.col("close")) - 1)
+    return clean(F.try_divide(F.lead("close", h).over(time()), F.col("close")) - 1)
 
 
 def daily_return(pad: bool = True) -> Column:
     """Return since the row before; with ``pad``, over the last closes known at either."""
     if not pad:
-        return clean(F.try_divide(F.col("close"), F.lag("close").over(TIME)) - 1)
-    upto = TIME.rowsBetween(Window.unboundedPreceding, 0)
-    before = TIME.rowsBetween(Window.unboundedPreceding, -1)
+        return clean(F.try_divide(F.col("close"), F.lag("close").over(time())) - 1)
+    upto = time().rowsBetween(Window.unboundedPreceding, 0)
+    before = time().rowsBetween(Window.unboundedPreceding, -1)
     return clean(F.try_divide(F.last("close", ignorenulls=True).over(upto), F.last("close", ignorenulls=True).over(before)) - 1)
 
 
