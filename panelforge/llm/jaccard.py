@@ -42,10 +42,10 @@ def missing(n: int, num: int, den: int) -> int:
 def light_keys(tokens: np.ndarray, num: int, den: int) -> np.ndarray:
     """Hashes of the set's subsets of each size that an overlap can have."""
     n, m = len(tokens), mix(tokens)
-    total, out = m.sum(dtype=U64), []
+    total, out = m.sum(dtype=U64, keepdims=True), []
     for j in range(missing(n, num, den) + 1):
-        rest = np.array([total - m[list(c)].sum(dtype=U64) for c in combinations(range(n), j)], U64)
-        out.append(mix(rest ^ mix(np.array([n - j], U64))))
+        gone = np.array([m[list(c)].sum(dtype=U64) for c in combinations(range(n), j)], U64)
+        out.append(mix((total - gone) ^ mix(np.array([n - j], U64))))
     return np.concatenate(out)
 
 

@@ -15,7 +15,7 @@ TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br", "
 
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 
-#: A host is blocked if the lower bound of its share of good pages, this many deviations down, is below the least share.
+#: A host is blocked if even the upper bound of its share of good pages, this many deviations up, is below the least share.
 Z, LEAST_GOOD = 1.645, 0.5
 
 
@@ -80,7 +80,7 @@ def host_reputation(outcomes: DataFrame) -> DataFrame:
     domains = domains.join(suffixes, "suffix").select("domain", "suffix", shrunk(F.col("of_suffix"), s[1]).alias("of_domain"))
     mean, weight = shrunk(F.col("of_domain"), s[2]), F.lit(s[2]) + F.col("n")
     return host.join(domains, ["domain", "suffix"]).select(
-        "host", "n", "k", mean.alias("mean"), (mean - Z * F.sqrt(mean * (1 - mean) / (weight + 1))).alias("bound")
+        "host", "n", "k", mean.alias("mean"), (mean + Z * F.sqrt(mean * (1 - mean) / (weight + 1))).alias("bound")
     )
 
 
@@ -152,7 +152,7 @@ suffixes as (select suffix, sum(n)::bigint n, sum(k)::bigint k from domains grou
 ps as (select suffix, ((select coalesce(sum(k) / nullif(sum(n), 0)::double, 1.0) from suffixes) * s + k) / (s + n) m from suffixes, s_suffixes),
 pd as (select domain, suffix, (m * s + k) / (s + n) m from domains join ps using (suffix), s_domains),
 ph as (select host, n, (m * s + k) / (s + n) m, s + n w from hosts join pd using (domain, suffix), s_hosts),
-pb as (select host, n, m - {Z} * sqrt(m * (1 - m) / (w + 1)) bound from ph)
+pb as (select host, n, m + {Z} * sqrt(m * (1 - m) / (w + 1)) bound from ph)
 select page_id, host, path, case {rule} end as rule,
     coalesce(case {kind} end, case when bound < {LEAST_GOOD} then 'block' else 'allow' end) as verdict,
     n as n_labelled, round(bound, 6) as bound
