@@ -86,7 +86,7 @@ def test_lines_match_brute_force(make):
     got = {r.doc_id: r.removed for r in lines.repeated_lines(docs).collect()}
     k = lines.SHINGLE
     occurrences = [(r.doc_id, p, x) for r in docs.orderBy("doc_id").collect() for p, x in enumerate(r.text.split("\n")) if x.strip()]
-    sets = {x: {x[i : i + k] for i in range(max(1, len(x) - k + 1))} for _, _, x in occurrences}
+    sets = {x: {b[i : i + k] for b in [x.encode()] for i in range(max(1, len(b) - k + 1))} for _, _, x in occurrences}
     root = {x: x for x in sets}
 
     def find(x):
