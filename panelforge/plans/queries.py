@@ -183,6 +183,10 @@ _CASES: dict[str, tuple[Node, str]] = {
 }
 
 
+#: a tree with each operator at its root
+OPERATOR_TREES = {name: tree for name, (tree, _) in _CASES.items()}
+
+
 def _op_query(tree: Node):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return wide(P.supplier_panel(spark, sf_dir), {"value": tree}).select("date", "instrument", r6("value").alias("value"))
@@ -506,7 +510,8 @@ MEMBERS = ("reversal", "pressure", "price_volume", "calm", "range_place", "volum
 
 def member_values(spark: SparkSession, sf_dir: str, shapes: tuple[str, ...] = MEMBERS) -> DataFrame:
     trees = {s: formula_of(s).tree(formula_of(s).arguments[0]) for s in shapes}
-    return factor_values(with_forward(P.supplier_panel(spark, sf_dir)), trees, ("fwd",))
+    # kept, as every metric reads it again
+    return factor_values(with_forward(P.supplier_panel(spark, sf_dir)), trees, ("fwd",)).persist()
 
 
 def member_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -694,7 +699,7 @@ def traded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Equal-weight predictions (to 9 places, so that ties are ties in any engine) where there is a close."""
     pred = combine.equal_weight(basket(spark, sf_dir))
     close = P.supplier_panel(spark, sf_dir).select("date_idx", "instrument", "close")
-    return pred.join(close, ["date_idx", "instrument"]).select("date", "date_idx", "instrument", "inst_ord", F.when(F.col("close").isNotNull(), F.round("pred", 9)).alias("pred"))
+    return pred.join(close, ["date_idx", "instrument"]).select("date", "date_idx", "instrument", "inst_ord", F.when(F.col("close").isNotNull(), F.round("pred", 9)).alias("pred")).persist()
 
 
 PERIODIC = f"""{EQUAL}, {_FILL}, tr as (select pr.date, date_idx, instrument, pr.inst_ord, case when "close" is not null then round(pred, 9) end pred from pr join panel using (date_idx, instrument)),
