@@ -149,6 +149,22 @@ def test_chains_match_a_plain_dynamic_programme():
         assert np.isclose(score, best.max()) and all(x[a] < x[b] and y[a] < y[b] for a, b in zip(top, top[1:]))
 
 
+def test_every_chain_of_two_passages_far_apart():
+    for first, own, second in [(100, 65, 100), (100, 100, 100), (500, 300, 200), (60, 100, 60), (100, 2000, 100)]:
+        x = np.array([*range(0, first, 5), *range(first + own, first + own + second, 5)])
+        for y in (x, np.where(x < first, x, x - own + 70)):  # own words on both sides, and fewer on one
+            assert sorted(passages.chains(x, y)) == [[*range(first // 5)], [*range(first // 5, len(x))]]
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        x, y = rng.integers(0, 600, 150), rng.integers(0, 600, 150)
+        best = np.zeros(150)
+        for i in np.lexsort((y, x)):
+            before = [best[j] - passages.GAP * ((x[i] - x[j]) + (y[i] - y[j])) for j in range(150) if 0 < x[i] - x[j] <= passages.MOST_GAP and 0 < y[i] - y[j] <= passages.MOST_GAP]
+            best[i] = passages.K + max([0, *before])
+        found = passages.chains(x, y)
+        assert sum(np.isclose(best.max(), sum(passages.K - (passages.GAP * ((x[b] - x[a]) + (y[b] - y[a])) if a >= 0 else 0) for a, b in zip([-1, *c], c))) for c in found[:1]) == 1
+
+
 def test_odd_passages(odd, empty):
     got = {(r.doc_id, r.source_id, r.exact_copy) for r in passages.shared_passages(odd).collect()}
     assert got == {(8, 2, True)} and passages.shared_passages(empty).count() == 0
