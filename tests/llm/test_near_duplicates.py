@@ -165,6 +165,25 @@ def test_every_chain_of_two_passages_far_apart():
         assert sum(np.isclose(best.max(), sum(passages.K - (passages.GAP * ((x[b] - x[a]) + (y[b] - y[a])) if a >= 0 else 0) for a, b in zip([-1, *c], c))) for c in found[:1]) == 1
 
 
+def test_a_short_own_paragraph_between_two_passages(make):
+    def words(seed, n):
+        return prose(seed, n).replace("\n", " ").split()
+
+    cases = [(60, 50, 60), (55, 40, 55), (80, 60, 300), (60, 5, 60)]
+    texts = []
+    for c, (n, own, m) in enumerate(cases):
+        head, tail = words(600 + c, n), words(700 + c, m)
+        texts += [" ".join([*words(800 + i * 10 + c, 90), *head, *words(900 + i * 10 + c, own), *tail, *words(950 + i * 10 + c, 90)]) for i in range(2)]
+    got = {}
+    for r in passages.shared_passages(make(texts)).collect():
+        assert r.source_id == r.doc_id - 1 and r.equal_words >= 0.8 * (r.last_word - r.first_word)
+        got.setdefault(r.source_id // 2, []).append((r.source_first, r.source_last))
+    want = {c: [(90, 90 + n), (90 + n + own, 90 + n + own + m)] if own > 5 else [(90, 90 + n + own + m)] for c, (n, own, m) in enumerate(cases)}
+    assert got.keys() == want.keys()
+    for c, found in got.items():  # a word or two of the neighbourhood may be equal by chance
+        assert len(found) == len(want[c]) and np.abs(np.subtract(sorted(found), want[c])).max() <= 3
+
+
 def test_odd_passages(odd, empty):
     got = {(r.doc_id, r.source_id, r.exact_copy) for r in passages.shared_passages(odd).collect()}
     assert got == {(8, 2, True)} and passages.shared_passages(empty).count() == 0
