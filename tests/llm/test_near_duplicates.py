@@ -109,6 +109,32 @@ def test_lines_match_brute_force(make):
         assert kept.get(r.doc_id) == ("\n".join(left) if any(x.strip() for x in left) or r.doc_id not in want else None)
 
 
+def test_a_family_of_drifting_lines_is_one_component(spark):
+    rng, k = random.Random(11), lines.SHINGLE
+    family = [rng.randbytes(75).hex()]
+    while len(family) < 300:  # each with one letter changed, which is up to 9 of 142 shingles
+        x = rng.choice(family)
+        at = rng.randrange(20, 130)
+        family.append(x[:at] + rng.choice("ghijklmnop") + x[at + 1 :])
+    family = list(dict.fromkeys(family))
+    sets = [{x[i : i + k] for i in range(len(x) - k + 1)} for x in family]
+    near = {(i, j) for i, j in combinations(range(len(sets)), 2) if len(sets[i] & sets[j]) >= lines.LEAST * len(sets[i] | sets[j])}
+    df = lines.lines_of(spark.createDataFrame([(i, x) for i, x in enumerate(family)], "doc_id long, text string"))
+    ids = {r.id: r.doc_id for r in df.collect()}
+    found = {tuple(sorted((ids[r.a], ids[r.b]))) for r in lines.line_links(df).collect()}
+    assert found <= near and len(family) > 290
+    root = list(range(len(family)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in found:
+        root[find(i)] = find(j)
+    assert len({find(i) for i in root}) == 1
+
+
 def test_odd_lines(odd, empty):
     out = lines.without_repeated_lines(odd)
     assert out.columns == odd.columns
