@@ -6,7 +6,10 @@ Inputs: pred (date, date_idx, instrument, inst_ord, pred) and returns (date, dat
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+from itertools import islice
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,42 +60,77 @@ def periodic(pred: DataFrame, returns: DataFrame, horizon: int, share: float = 0
     return day.select("date", "date_idx", (port_or - F.col("bench") - F.coalesce("cost", F.lit(0.0))).alias("excess"))
 
 
+def folded(batches: Iterator[pa.RecordBatch], k: int, n: int, cost: float) -> Iterator[pa.RecordBatch]:
+    """run, date_idx, instrument, due: what is held on each date of a run but its first, and costs in a row without instrument.
+
+    Takes rows (run, date_idx, instrument) in the order of run, date and rank, of which one date is held at a
+    time; a row without instrument stands for a date that may have no ranks.
+    """
+
+    def book(run: str, day: int, held: list[str], due: float) -> pa.RecordBatch:
+        m = len(held) + 1
+        cols = [pa.array([run] * m, pa.string()), pa.array([day] * m, pa.int32()), pa.array([None, *held], pa.string()), pa.array([due] + [0.0] * len(held))]
+        return pa.record_batch(cols, ["run", "date_idx", "instrument", "due"])
+
+    def dates() -> Iterator[tuple[str, int, list[str]]]:
+        now, ranked = None, []
+        for b in batches:
+            for run, day, s in zip(*(c.to_pylist() for c in b.columns)):
+                if (run, day) != now:
+                    if now:
+                        yield *now, ranked
+                    now, ranked = (run, day), []
+                if s is not None:
+                    ranked.append(s)
+        if now:
+            yield *now, ranked
+
+    last, held, due = None, [], 0.0
+    for run, day, ranked in dates():
+        if run == last:
+            yield book(run, day, held, due)
+            due = 0.0
+        else:
+            last, held, due = run, [], 0.0
+        if not ranked:
+            continue
+        top = ranked[:k]
+        if not held:
+            held, due = top, cost
+            continue
+        own, best = set(held), set(top)
+        place = {s: i for i, s in enumerate(ranked) if s in own}
+        sells = sorted((s for s in held if s not in best), key=lambda s: -place.get(s, len(ranked)))[:n]
+        buys = list(islice((s for s in ranked if s not in own), len(sells)))
+        if sells and buys:
+            sold = set(sells)
+            held = [s for s in held if s not in sold] + buys
+            due = cost * (len(sells) + len(buys)) / max(len(held), 1)
+
+
 def top_k_drop_n(pred: DataFrame, returns: DataFrame, horizon: int, share: float = 0.1, cost: float = 0.0015, run: str = "run_id") -> DataFrame:
     """run_id, date, date_idx, excess: at most n names exchanged a day, worst held for best not held.
 
-    Each day's book depends on the day before, so a run is a fold over its dates: many runs go side by
-    side, each over its own rows in time order. ``pred`` may hold many runs in column ``run``.
+    Each day's book depends on the day before, so a run is a fold over its dates, in time order and with one
+    date's names in memory; ranks before it and returns after it are relational. ``pred`` may hold many runs
+    in column ``run``, which go side by side.
     """
     pred = pred if run in pred.columns else pred.withColumn(run, F.lit("run"))
     k, n = book_size(pred, share, horizon)
-    rows = pred.join(returns.select("date_idx", "instrument", "ret", "bench"), ["date_idx", "instrument"])
-
-    def fold(p: pd.DataFrame) -> pd.DataFrame:
-        held: list[str] = []
-        due, out, first = 0.0, [], True
-        for idx, day in p.sort_values(["date_idx", "inst_ord"]).groupby("date_idx", sort=True):
-            if not first:
-                mean = day.loc[day.instrument.isin(held), "ret"].mean() if held else 0.0
-                bench = day["bench"].mean()
-                bench = 0.0 if pd.isna(bench) else bench
-                out.append((p[run].iloc[0], day["date"].iloc[0], idx, (bench if pd.isna(mean) else mean) - bench - due))
-                due = 0.0
-            first = False
-            ranked = day.dropna(subset=["pred"]).sort_values("pred", ascending=False, kind="stable").instrument.tolist()
-            if not ranked:
-                continue
-            top = ranked[:k]
-            if not held:
-                held, due = top, cost
-                continue
-            place = {s: i for i, s in enumerate(ranked)}
-            worst = sorted((s for s in held if s not in set(top)), key=lambda s: -place.get(s, len(ranked)))
-            sells = worst[:n]
-            own = set(held)
-            buys = [s for s in ranked if s not in own][: len(sells)]
-            if sells and buys:
-                held = [s for s in held if s not in set(sells)] + buys
-                due = cost * (len(sells) + len(buys)) / max(len(held), 1)
-        return pd.DataFrame(out, columns=[run, "date", "date_idx", "excess"])
-
-    return rows.groupBy(run).applyInPandas(fold, f"{run} string, date date, date_idx int, excess double")
+    rows = (
+        pred.join(returns.select("date_idx", "instrument", "ret", "bench"), ["date_idx", "instrument"])
+        .select(F.col(run).cast("string").alias("run"), "date", F.col("date_idx").cast("int").alias("date_idx"), "instrument", "inst_ord", "pred", "ret", "bench")
+    )
+    value = lambda c: F.when(~F.isnan(c), F.col(c))
+    days = rows.groupBy("run", "date_idx").agg(F.min("date").alias("date"), F.coalesce(F.avg(value("bench")), F.lit(0.0)).alias("bench"))
+    place = F.row_number().over(Window.partitionBy("run", "date_idx").orderBy(F.desc("pred"), "inst_ord"))
+    ranked = rows.where(value("pred").isNotNull()).select("run", "date_idx", F.col("instrument").cast("string").alias("instrument"), place.alias("place"))
+    dates = days.select("run", "date_idx", F.lit(None).cast("string").alias("instrument"), F.lit(0).alias("place"))
+    ordered = ranked.unionByName(dates).repartition("run").sortWithinPartitions("run", "date_idx", "place").select("run", "date_idx", "instrument")
+    books = ordered.mapInArrow(lambda b: folded(b, k, n, cost), "run string, date_idx int, instrument string, due double")
+    paid = rows.select("run", "date_idx", F.col("instrument").cast("string").alias("instrument"), value("ret").alias("ret"))
+    held = books.join(paid, ["run", "date_idx", "instrument"], "left").groupBy("run", "date_idx").agg(
+        F.max("due").alias("due"), F.count("instrument").alias("names"), F.avg("ret").alias("mean")
+    )
+    port = F.when(F.col("names") == 0, F.lit(0.0)).otherwise(F.coalesce("mean", "bench"))
+    return held.join(days, ["run", "date_idx"]).select(F.col("run").alias(run), "date", "date_idx", (port - F.col("bench") - F.col("due")).alias("excess"))

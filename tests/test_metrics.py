@@ -5,6 +5,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -160,6 +161,47 @@ def test_drop_n_costs_lower_the_result(values):
     assert free > dear and free > 0
 
 
+def test_drop_n_matches_a_loop_and_holds_one_date(values):
+    pred, returns = trades(values)
+    runs = pred.withColumn("run_id", F.lit("a")).unionByName(pred.withColumn("run_id", F.lit("b")).withColumn("pred", F.when(F.col("date_idx") % 4 != 1, -F.col("pred"))))
+    h, cost = 3, 0.01
+    df = backtest.top_k_drop_n(runs, returns, h, 0.2, cost)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Pandas" not in plan and "MapInArrow" in plan  # no group of a whole run
+    k, n = backtest.book_size(runs, 0.2, h)
+    got = df.orderBy("run_id", "date_idx").toPandas()
+    r, want = returns.toPandas(), []
+    for _, p in runs.toPandas().sort_values(["date_idx", "inst_ord"]).groupby("run_id"):
+        held, due = [], 0.0
+        for i in range(DAYS):
+            day = r[r.date_idx == i].set_index("instrument").ret
+            if i:
+                bench = 0.0 if np.isnan(day.mean()) else day.mean()
+                port = day.reindex(held).mean() if held else 0.0
+                want.append((bench if np.isnan(port) else port) - bench - due)
+                due = 0.0
+            ranked = p[p.date_idx == i].dropna(subset=["pred"]).sort_values("pred", ascending=False, kind="stable").instrument.tolist()
+            if ranked and not held:
+                held, due = ranked[:k], cost
+            elif ranked:
+                worst = [s for s in held if s not in ranked] + [s for s in reversed(ranked) if s in held]
+                sells = [s for s in worst if s not in ranked[:k]][:n]
+                buys = [s for s in ranked if s not in held][: len(sells)]
+                if sells and buys:
+                    held = [s for s in held if s not in sells] + buys
+                    due = cost * (len(sells) + len(buys)) / len(held)
+    np.testing.assert_allclose(got.excess, want, atol=1e-12)
+    taken = []
+
+    def stream():
+        for i in range(50):
+            taken.append(i)
+            yield pa.record_batch([pa.array(["r"] * 4), pa.array([i] * 4, pa.int32()), pa.array([None, "x", "y", "z"])], ["run", "date_idx", "instrument"])
+
+    next(backtest.folded(stream(), 1, 1, 0.0))
+    assert len(taken) == 3  # the first two dates, and the row that ends the second
+
+
 def test_gates_and_zoo_round_trip(spark, tmp_path):
     z = zoo.Zoo()
     good = {"rank_ic": 0.05, "rank_ir": 0.5, "turnover": 1.0, "hac_p": 0.01}
