@@ -21,11 +21,16 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where the session names none."""
+    """The folder that the driver and all executors share: ``spark.checkpoint.dir``, or the context's own.
+
+    Without either, a temporary folder is taken in local mode, where one machine does all the work; on a
+    cluster that would be another folder on each machine, so it is an error there.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        named = tempfile.mkdtemp(prefix="panelforge-")
-        spark.sparkContext.setCheckpointDir(named)
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="panelforge-"))
         named = spark.sparkContext.getCheckpointDir()
     return named
 
@@ -148,30 +153,49 @@ def grouped(df: DataFrame, keys: list[str], schema: str, run) -> DataFrame:
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(go, schema)
 
 
-def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
+#: A key is hot if it has more than this part of all rows; so there are fewer than 512 hot keys, whatever the input.
+HOT = 1 / 512
+
+
+def joined(big: DataFrame, small: DataFrame, keys: list[str], n: str, total: int) -> DataFrame:
+    """Inner join of ``big`` with ``small``, one row a key, whose column ``n`` says how many rows ``big`` has of it.
+
+    Rows of hot keys stay where they are and get their partner from a broadcast table of at most 1 / HOT rows;
+    only the others move. ``total``: the rows of ``big``, a stored table, as it is read twice.
+    """
+    hot = F.col(n) > F.lit(HOT * total)
+    few = small.where(hot)
+    return (
+        big.join(F.broadcast(few), keys)
+        .unionByName(big.join(F.broadcast(few.select(*keys)), keys, "left_anti").join(small.where(~hot), keys))
+        .drop(n)
+    )
+
+
+def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     """Connected components of the undirected edges (a, b): rows (node, root), root the smallest node.
 
     Alternates large-star and small-star steps, which keep the edges linear in the input and need a
     logarithmic number of rounds. Each step groups by node, so a hub's neighbours are only ever folded
-    into a minimum; every round ends in a written table. Nothing is collected but two numbers a round.
-    Edges with a null end or equal ends are ignored.
+    into a minimum, and rows of a hub are not gathered for the join; every round ends in a written table.
+    Nothing is collected but a few numbers a round. Edges with a null end or equal ends are ignored. It is
+    an error if the rounds run out before nothing changes.
     """
-    spark = edges.sparkSession
     e = written(
         edges.where("a is not null and b is not null and a <> b")
         .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         .distinct()
     )
-    known = None
+    known, m = None, e.count()
     for _ in range(most_rounds):
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = (  # every larger neighbour now points to the smallest one
-            e.select(F.col("v").alias("u"), F.col("u").alias("w")).join(low, "u").select(F.col("w").alias("u"), F.col("m").alias("v"))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
+        large = written(  # every larger neighbour now points to the smallest one
+            joined(e.select(F.col("v").alias("u"), F.col("u").alias("w")), low, ["u"], "n", m).select(F.col("w").alias("u"), F.col("m").alias("v"))
             .where("u <> v").distinct()
         )
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = joined(large, low, ["u"], "n", m)
         e = written(
             small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(low.select("u", F.col("m").alias("v"))).distinct()
@@ -179,7 +203,9 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == known:
             break
-        known = now
+        known, m = now, max(m, now[0])
+    else:
+        raise RuntimeError(f"components aren't settled after {most_rounds} rounds")
     # at the fixed point every node has one edge, to its root
     stars = e.groupBy("u").agg(F.min("v").alias("root"))
     return stars.select(F.col("u").alias("node"), "root").unionByName(
@@ -198,11 +224,12 @@ def _flagged(df: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
         return F.shiftright(h, 15).cast("int"), F.shiftright(h, 6).bitwiseAND(F.lit(511)).cast("int"), h.bitwiseAND(F.lit(63)).cast("int")
 
     b, w, p = parts(F.col("id").cast("long"))
-    words = wanted.select(b.alias("__b"), w.alias("w"), p.alias("p")).groupBy("__b", "w").agg(F.bit_or(F.expr("shiftleft(1L, p)")).alias("v"))
-    word = F.transform(F.sequence(F.lit(0), F.lit(511)), lambda i: F.coalesce(F.try_element_at("m", i.cast("int")), F.lit(0).cast("long")))
-    bits = (
-        words.groupBy("__b").agg(F.map_from_entries(F.collect_list(F.struct("w", "v"))).alias("m"))
-        .select("__b", word.alias("__bits"))
+    words = wanted.select(b.alias("__b"), w.alias("w"), p.alias("p")).select("__b", "w", F.expr("shiftleft(1L, p)").alias("v"))
+    i = F.col("id")
+    none = wanted.sparkSession.range(1 << 18).select(F.shiftright(i, 9).cast("int").alias("__b"), i.bitwiseAND(F.lit(511)).cast("int").alias("w"), F.lit(0).cast("long").alias("v"))
+    bits = (  # every word of the bitmap, in order
+        words.unionByName(none).groupBy("__b", "w").agg(F.bit_or("v").alias("v"))
+        .groupBy("__b").agg(F.transform(F.array_sort(F.collect_list(F.struct("w", "v"))), lambda x: x["v"]).alias("__bits"))
     )
     b, w, p = parts(F.col(column).cast("long"))
     met = df.withColumns({"__b": b, "__w": w, "__p": p}).join(F.broadcast(bits), "__b", "left")
