@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from panelforge.llm.common import crc_mod, table
 
-#: Characters learnt per language; documents looked at for them, and their length; lanes' length.
+#: Characters learnt per language; documents looked at for them, and their length; length of the lanes
+#: that texts are cut into (of no influence on results).
 LEARN_CHARS, LEARN_DOCS, LEARN_LENGTH, LANE = 16_000, 64, (200, 4_000), 512
 #: Codes of what is no letter, and of letters no language has shown.
 GAP, UNKNOWN = 0, 1
@@ -85,44 +86,92 @@ class Model:
         c = self._table[points(text.lower())]
         return c[np.concatenate([[True], (c[1:] != GAP) | (c[:-1] != GAP)])] if len(c) else c
 
-    def phrases(self, lanes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """How many longest matches each language needs to parse each lane (column; the longest lanes first)."""
-        out = np.zeros((len(self.langs), lanes.shape[1]), np.int32)
-        many = np.searchsorted(-sizes, -np.arange(1, len(lanes) + 1), "right")  # lanes that reach a place
+    def starts(self, a: Automaton, lanes: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where phrases start in each lane (column) that begins with a phrase, and the state after it.
+
+        ``many``: how many of the lanes, the longest first, reach each place.
+        """
+        state, new_phrase = np.ones(lanes.shape[1], np.int32), np.zeros(lanes.shape, bool)
+        for i, m in enumerate(many):
+            c, s = lanes[i, :m], state[:m]
+            new = a.step[s * self.n_codes + c]
+            stuck = new == 0  # a phrase ends before this code, which begins the next
+            new_phrase[i, :m] = stuck | (s == 1)
+            at = np.flatnonzero(stuck)
+            if len(at):
+                again = a.step[self.n_codes + c[at]]
+                new[at] = np.where(again == 0, 1, again)  # or is one of its own
+            state[:m] = new
+        return new_phrase, state
+
+    def run_on(self, a: Automaton, lanes: np.ndarray, sizes: np.ndarray, new_phrase: np.ndarray, at: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of phrases in ``state`` that go on into the lanes ``at``: how many more start there than if a phrase began with the
+        lane, up to where both ways to parse it meet; and which have not met before the lane's end."""
+        more, live, state = np.zeros(len(at), np.int64), np.flatnonzero(state != 1), state.copy()
+        lost = np.zeros(len(at), bool)
+        for i in range(len(lanes) + 1):
+            ended = sizes[at[live]] <= i
+            lost[live[ended]] = True
+            live = live[~ended]
+            if not len(live):
+                break
+            lane = at[live]
+            c, s = lanes[i, lane], state[live]
+            new = a.step[s * self.n_codes + c]
+            stuck = (new == 0) | (s == 1)
+            again = a.step[self.n_codes + c[stuck]]
+            new[stuck] = np.where(again == 0, 1, again)
+            state[live] = new
+            fresh = new_phrase[i, lane]
+            met = stuck & fresh  # from here on the parses are one
+            more[live[~met]] += stuck[~met].astype(np.int64) - fresh[~met]
+            live = live[~met]
+        return more, lost
+
+    def phrases(self, codes: list[np.ndarray], lane: int | None = None) -> np.ndarray:
+        """How many longest matches each language needs to parse each text, from its start to its end.
+
+        Texts are cut into lanes that are parsed side by side. A phrase that reaches over the end of a lane is
+        followed into the next until a phrase ends where one ended there, too; from there on the next
+        lane's phrases are the text's. If that doesn't happen before its end, the text is parsed in one lane.
+        """
+        lane = lane or LANE
+        n = np.array([len(c) for c in codes], np.int64)
+        pieces = -(-n // lane)
+        out = np.zeros((len(self.langs), len(codes)), np.int64)
+        owner = np.repeat(np.arange(len(codes)), pieces)
+        if not len(owner):
+            return out
+        place = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        size = np.minimum(lane, n[owner] - place * lane)
+        order = np.argsort(-size, kind="stable")
+        where = np.empty(len(order), np.int64)
+        where[order] = np.arange(len(order))
+        high = int(size.max())
+        flat, start = np.concatenate([*codes, np.zeros(high, np.int32)]), (np.cumsum(n) - n)[owner] + place * lane
+        lanes = flat[start[order][None, :] + np.arange(high)[:, None]]
+        size, owner = size[order], owner[order]
+        many = np.searchsorted(-size, -np.arange(1, high + 1), "right")
+        before = np.flatnonzero(np.concatenate([place[1:] > 0, [False]]))  # pieces with another after them
         for k, a in enumerate(self.automata):
-            state, count = np.ones(lanes.shape[1], np.int32), out[k]
-            for i, m in enumerate(many):
-                c = lanes[i, :m]
-                new = a.step[state[:m] * self.n_codes + c]
-                stuck = np.flatnonzero(new == 0)
-                if len(stuck):  # a phrase ends before this code, which begins the next
-                    count[stuck] += state[stuck] != 1
-                    again = a.step[self.n_codes + c[stuck]]
-                    count[stuck] += again == 0  # a code of its own
-                    new[stuck] = np.where(again == 0, 1, again)
-                state[:m] = new
-            count += state != 1
+            new_phrase, state = self.starts(a, lanes, many)
+            np.add.at(out[k], owner, new_phrase.sum(0))
+            if len(before):
+                more, lost = self.run_on(a, lanes, size, new_phrase, where[before + 1], state[where[before]])
+                np.add.at(out[k], owner[where[before]], more)
+                for i in np.unique(owner[where[before[lost]]]):
+                    out[k, i] = self.starts(a, codes[i][:, None], np.ones(len(codes[i]), np.int64))[0].sum()
         return out
 
     def judge(self, texts: list[str]) -> tuple[list[str], list[float]]:
         """The language that needs fewest phrases per character, and its margin over the next as a share.
 
-        Texts are parsed side by side in lanes of LANE codes; a phrase ends with its lane, in every language alike.
+        Of languages that need equally few the first by name is taken.
         """
         coded = [self.coded(t) for t in texts]
         n = np.array([len(c) for c in coded])
         letters = np.array([bool((c != GAP).any()) for c in coded], bool)
-        total = np.zeros((len(self.langs), len(texts)))
-        owner = np.repeat(np.arange(len(texts)), -(-n // LANE))
-        if len(owner) and len(self.langs):
-            place = np.arange(len(owner)) - np.repeat(np.cumsum(-(-n // LANE)) - -(-n // LANE), -(-n // LANE))
-            size = np.minimum(LANE, n[owner] - place * LANE)
-            order = np.argsort(-size, kind="stable")
-            flat, start = np.concatenate([*coded, np.zeros(LANE, np.int32)]), (np.cumsum(n) - n)[owner] + place * LANE
-            lanes = flat[start[order][None, :] + np.arange(size.max())[:, None]]
-            got = self.phrases(lanes, size[order])
-            for k in range(len(self.langs)):
-                np.add.at(total[k], owner[order], got[k])
+        total = self.phrases(coded)
         cost = total * np.array([[np.log2(a.n + 2)] for a in self.automata]) / np.maximum(n, 1) if self.langs else total
         lang, score = [], []
         for i in range(len(texts)):

@@ -8,15 +8,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import table
+from panelforge.llm.common import joined, table, written
 
 #: Suffixes of two labels under which names are registered (a parameter; fixed values).
 TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br", "co.nz", "co.za", "com.cn", "co.in")
 
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 
-#: A host is blocked if even the upper bound of its share of good pages, this many deviations up, is below the least share.
-Z, LEAST_GOOD = 1.645, 0.5
+#: A host is blocked if even the upper bound of its share of good pages, this quantile of its beta posterior, is below the least share.
+QUANTILE, LEAST_GOOD = 0.95, 0.5
+#: Steps of the grid over which a posterior is summed up.
+GRID = 600
 
 
 def host_of(url: Column) -> Column:
@@ -57,16 +59,43 @@ def concentration(level: DataFrame) -> Column:
     return F.coalesce(F.greatest(F.lit(1.0), F.least(F.lit(1000.0), F.try_divide(F.lit(1.0), F.greatest(over, F.lit(1e-9))) - 1)), F.lit(1000.0))
 
 
+def upper_bound(a: Column, b: Column, quantile: float = QUANTILE) -> Column:
+    """The quantile of the beta distribution with parameters ``a`` and ``b``.
+
+    In the log-odds the density is smooth and falls off exponentially on both sides, so its values on an even
+    grid, from where nothing is left on one side to the other, add up to the distribution; the quantile lies in the
+    step in which the sum passes its share. Without weight on one side the share is 0 or 1 for sure.
+    """
+    sd = F.sqrt(1 / a + 1 / b)
+    low = F.log(a) - F.log(b) - (F.lit(25.0) / a + F.lit(8.0) * sd)
+    step = (F.lit(25.0) / a + F.lit(25.0) / b + F.lit(16.0) * sd) / GRID
+    mode = F.log(a) - F.log(b)
+
+    def soft(t: Column) -> Column:  # log(1 + e^t) without overflow
+        return F.greatest(t, F.lit(0.0)) + F.log1p(F.exp(-F.abs(t)))
+
+    top = a * mode - (a + b) * soft(mode)
+    weights = F.transform(F.sequence(F.lit(0), F.lit(GRID)), lambda i: F.exp(a * (low + step * i) - (a + b) * soft(low + step * i) - top))
+    want = quantile * F.aggregate(weights, F.lit(0.0), lambda s, w: s + w)
+    start = F.struct(F.lit(0.0).alias("sum"), F.lit(0.0).alias("at"))
+    found = F.aggregate(weights, start, lambda s, w: F.struct(
+        (s["sum"] + w).alias("sum"),
+        (s["at"] + F.when(s["sum"] + w <= want, F.lit(1.0)).when(s["sum"] < want, (want - s["sum"]) / w).otherwise(F.lit(0.0))).alias("at"),
+    ))["at"]
+    t = low + step * (found - 0.5)
+    return F.when(a < 1e-6, F.lit(0.0)).when(b < 1e-6, F.lit(1.0)).otherwise(1 / (1 + F.exp(-t)))
+
+
 def host_reputation(outcomes: DataFrame) -> DataFrame:
-    """host, n, k, mean, bound from labelled outcomes (host, good 0/1; null outcomes are not counted).
+    """host, rows, n, k, mean, bound from labelled outcomes (host, good 0/1; null outcomes are not counted).
 
     Shrinks counts through beta-binomial priors: a suffix towards the overall share, a registered domain
-    towards its suffix, a host towards its domain. Hosts are counted before anything is shuffled, and
-    every level above them is a sum over the level below.
+    towards its suffix, a host towards its domain; ``bound`` is the upper quantile of the host's beta posterior.
+    Hosts are counted before anything is shuffled, and every level above them is a sum over the level below.
     """
-    host = outcomes.groupBy("host").agg(F.count("good").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("k"))
+    host = outcomes.groupBy("host").agg(F.count("*").alias("rows"), F.count("good").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("k"))
     domain, suffix = registered(F.col("host"))
-    host = host.withColumn("domain", domain).withColumn("suffix", suffix)
+    host = written(host.withColumn("domain", domain).withColumn("suffix", suffix))
     domains = host.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     total = suffixes.agg(F.sum("n").alias("n"), F.sum("k").alias("k")).first()
@@ -78,10 +107,10 @@ def host_reputation(outcomes: DataFrame) -> DataFrame:
 
     suffixes = suffixes.select("suffix", shrunk(F.lit(overall), s[0]).alias("of_suffix"))
     domains = domains.join(suffixes, "suffix").select("domain", "suffix", shrunk(F.col("of_suffix"), s[1]).alias("of_domain"))
-    mean, weight = shrunk(F.col("of_domain"), s[2]), F.lit(s[2]) + F.col("n")
-    return host.join(domains, ["domain", "suffix"]).select(
-        "host", "n", "k", mean.alias("mean"), (mean + Z * F.sqrt(mean * (1 - mean) / (weight + 1))).alias("bound")
-    )
+    weight = F.lit(s[2]) + F.col("n")
+    means = host.join(domains, ["domain", "suffix"]).select("host", "rows", "n", "k", shrunk(F.col("of_domain"), s[2]).alias("mean"), weight.alias("weight"))
+    a = F.col("mean") * F.col("weight")
+    return means.select("host", "rows", "n", "k", "mean", upper_bound(a, F.col("weight") - a).alias("bound"))
 
 
 def judged(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str]] = RULES, least_good: float = LEAST_GOOD) -> DataFrame:
@@ -96,15 +125,13 @@ def judged(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str]]
     url = F.coalesce("url", F.lit(""))
     parts = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"))
     number = F.regexp_extract("path", r"/([0-9]{1,18})(?:\.[A-Za-z]+|/)?$", 1)
-    parts = parts.withColumn("doc_id", F.when(number != "", number.cast("long")))
+    parts = written(parts.withColumn("doc_id", F.when(number != "", number.cast("long"))))
     good = F.when((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0), 1).otherwise(0)
     own = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min(good).alias("good"))
-    reputation = host_reputation(parts.where("doc_id is not null").join(own, "doc_id").select("host", "good").unionByName(
-        parts.select("host", F.lit(None).cast("int").alias("good"))
-    ))
+    reputation = written(host_reputation(parts.join(own, "doc_id", "left").select("host", "good")))
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
     return (
-        parts.join(reputation, "host")
+        joined(parts, reputation, ["host"], "rows", parts.count())
         .select(
             "page_id", "host", "path", rule.alias("rule"),
             F.coalesce(verdict, F.when(F.col("bound") < least_good, "block").otherwise("allow")).alias("verdict"),
@@ -152,7 +179,16 @@ suffixes as (select suffix, sum(n)::bigint n, sum(k)::bigint k from domains grou
 ps as (select suffix, ((select coalesce(sum(k) / nullif(sum(n), 0)::double, 1.0) from suffixes) * s + k) / (s + n) m from suffixes, s_suffixes),
 pd as (select domain, suffix, (m * s + k) / (s + n) m from domains join ps using (suffix), s_domains),
 ph as (select host, n, (m * s + k) / (s + n) m, s + n w from hosts join pd using (domain, suffix), s_hosts),
-pb as (select host, n, m + {Z} * sqrt(m * (1 - m) / (w + 1)) bound from ph)
+pg as (select host, n, m * w a, w - m * w b, ln(m * w) - ln(w - m * w) mode, sqrt(1 / (m * w) + 1 / (w - m * w)) sd from ph where m * w >= 1e-6 and w - m * w >= 1e-6),
+pr as (select *, mode - (25.0::double / a + 8.0::double * sd) low, (25.0::double / a + 25.0::double / b + 16.0::double * sd) / {GRID} step,
+    a * mode - (a + b) * (greatest(mode, 0.0) + ln(1 + exp(-abs(mode)))) top from pg),
+pt as (select host, low, step, a, b, top, i, low + step * i t from pr, range(0, {GRID} + 1) g(i)),
+pw as (select host, low, step, i, exp(a * t - (a + b) * (greatest(t, 0.0) + ln(1 + exp(-abs(t)))) - top) v from pt),
+ps2 as (select host, low, step, v, sum(v) over (partition by host order by i rows unbounded preceding) upto, sum(v) over (partition by host) total from pw),
+pq as (select host, any_value(low) low, any_value(step) step,
+    sum(case when upto <= {QUANTILE} * total then 1.0::double when upto - v < {QUANTILE} * total then ({QUANTILE} * total - (upto - v)) / v else 0.0::double end) place from ps2 group by host),
+pb as (select host, n, case when m * w < 1e-6 then 0.0 when w - m * w < 1e-6 then 1.0 else 1 / (1 + exp(-(low + step * (place - 0.5)))) end bound
+    from ph left join pq using (host))
 select page_id, host, path, case {rule} end as rule,
     coalesce(case {kind} end, case when bound < {LEAST_GOOD} then 'block' else 'allow' end) as verdict,
     n as n_labelled, round(bound, 6) as bound
