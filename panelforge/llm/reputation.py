@@ -59,31 +59,34 @@ def concentration(level: DataFrame) -> Column:
     return F.coalesce(F.greatest(F.lit(1.0), F.least(F.lit(1000.0), F.try_divide(F.lit(1.0), F.greatest(over, F.lit(1e-9))) - 1)), F.lit(1000.0))
 
 
-def upper_bound(a: Column, b: Column, quantile: float = QUANTILE) -> Column:
-    """The quantile of the beta distribution with parameters ``a`` and ``b``.
+def with_upper_bound(df: DataFrame, quantile: float = QUANTILE) -> DataFrame:
+    """``df`` with bound: the quantile of the beta distribution with parameters in columns a and b.
 
     In the log-odds the density is smooth and falls off exponentially on both sides, so its values on an even
     grid, from where nothing is left on one side to the other, add up to the distribution; the quantile lies in the
     step in which the sum passes its share. Without weight on one side the share is 0 or 1 for sure.
     """
-    sd = F.sqrt(1 / a + 1 / b)
-    low = F.log(a) - F.log(b) - (F.lit(25.0) / a + F.lit(8.0) * sd)
+    a, b = F.greatest("a", F.lit(1e-6)), F.greatest("b", F.lit(1e-6))
+    mode, sd = F.log(a) - F.log(b), F.sqrt(1 / a + 1 / b)
     step = (F.lit(25.0) / a + F.lit(25.0) / b + F.lit(16.0) * sd) / GRID
-    mode = F.log(a) - F.log(b)
 
     def soft(t: Column) -> Column:  # log(1 + e^t) without overflow
         return F.greatest(t, F.lit(0.0)) + F.log1p(F.exp(-F.abs(t)))
 
-    top = a * mode - (a + b) * soft(mode)
-    weights = F.transform(F.sequence(F.lit(0), F.lit(GRID)), lambda i: F.exp(a * (low + step * i) - (a + b) * soft(low + step * i) - top))
-    want = quantile * F.aggregate(weights, F.lit(0.0), lambda s, w: s + w)
+    # each stage's columns are plain values in the next, so nothing is worked out again within the loops
+    out = df.withColumns({"__low": mode - (F.lit(25.0) / a + F.lit(8.0) * sd), "__step": step, "__top": a * mode - (a + b) * soft(mode)})
+    t = lambda i: F.col("__low") + F.col("__step") * i
+    out = out.withColumn("__w", F.transform(F.sequence(F.lit(0), F.lit(GRID)), lambda i: F.exp(F.col("a") * t(i) - (F.col("a") + F.col("b")) * soft(t(i)) - F.col("__top"))))
+    out = out.withColumn("__want", quantile * F.aggregate("__w", F.lit(0.0), lambda s, w: s + w))
+    want = F.col("__want")
     start = F.struct(F.lit(0.0).alias("sum"), F.lit(0.0).alias("at"))
-    found = F.aggregate(weights, start, lambda s, w: F.struct(
+    found = F.aggregate("__w", start, lambda s, w: F.struct(
         (s["sum"] + w).alias("sum"),
         (s["at"] + F.when(s["sum"] + w <= want, F.lit(1.0)).when(s["sum"] < want, (want - s["sum"]) / w).otherwise(F.lit(0.0))).alias("at"),
     ))["at"]
-    t = low + step * (found - 0.5)
-    return F.when(a < 1e-6, F.lit(0.0)).when(b < 1e-6, F.lit(1.0)).otherwise(1 / (1 + F.exp(-t)))
+    at = F.col("__low") + F.col("__step") * (found - 0.5)
+    bound = F.when(F.col("a") < 1e-6, F.lit(0.0)).when(F.col("b") < 1e-6, F.lit(1.0)).otherwise(1 / (1 + F.exp(-at)))
+    return out.withColumn("bound", bound).drop("__low", "__step", "__top", "__w", "__want")
 
 
 def host_reputation(outcomes: DataFrame) -> DataFrame:
@@ -107,10 +110,9 @@ def host_reputation(outcomes: DataFrame) -> DataFrame:
 
     suffixes = suffixes.select("suffix", shrunk(F.lit(overall), s[0]).alias("of_suffix"))
     domains = domains.join(suffixes, "suffix").select("domain", "suffix", shrunk(F.col("of_suffix"), s[1]).alias("of_domain"))
-    weight = F.lit(s[2]) + F.col("n")
-    means = host.join(domains, ["domain", "suffix"]).select("host", "rows", "n", "k", shrunk(F.col("of_domain"), s[2]).alias("mean"), weight.alias("weight"))
-    a = F.col("mean") * F.col("weight")
-    return means.select("host", "rows", "n", "k", "mean", upper_bound(a, F.col("weight") - a).alias("bound"))
+    means = host.join(domains, ["domain", "suffix"]).select("host", "rows", "n", "k", shrunk(F.col("of_domain"), s[2]).alias("mean"))
+    a = F.col("mean") * (F.lit(s[2]) + F.col("n"))
+    return with_upper_bound(means.withColumns({"a": a, "b": F.lit(s[2]) + F.col("n") - a})).select("host", "rows", "n", "k", "mean", "bound")
 
 
 def judged(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str]] = RULES, least_good: float = LEAST_GOOD) -> DataFrame:

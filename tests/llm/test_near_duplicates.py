@@ -213,3 +213,61 @@ def test_a_short_own_paragraph_between_two_passages(make):
 def test_odd_passages(odd, empty):
     got = {(r.doc_id, r.source_id, r.exact_copy) for r in passages.shared_passages(odd).collect()}
     assert got == {(8, 2, True)} and passages.shared_passages(empty).count() == 0
+
+
+def test_a_whole_passage_is_found_although_earlier_documents_hold_parts_of_it(make):
+    def own(seed, n):
+        rng = random.Random(seed)
+        return [f"{rng.choice('bdfgklmnprst')}{rng.randrange(10**6)}" for _ in range(n)]
+
+    texts, pairs = [], []
+    for case in range(12):
+        shared, n, own_ = own(5000 + case, 64), len(texts), iter(range(10 * case, 10 * case + 10))
+        texts += [own(next(own_), 60) + shared[:32] + own(next(own_), 60), own(next(own_), 60) + shared[32:] + own(next(own_), 60)]
+        texts += [own(next(own_), 40) + shared + own(next(own_), 50), own(next(own_), 50) + shared + own(next(own_), 40)]
+        pairs.append((n + 3, n + 2))
+    got = {(r.doc_id, r.source_id): r for r in passages.shared_passages(make([" ".join(t) for t in texts])).collect()}
+    assert got.keys() == set(pairs)
+    assert all(r.last_word - r.first_word >= 64 and r.equal_words >= 64 for r in got.values())
+
+
+@pytest.mark.parametrize(("share", "least"), [(0.0, 1.0), (0.05, 0.95), (0.1, 0.9)])
+def test_recall_of_fuzzy_passages_against_what_was_planted(make, share, least):
+    texts = []
+    for i in range(60):
+        shared = prose(3000 + i, 70).replace("\n", " ")
+        texts += [prose(4000 + i, 90) + " " + shared, edited(shared, i, share) + " " + prose(6000 + i, 80)]
+    docs = make([t.replace("\n", " ") for t in texts])
+    got = {(r.doc_id, r.source_id) for r in passages.shared_passages(docs).collect()}
+    want = {(2 * i + 1, 2 * i) for i in range(60)}
+    assert len(got & want) >= least * len(want) and not got - want
+
+
+def test_of_rows_that_repeat_an_id_one_counts(spark):
+    shared = prose(77, 80)
+    rows = [(1, prose(78, 100)), (1, prose(79, 60) + " " + shared), (2, shared + " " + prose(80, 60)), (None, shared)]
+    got = passages.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.source_id) for r in got} <= {(2, 1)} and len(got) <= 1
+
+
+def test_recall_of_line_signatures(spark):
+    rng = random.Random(5)
+    for n in (5, 10, 40, 100, 400):
+        pairs = []
+        size = n + lines.SHINGLE - 1
+        while len(pairs) < 400:  # a changed end: of n shingles each, 8 in 9 of them are shared by both
+            x = "".join(rng.choice("abcdefghijklmnop") for _ in range(size))
+            cut = max(1, round(n / 9))
+            pairs.append((x, x[:-cut] + "".join(rng.choice("qrstuvwxyz") for _ in range(cut))))
+        near = []
+        for x, y in pairs:
+            a, b = ({z[i : i + lines.SHINGLE] for i in range(n)} for z in (x, y))
+            if len(a & b) >= lines.LEAST * len(a | b):
+                near.append((x, y))
+        if not near:
+            continue
+        docs = spark.createDataFrame([(i, z) for i, z in enumerate(sum(near, ()))], "doc_id long, text string")
+        df = lines.lines_of(docs)
+        ids = {r.id: r.doc_id for r in df.collect()}
+        found = {tuple(sorted((ids[r.a], ids[r.b]))) for r in lines.line_links(df).collect()}
+        assert len(found) >= 0.98 * len(near), (n, len(found), len(near))
