@@ -34,7 +34,7 @@ def main(argv: list[str] | None = None) -> None:
     if a.command == "report":
         Zoo.load(str(zoo_file)).table(spark).orderBy(F.col("rank_ir").desc_nulls_last()).show(100, truncate=60)
         return
-    panel = P.load_panel(spark, a.source, **({"folder": a.folder} if a.source == "csv" else {})).withColumn("fwd", P.forward_return(a.horizon))
+    panel = P.load_panel(spark, a.source, **({"folder": a.folder} if a.source == "csv" else {})).withColumns({"fwd": P.forward_return(a.horizon), "ret1": P.forward_return(1)})
     if a.command == "mine":
         zoo = Zoo()
         count = mine(spark, panel, TemplateProposer(most_window=60), zoo, a.horizon, trees=a.trees)

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from panelforge.functions.windows import both, clean, full, rolling, time
+from panelforge.functions.windows import both, clean, full, over, rolling, time
 
 #: Below this population variance a window that isn't constant has no moments of higher order.
 LEAST_VARIANCE = 1e-14
@@ -48,7 +48,7 @@ def operators() -> list[Operator]:
 
 
 def _lag(x: Column, n: int) -> Column:
-    return F.lag(x, n).over(time())
+    return over(F.lag(x, n), time())
 
 
 def _pct(x: Column, n: int) -> Column:
@@ -56,41 +56,41 @@ def _pct(x: Column, n: int) -> Column:
 
 
 def _mean(x: Column, t: int) -> Column:
-    return full(x, t, F.avg(x).over(rolling(t)))
+    return full(x, t, over(F.avg(x), rolling(t)))
 
 
 def _std(x: Column, t: int) -> Column:
-    return full(x, t, F.stddev_samp(x).over(rolling(t)))
+    return full(x, t, over(F.stddev_samp(x), rolling(t)))
 
 
 def _rank(x: Column, t: int) -> Column:
-    seen = F.collect_list(x).over(rolling(t))
+    seen = over(F.collect_list(x), rolling(t))
     less, equal = F.size(F.filter(seen, lambda v: v < x)), F.size(F.filter(seen, lambda v: v == x))
     return full(x, t, (less + (equal + 1) / 2) / t)
 
 
 def _constant(x: Column, t: int) -> Column:
-    return F.min(x).over(rolling(t)) == F.max(x).over(rolling(t))
+    return over(F.min(x), rolling(t)) == over(F.max(x), rolling(t))
 
 
 def _skew(x: Column, t: int) -> Column:
     if t < 3:
         return F.lit(None).cast("double")
-    varied = F.when(F.var_pop(x).over(rolling(t)) > LEAST_VARIANCE, F.skewness(x).over(rolling(t)) * ((t * (t - 1)) ** 0.5 / (t - 2)))
+    varied = F.when(over(F.var_pop(x), rolling(t)) > LEAST_VARIANCE, over(F.skewness(x), rolling(t)) * ((t * (t - 1)) ** 0.5 / (t - 2)))
     return full(x, t, F.when(_constant(x, t), F.lit(0.0)).otherwise(varied))
 
 
 def _kurt(x: Column, t: int) -> Column:
     if t < 4:
         return F.lit(None).cast("double")
-    excess = ((t + 1) * F.kurtosis(x).over(rolling(t)) + 6) * ((t - 1) / ((t - 2) * (t - 3)))
-    varied = F.when(F.var_pop(x).over(rolling(t)) > LEAST_VARIANCE, excess)
+    excess = ((t + 1) * over(F.kurtosis(x), rolling(t)) + 6) * ((t - 1) / ((t - 2) * (t - 3)))
+    varied = F.when(over(F.var_pop(x), rolling(t)) > LEAST_VARIANCE, excess)
     return full(x, t, F.when(_constant(x, t), F.lit(-3.0)).otherwise(varied))
 
 
 def _cov(x: Column, y: Column, t: int) -> Column:
     x, y = both(x, y)
-    return full(x, t, F.covar_samp(x, y).over(rolling(t)))
+    return full(x, t, over(F.covar_samp(x, y), rolling(t)))
 
 
 def _corr(x: Column, y: Column, t: int) -> Column:
@@ -100,7 +100,7 @@ def _corr(x: Column, y: Column, t: int) -> Column:
 
 def _slope(x: Column, y: Column, t: int) -> Column:
     a, _ = both(x, y)
-    return F.try_divide(_cov(x, y, t), full(a, t, F.var_samp(a).over(rolling(t))))
+    return F.try_divide(_cov(x, y, t), full(a, t, over(F.var_samp(a), rolling(t))))
 
 
 for _op in (
@@ -117,11 +117,11 @@ for _op in (
     Operator("Diff", 1, ("t",), lambda x, t: x - _lag(x, t), (), True),
     Operator("Pct", 1, ("t",), _pct, ("Ret", "Roc"), True),
     Operator("Ma", 1, ("t",), _mean, ("Mean", "Sma"), True),
-    Operator("Med", 1, ("t",), lambda x, t: full(x, t, F.percentile(x, F.lit(0.5)).over(rolling(t))), ("Median",), True),
-    Operator("Sum", 1, ("t",), lambda x, t: full(x, t, F.sum(x).over(rolling(t))), (), True),
+    Operator("Med", 1, ("t",), lambda x, t: full(x, t, over(F.percentile(x, F.lit(0.5)), rolling(t))), ("Median",), True),
+    Operator("Sum", 1, ("t",), lambda x, t: full(x, t, over(F.sum(x), rolling(t))), (), True),
     Operator("Std", 1, ("t",), _std, (), True),
-    Operator("Max", 1, ("t",), lambda x, t: full(x, t, F.max(x).over(rolling(t))), (), True),
-    Operator("Min", 1, ("t",), lambda x, t: full(x, t, F.min(x).over(rolling(t))), (), True),
+    Operator("Max", 1, ("t",), lambda x, t: full(x, t, over(F.max(x), rolling(t))), (), True),
+    Operator("Min", 1, ("t",), lambda x, t: full(x, t, over(F.min(x), rolling(t))), (), True),
     Operator("Rank", 1, ("t",), _rank, ("TsRank",), True),
     Operator("Skew", 1, ("t",), _skew, (), True),
     Operator("Kurt", 1, ("t",), _kurt, (), True),

@@ -1,8 +1,9 @@
 """Many formulas at once as one plan over the panel.
 
 Equal subtrees of any of the formulas become one column, so nothing is computed twice; a subtree is a
-column as soon as its children are, so windows never nest. All windows share one partitioning and order:
-the plan has one exchange and one sort, whatever the number of formulas.
+column as soon as its children are, so windows never nest. The means, counts and deviations of a level's
+windows are columns, too, that different operators share. All windows share one partitioning and order: the
+plan has one exchange and one sort, whatever the number of formulas.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelforge.functions.factors import operator
+from panelforge.functions.windows import shared
 from panelforge.plans.formula import Node
 
 KEYS = ("date", "date_idx", "instrument", "inst_ord")
@@ -35,11 +37,12 @@ def wide(panel: DataFrame, factors: Mapping[str, Node], keep: tuple[str, ...] =
     df = panel.select(*KEYS, *(f for f in fields if f not in KEYS))
     for depth in range(2, 1 + max((t.depth for t in trees.values()), default=0)):
         level = {}
-        for n in nodes:
-            if n.op is not None and n.depth == depth:
-                x = [F.col(column[c]) for c in n.children]
-                level[column[n]] = n.op(*x[: n.op.inputs], *n.params, *x[n.op.inputs :])
-        df = df.withColumns(level)
+        with shared(f"__w{depth}_") as windows:
+            for n in nodes:
+                if n.op is not None and n.depth == depth:
+                    x = [F.col(column[c]) for c in n.children]
+                    level[column[n]] = n.op(*x[: n.op.inputs], *n.params, *x[n.op.inputs :])
+        df = df.withColumns(dict(windows.values())).withColumns(level).drop(*(name for name, _ in windows.values()))
     return df.select(*KEYS, *keep, *(F.col(column[t]).alias(name) for name, t in trees.items()))
 
 

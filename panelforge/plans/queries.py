@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelforge.functions.factors import operators
-from panelforge.operators import backtest, combine, longshort, metrics, neutralize, robustness, zoo
+from panelforge.operators import backtest, combine, longshort, metrics, neutralize, reports, robustness, zoo
 from panelforge.plans.compiler import factor_values, wide
 from panelforge.plans.formula import Formula, Node, Step
 from panelforge.plans.subtrees import closed_genes, gene_table
@@ -60,12 +60,13 @@ def full(x: str, t: int, e: str) -> str:
 #: f: Zscore(Ma(close - vwap, 4), 8); g: Neg(Pct(close, 2)); and the forward return over HORIZON months
 _F = f"""
 p1 as (select *, "close" - vwap d, {fin(f'lead("close", {HORIZON}) over {W} / nullif("close", 0) - 1')} fwd,
+    {fin(f'lead("close", 1) over {W} / nullif("close", 0) - 1')} ret1,
     -{fin(f'"close" / nullif(lag("close", 2) over {W}, 0) - 1')} g from panel),
 p2 as (select *, {full("d", 4, f"avg(d) over {win(4)}")} m from p1),
 p3 as (select *, {full("m", 8, f"(m - avg(m) over {win(8)}) / nullif(stddev_samp(m) over {win(8)}, 0)")} f from p2)"""
 VALUES = f"""{SM}, {_F},
-fv as (select 'f' factor_id, date, date_idx, instrument, inst_ord, f "value", fwd from p3
-    union all select 'g', date, date_idx, instrument, inst_ord, g, fwd from p3)"""
+fv as (select 'f' factor_id, date, date_idx, instrument, inst_ord, f "value", fwd, ret1 from p3
+    union all select 'g', date, date_idx, instrument, inst_ord, g, fwd, ret1 from p3)"""
 
 
 def ranked(x: str, name: str) -> str:
@@ -101,11 +102,11 @@ REVERSAL = steps(("Pct", [2], ["close"]), ("Neg", [], ["$1"]))
 
 
 def with_forward(panel: DataFrame, h: int = HORIZON) -> DataFrame:
-    return panel.withColumn("fwd", P.forward_return(h))
+    return panel.withColumns({"fwd": P.forward_return(h), "ret1": P.forward_return(1)})
 
 
 def values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return factor_values(with_forward(P.supplier_panel(spark, sf_dir)), {"f": SIGNAL, "g": REVERSAL}, ("fwd",))
+    return factor_values(with_forward(P.supplier_panel(spark, sf_dir)), {"f": SIGNAL, "g": REVERSAL}, ("fwd", "ret1"))
 
 
 def query(name: str, sql: str | None = None):
@@ -305,13 +306,18 @@ BUCKETS = f"""{VALUES}, b0 as (select *, row_number() over (partition by factor_
 bk as (select *, least(5, greatest(1, ceil(share * 5)))::int bucket from b0)"""
 MEANS = f"""{BUCKETS}, bd as (select factor_id, date, bucket, avg(fwd) r from bk group by all),
 bm as (select factor_id, bucket, avg(r) mean_return from bd group by all)"""
-LS = f"""{BUCKETS}, ls as (select * from (select factor_id, date, date_idx, avg(case when bucket = 5 then fwd end) - avg(case when bucket = 1 then fwd end) ret
+LS = f"""{BUCKETS}, ls as (select * from (select factor_id, date, date_idx, avg(case when bucket = 5 then ret1 end) - avg(case when bucket = 1 then ret1 end) ret
     from bk group by all) where ret is not null)"""
 MONO = """mono as (select factor_id, avg((d >= 0)::int::double) monotonic from (select factor_id, mean_return
     - lag(mean_return) over (partition by factor_id order by bucket) d from bm where mean_return is not null) group by 1)"""
 SHARPE = "sh as (select factor_id, case when count(ret) >= 20 and stddev_samp(ret) >= 1e-12 then avg(ret) / stddev_samp(ret) * sqrt(252.0) end sharpe from ls group by 1)"
 
 
+def next_period(values: DataFrame) -> DataFrame:
+    """Long-short portfolios are held for one period: returns over several would overlap."""
+    return values.withColumn("fwd", F.col("ret1"))
+
+
 @query("quantile_labels", f"with {BUCKETS} select factor_id, date, instrument, bucket from bk")
 def _(spark, sf_dir):
     return longshort.quantile_labels(values(spark, sf_dir)).where("bucket is not null").select("factor_id", "date", "instrument", "bucket")
@@ -329,12 +335,12 @@ def _(spark, sf_dir):
 
 @query("ls_returns", f"with {LS} select factor_id, date, round(ret, 6) as ret from ls")
 def _(spark, sf_dir):
-    return longshort.long_short_returns(values(spark, sf_dir)).select("factor_id", "date", r6("ret").alias("ret"))
+    return longshort.long_short_returns(next_period(values(spark, sf_dir))).select("factor_id", "date", r6("ret").alias("ret"))
 
 
 @query("ls_sharpe", f"with {LS}, {SHARPE} select factor_id, round(sharpe, 6) as sharpe from sh")
 def _(spark, sf_dir):
-    return longshort.annual_sharpe(longshort.long_short_returns(values(spark, sf_dir))).select("factor_id", r6("sharpe").alias("sharpe"))
+    return longshort.annual_sharpe(longshort.long_short_returns(next_period(values(spark, sf_dir)))).select("factor_id", r6("sharpe").alias("sharpe"))
 
 
 @query(
@@ -348,7 +354,7 @@ def _(spark, sf_dir):
     v = values(spark, sf_dir)
     means = longshort.quantile_means(v)
     parts = longshort.quantile_spread(means).join(longshort.monotonic_fraction(means), "factor_id", "left")
-    parts = parts.join(longshort.annual_sharpe(longshort.long_short_returns(v)), "factor_id", "left")
+    parts = parts.join(longshort.annual_sharpe(longshort.long_short_returns(next_period(v))), "factor_id", "left")
     return parts.select("factor_id", r6(longshort.monotonicity_score(F.col("spread"), F.col("monotonic"), F.col("sharpe"))).alias("score"))
 
 
@@ -361,6 +367,80 @@ def _(spark, sf_dir):
     return longshort.decile_table(values(spark, sf_dir)).select("factor_id", "bucket", r6("mean_return").alias("mean_return"), "cells")
 
 
+# ---------------------------------------------------------------- reports by period
+
+SPLIT = "sp as (select greatest(least(floor(count(*) * 0.7)::int - 1, count(*) - 1), 0) s from dates)"
+
+
+def _last_train(df: DataFrame) -> int:
+    return P.split_at(df.agg(F.max("date_idx") + 1).first()[0], 0.7)
+
+
+def _ic_ir(on: str, name: str) -> str:
+    x = f"case when {on} then ic end"
+    return f"round(avg({x}), 6) as rank_ic_{name}, round(case when stddev_samp({x}) > 1e-12 then avg({x}) / stddev_samp({x}) end, 6) as rank_ir_{name}"
+
+
+@query(
+    "period_report",
+    f"""with {RANK_IC}, {SPLIT}, r as (select factor_id, avg(case when date_idx <= s then ic end) a, avg(case when date_idx > s then ic end) b,
+    {_ic_ir("date_idx <= s", "train")}, {_ic_ir("date_idx > s", "valid")} from ric, sp group by 1)
+    select * exclude (a, b), coalesce(a * b < 0, false) as sign_flip,
+    case when a is null or b is null or abs(a) < 1e-12 then 1.0 when b / a <= 0 then 0.2 when b / a < 0.3 then 0.6 when b / a < 0.7 then 0.85 else 1.0 end::double as generalization from r""",
+)
+def _(spark, sf_dir):
+    daily = metrics.daily_rank_ic(values(spark, sf_dir))
+    out = reports.period_report(daily, _last_train(P.supplier_panel(spark, sf_dir)))
+    return out.select("factor_id", *(r6(f"{m}_{p}").alias(f"{m}_{p}") for m in ("rank_ic", "rank_ir") for p in ("train", "valid")), "sign_flip", "generalization")
+
+
+_PERIODS = VALUES.replace("fv as (", "fv0 as (") + f""", {SPLIT},
+fv as (select factor_id || '|' || case when date_idx <= s then 'train' else 'valid' end factor_id, * exclude (factor_id, s) from fv0, sp)"""
+
+
+@query(
+    "longshort_report",
+    f"""with {MEANS.replace(VALUES, _PERIODS)}, {LS.split(BUCKETS + ", ")[1]}, {MONO}, {SHARPE}, {RANKS}, {pearson('rk', 'rv', 'rf', 'ric')},
+    q as (select factor_id, max(case when bucket = 5 then mean_return end) - max(case when bucket = 1 then mean_return end) spread from bm group by 1),
+    ri as (select factor_id, avg(ic) rank_ic from ric group by 1)
+    select split_part(factor_id, '|', 1) as factor_id, split_part(factor_id, '|', 2) as period, round(spread, 6) as spread, round(monotonic, 6) as monotonic,
+    round(sharpe, 6) as sharpe, round(rank_ic, 6) as rank_ic, coalesce(spread > 0 and monotonic >= 0.75 and sharpe >= 1, false) as passes
+    from q left join mono using (factor_id) left join sh using (factor_id) left join ri using (factor_id)""",
+)
+def _(spark, sf_dir):
+    out = reports.longshort_report(values(spark, sf_dir), _last_train(P.supplier_panel(spark, sf_dir)))
+    return out.select("factor_id", "period", *(r6(c).alias(c) for c in ("spread", "monotonic", "sharpe", "rank_ic")), "passes")
+
+
+DEMEANED = f"""{BUCKETS}, dm0 as (select *, ret1 - avg(ret1) over (partition by factor_id, date) r0 from bk where ret1 is not null),
+dm as (select factor_id, date, date_idx, bucket, avg(r0) r from dm0 group by all),
+sr as (select * from (select factor_id, date, date_idx, max(case when bucket = 5 then r end) - max(case when bucket = 1 then r end) ret from dm group by all) where ret is not null)"""
+
+
+@query(
+    "tear_sheet",
+    f"""with {DEMEANED}, {RANKS}, {pearson('rk', 'rv', 'rf', 'ric')},
+    i0 as (select *, (row_number() over (partition by factor_id order by date_idx) - 1) % {HORIZON} = 0 apart from ric where ic is not null),
+    i1 as (select factor_id, avg(ic) m, stddev_samp(ic) s, avg(case when apart then ic end) gm, stddev_samp(case when apart then ic end) gs from i0 group by 1),
+    l1 as (select factor_id, avg(ret) m2, stddev_samp(ret) s2, product(1 + ret) - 1 t from sr group by 1)
+    select factor_id, round(m, 6) as mean_ic, round(case when s > 1e-12 then m / s end, 6) as icir, round(case when gs > 1e-12 then gm / gs end, 6) as icir_gap,
+    round(case when s2 > 1e-12 then m2 / s2 * sqrt(252.0) end, 6) as ls_sharpe, round(log10(abs(t + 1)), 6) as ls_growth_log10 from i1 left join l1 using (factor_id)""",
+)
+def _(spark, sf_dir):
+    sheet = reports.tear_sheet(values(spark, sf_dir), HORIZON)
+    growth = F.log10(F.abs(F.col("ls_total") + 1))  # over many months it has too many digits to compare
+    return sheet.select("factor_id", *(r6(c).alias(c) for c in ("mean_ic", "icir", "icir_gap", "ls_sharpe")), r6(growth).alias("ls_growth_log10"))
+
+
+@query(
+    "tear_curves",
+    f"""with {DEMEANED} select factor_id, bucket, date, round(log10(abs(product(1 + r) over (partition by factor_id, bucket order by date_idx rows unbounded preceding))), 6) as growth_log10 from dm""",
+)
+def _(spark, sf_dir):
+    curves = reports.cumulative(reports.demeaned_returns(values(spark, sf_dir)), ("factor_id", "bucket"), "r")
+    return curves.select("factor_id", "bucket", "date", r6(F.log10(F.abs(F.col("total") + 1))).alias("growth_log10"))
+
+
 # ---------------------------------------------------------------- robustness
 
 
@@ -736,8 +816,28 @@ def _(spark, sf_dir):
     return backtest.top_k_drop_n(runs, market(spark, sf_dir), HORIZON)
 
 
-def _last_train(df: DataFrame) -> int:
-    return P.split_at(df.agg(F.max("date_idx") + 1).first()[0], 0.7)
+@query(
+    "ewma_summary",
+    f"""with {EWMA}, {SPLIT} select factor_id, round(avg(weight), 6) as mean_weight, round(avg((weight <= 1e-12)::int::double), 6) as paused
+    from ew, sp where date_idx > s group by 1""",
+)
+def _(spark, sf_dir):
+    b = basket(spark, sf_dir)
+    out = reports.weight_summary(combine.ewma_weights(b, HALFLIFE, WARM_UP, HORIZON), _last_train(b))
+    return out.select("factor_id", r6("mean_weight").alias("mean_weight"), r6("paused").alias("paused"))
+
+
+@query(
+    "combine_subset",
+    f"""with {BASKET_SQL}, {RANKS}, {pearson('rk', 'rv', 'rf', 'ric')}, {SPLIT},
+    ok as (select factor_id from ric, sp where date_idx > s group by 1 having avg(ic) > 0)
+    select date, instrument, round(avg(value), 6) as pred from ft join ok using (factor_id) group by 1, 2""",
+)
+def _(spark, sf_dir):
+    """The mean of those features whose rank IC is still positive after the training dates."""
+    b = basket(spark, sf_dir)
+    kept = reports.still_valid(metrics.daily_rank_ic(member_values(spark, sf_dir, BASKET)), _last_train(b))
+    return combine.equal_weight(b.join(F.broadcast(kept), "factor_id")).select("date", "instrument", r6("pred").alias("pred"))
 
 
 @query("combine_gbt")
@@ -749,7 +849,7 @@ def _(spark, sf_dir):
 @query("combine_mlp")
 def _(spark, sf_dir):
     b = basket(spark, sf_dir)
-    return combine.mlp(b, list(BASKET), _last_train(b), rounds=15).select("date", "instrument", "pred")
+    return combine.mlp(b, list(BASKET), _last_train(b)).select("date", "instrument", "pred")
 
 
 @query("mine_offline")
@@ -759,5 +859,5 @@ def _(spark, sf_dir):
     from panelforge.search.tree import mine
 
     found = zoo.Zoo(zoo.Criteria(-1.0, -10.0, 2.1, max_hac_pvalue=1.0, max_control_ic=1.0, min_block_frac=0.0, min_q_spread=-1e9))
-    mine(spark, with_forward(P.supplier_panel(spark, sf_dir)), TemplateProposer(), found, HORIZON, trees=1, budget=2, most_budget=2)
+    mine(spark, with_forward(P.supplier_panel(spark, sf_dir)), TemplateProposer(), found, HORIZON)
     return found.table(spark).select("seq", "factor_id", "expression", "rank_ic", "rank_ir", "turnover", "coverage")

@@ -10,11 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelforge.operators import longshort, metrics, robustness
-from panelforge.operators.zoo import Member, Zoo
+from panelforge.operators.neutralize import in_universe, neutralize
+from panelforge.operators.zoo import Member, Zoo, generalization
 from panelforge.plans.compiler import factor_values
-from panelforge.plans.formula import Formula
+from panelforge.plans.formula import Formula, FormulaError, Node
 from panelforge.plans.subtrees import closed_genes, forbidden_gene, gene_table
 from panelforge.search.proposer import Proposer, overfit_score
+from panelforge.sources.panel import forward_return
 
 DIMENSIONS = ("effectiveness", "stability", "turnover", "diversity", "overfitting", "monotonicity")
 
@@ -25,6 +27,7 @@ class Candidate:
     arguments: dict
     metrics: dict[str, float | None]
     scores: dict[str, float]
+    reason: str = ""
 
     @property
     def overall(self) -> float:
@@ -44,43 +47,121 @@ class Place:
     best: float = 0.0
 
 
-def evaluate(panel: DataFrame, formulas: list[Formula], zoo: Zoo, horizon: int) -> list[Candidate | None]:
-    """Candidates of all formulas and argument sets from one compiled plan; of each formula the set with the best rank IC.
+@dataclass(frozen=True)
+class Split:
+    """First and last ordinal of the training dates and, maybe, of those held out for validation."""
 
-    ``panel`` has fwd. A formula with too few values, or none that ranks, gives None.
+    train: tuple[int, int]
+    valid: tuple[int, int] | None = None
+
+    @classmethod
+    def at(cls, n_dates: int, share: float = 0.7) -> Split:
+        """The first ``share`` of the dates to train on, the others to validate."""
+        last = min(max(int(n_dates * share) - 1, 0), n_dates - 1)
+        return cls((0, last), (last + 1, n_dates - 1) if last + 1 < n_dates else None)
+
+
+def prepared(panel: DataFrame, trees: dict[str, Node]) -> DataFrame:
+    """Factor values over the whole history with fwd and ret1 (the next period's return): neutralised, then members only.
+
+    Industry, log_mv and in_universe are used where ``panel`` has them; of what isn't in the universe neither
+    values nor returns count.
     """
-    trees = {f"{i}:{j}": f.tree(a) for i, f in enumerate(formulas) for j, a in enumerate(f.arguments)}
-    values = factor_values(panel, trees, ("fwd",)).persist()
-    table = metrics.alpha_metrics(values)
-    ic = metrics.daily_rank_ic(values)
-    means = longshort.quantile_means(values)
-    joined = (
-        table.join(robustness.newey_west(ic, horizon).select("factor_id", F.col("t").alias("hac_t"), F.col("p").alias("hac_p")), "factor_id", "left")
-        .join(robustness.block_fraction(ic).withColumnRenamed("fraction", "block_pos_frac"), "factor_id", "left")
-        .join(robustness.asset_mismatch(values).withColumnRenamed("control", "control_ic"), "factor_id", "left")
+    keep = [c for c in ("fwd", "ret1", "industry", "log_mv", "in_universe") if c in panel.columns]
+    values = neutralize(factor_values(panel, trees, tuple(keep)))
+    if "in_universe" not in keep:
+        return values
+    out = in_universe(values)
+    return out.withColumns({c: F.when(F.col("in_universe"), F.col(c)) for c in ("fwd", "ret1")})
+
+
+def within(values: DataFrame, dates: tuple[int, int]) -> DataFrame:
+    return values.where(F.col("date_idx").between(*dates))
+
+
+def shape_of(values: DataFrame) -> DataFrame:
+    """factor_id, valid_days (dates with three values at least), deviation (the largest of a day's)."""
+    daily = values.groupBy("factor_id", "date").agg(F.count("value").alias("n"), F.stddev_samp("value").alias("sd"))
+    return daily.groupBy("factor_id").agg(F.sum((F.col("n") >= 3).cast("int")).alias("valid_days"), F.coalesce(F.max("sd"), F.lit(0.0)).alias("deviation"))
+
+
+def full_metrics(values: DataFrame, split: Split, horizon: int, block_least: int = 20, year_least: int = 60) -> DataFrame:
+    """One row per factor: every metric of the training dates, rank IC and IR of the validation dates, and the factor on the
+    overfitting score that these two make."""
+    train = within(values, split.train)
+    ic = metrics.daily_rank_ic(train)
+    means = longshort.quantile_means(train)
+    next_period = train.withColumn("fwd", F.col("ret1"))
+    out = (
+        metrics.alpha_metrics(train).join(shape_of(train), "factor_id")
+        .join(robustness.newey_west(ic, horizon).select("factor_id", F.col("t").alias("hac_t"), F.col("p").alias("hac_p")), "factor_id", "left")
+        .join(robustness.block_fraction(ic, least=block_least).withColumnRenamed("fraction", "block_pos_frac"), "factor_id", "left")
+        .join(robustness.year_fraction(ic, year_least).withColumnRenamed("fraction", "year_pos_frac"), "factor_id", "left")
+        .join(robustness.asset_mismatch(train).withColumnRenamed("control", "control_ic"), "factor_id", "left")
         .join(longshort.quantile_spread(means).withColumnRenamed("spread", "q_spread"), "factor_id", "left")
         .join(longshort.monotonic_fraction(means).withColumnRenamed("monotonic", "q_monotonic"), "factor_id", "left")
+        .join(longshort.annual_sharpe(longshort.long_short_returns(next_period)).withColumnRenamed("sharpe", "ls_sharpe"), "factor_id", "left")
     )
-    rows = {r.factor_id: r.asDict() for r in joined.collect()}  # one row per formula and argument set
+    if split.valid:
+        held_out = metrics.mean_and_ir(metrics.daily_rank_ic(within(values, split.valid)), mean="rank_ic_valid", ir="rank_ir_valid")
+        out = out.join(held_out, "factor_id", "left")
+    else:
+        out = out.withColumns({c: F.lit(None).cast("double") for c in ("rank_ic_valid", "rank_ir_valid")})
+    order = longshort.monotonicity_score(F.col("q_spread"), F.col("q_monotonic"), F.col("ls_sharpe"))
+    return out.withColumns({"monotonicity": order, "generalization": generalization(F.col("rank_ic"), F.col("rank_ic_valid"))})
+
+
+def degenerate(expression: str, m: dict, least_coverage: float = 0.05, least_days: int = 30) -> str | None:
+    """Why a factor can't rank anything, if so."""
+    if m["coverage"] < least_coverage or m["valid_days"] < least_days:
+        return f"{expression} has hardly any values (coverage {m['coverage']:.1%}, {m['valid_days']} days)"
+    return f"{expression} has the same value for all instruments" if m["deviation"] < 1e-12 else None
+
+
+def evaluate(
+    panel: DataFrame, formulas: list[Formula], zoo: Zoo, horizon: int, split: Split, revisions: list[int] | None = None, least_coverage: float = 0.05, least_days: int = 30
+) -> list[Candidate | FormulaError]:
+    """Candidates of all formulas and argument sets from one compiled plan; of each formula the set with the best training rank IC.
+
+    ``panel`` has fwd and ret1. A formula none of whose sets can rank gives the error of its last set.
+    Correlations with the members of ``zoo`` are part of the metrics before anything is scored.
+    """
+    spark = panel.sparkSession
+    trees = {f"{i}:{j}": f.tree(a) for i, f in enumerate(formulas) for j, a in enumerate(f.arguments)}
+    members = {f"zoo:{i}": Formula.parse(m.formula).tree(m.args) for i, m in enumerate(zoo.members)}
+    values = prepared(panel, trees | members).persist()
+    rows = {r.factor_id: r.asDict() for r in full_metrics(values.where(F.col("factor_id").isin(list(trees))), split, horizon).collect()}
+    if members:
+        pairs = spark.createDataFrame([(a, b) for a in trees for b in members], "a string, b string")
+        known = metrics.factor_correlation(within(values, split.train), pairs).groupBy("factor_id").agg(F.max(F.abs("corr")).alias("c")).collect()
+        for r in known:
+            rows[r.factor_id]["max_corr"] = r.c
     values.unpersist()
-    out: list[Candidate | None] = []
+    out: list[Candidate | FormulaError] = []
     for i, f in enumerate(formulas):
-        known = [(rows[k]["rank_ic"], -j) for j in range(len(f.arguments)) if (k := f"{i}:{j}") in rows and rows[k]["rank_ic"] is not None and rows[k]["coverage"] >= 0.05]
-        if not known:
-            out.append(None)
+        best, error = None, f"no argument set of {f.text()} has a rank IC"
+        for j, a in enumerate(f.arguments):
+            m = rows[f"{i}:{j}"]
+            if why := degenerate(f.text(a), m, least_coverage, least_days):
+                error = why
+            elif m["rank_ic"] is not None and (best is None or m["rank_ic"] > rows[f"{i}:{best}"]["rank_ic"]):
+                best = j
+        if best is None:
+            out.append(FormulaError(error))
             continue
-        j = -max(known)[1]
-        m = {k: v for k, v in rows[f"{i}:{j}"].items() if k != "factor_id"}
-        spread, order = m.get("q_spread") or 0.0, m.get("q_monotonic") or 0.0
+        m = {"max_corr": 0.0} | {k: v for k, v in rows[f"{i}:{best}"].items() if k != "factor_id"}
+        structure, reason = overfit_score(f.tree(f.arguments[best]), revisions[i] if revisions else 0)
         scores = {
             "effectiveness": 1 - zoo.relative_rank("rank_ic", m["rank_ic"]),
             "stability": 1 - zoo.relative_rank("rank_ir", m["rank_ir"]),
             "turnover": 1 - zoo.relative_rank("turnover", m["turnover"], higher=False),
-            "diversity": 1 - zoo.relative_rank("max_corr", m.get("max_corr"), higher=False),
-            "monotonicity": 0.4 * order if spread > 0 else 0.0,
-            "overfitting": overfit_score(f.tree(f.arguments[j])) / 10,
+            "diversity": 1 - zoo.relative_rank("max_corr", m["max_corr"], higher=False),
+            "monotonicity": m.pop("monotonicity"),
+            "overfitting": structure / 10 * (general := m.pop("generalization")),
         }
-        out.append(Candidate(f, f.arguments[j], m, scores))
+        if general < 1:
+            reason += f"; validation rank IC {m['rank_ic_valid']:+.4f} against {m['rank_ic']:+.4f} in training"
+        out.append(Candidate(f, f.arguments[best], m, scores, reason))
     return out
 
 
@@ -122,37 +203,63 @@ class Counters:
     breakthroughs: int = 0
 
 
-def admit(spark: SparkSession, panel: DataFrame, candidates: list[Candidate], zoo: Zoo) -> int:
+def admit(spark: SparkSession, panel: DataFrame, candidates: list[Candidate], zoo: Zoo, split: Split) -> int:
     """Offer candidates to the zoo in turn, each measured against the members at that moment; how many got in.
 
-    All pairwise correlations come from one job; which of them count depends on who is in by then.
+    Correlations of each candidate with members and earlier candidates come from one job over the training
+    dates; which of them count depends on who is in by then.
     """
-    trees = {m.expression: Formula.parse(m.formula).tree(m.args) for m in zoo.members}
-    trees |= {c.expression: c.formula.tree(c.arguments) for c in candidates}
-    values = factor_values(panel, trees).persist()
-    corr = {frozenset((r.factor_id, r.other_id)): abs(r.corr or 0.0) for r in metrics.factor_correlation(values).collect()}
+    members = {m.expression: Formula.parse(m.formula).tree(m.args) for m in zoo.members}
+    own = {c.expression: c.formula.tree(c.arguments) for c in candidates}
+    values = within(prepared(panel, members | own), split.train).persist()
+    names = list(own)
+    met = [(a, b) for i, a in enumerate(names) for b in [*members, *names[:i]] if a != b]
+    corr = {}
+    if met:
+        pairs = spark.createDataFrame(met, "a string, b string")
+        corr = {(r.factor_id, r.other_id): abs(r.corr or 0.0) for r in metrics.factor_correlation(values, pairs).collect()}
     added = 0
     for c in candidates:
-        members = [m.expression for m in zoo.members]
-        c.metrics["max_corr"] = max((corr.get(frozenset((c.expression, m)), 0.0) for m in members), default=0.0)
-        c.metrics["recon_r2"] = None if c.expression in members else robustness.reconstruction_r2(values, c.expression, members)
-        added += not zoo.add(spark, Member(c.formula.name, c.expression, c.formula.to_json(), c.arguments, c.metrics, c.scores, c.overall))
+        pool = [m.expression for m in zoo.members]
+        c.metrics["max_corr"] = max((max(corr.get((c.expression, m), 0.0), corr.get((m, c.expression), 0.0)) for m in pool), default=0.0)
+        c.metrics["recon_r2"] = None if c.expression in pool else robustness.reconstruction_r2(values, c.expression, pool)
+        added += not zoo.add(spark, Member(c.formula.name, c.expression, c.formula.to_json(), c.arguments, c.metrics, c.scores, c.overall, c.reason))
     values.unpersist()
     return added
 
 
+def depth_of(place: Place) -> int:
+    n = 0
+    while place.parent is not None:
+        n, place = n + 1, place.parent
+    return n
+
+
 def mine(
-    spark: SparkSession, panel: DataFrame, proposer: Proposer, zoo: Zoo, horizon: int, trees: int = 2, budget: int = 3, most_budget: int = 6, seed: int = 7
+    spark: SparkSession, panel: DataFrame, proposer: Proposer, zoo: Zoo, horizon: int, trees: int = 2, budget: int = 3, most_budget: int = 6, seed: int = 7,
+    split: Split | None = None, root_tries: int = 3,
 ) -> Counters:
-    """Grow trees and admit what passes the gates into ``zoo``. A better score than before in a tree buys it a step."""
+    """Grow trees and admit what passes the gates into ``zoo``. A better score than before in a tree buys it a step.
+
+    Metrics are of the training dates; those held out only enter by how much of the rank IC is left there.
+    ``panel`` has fwd; ret1, where it is missing, is the next period's return.
+    """
     rng, count, avoid = random.Random(seed), Counters(), []
+    if "ret1" not in panel.columns:
+        panel = panel.withColumn("ret1", forward_return(1))
     panel = panel.persist()
+    split = split or Split.at(panel.agg(F.max("date_idx") + 1).first()[0])
+
+    def tried(formula: Formula, revisions: int) -> Candidate | None:
+        count.generated += 1
+        found = evaluate(panel, [formula], zoo, horizon, split, [revisions])[0]
+        count.invalid += isinstance(found, FormulaError)
+        return None if isinstance(found, FormulaError) else found
+
     for _ in range(trees):
         count.trees += 1
-        first = evaluate(panel, [proposer.propose(avoid)], zoo, horizon)[0]
-        count.generated += 1
+        first = next((c for _ in range(root_tries) if (c := tried(proposer.propose(avoid), 0))), None)
         if first is None:
-            count.invalid += 1
             continue
         root = Place(first, best=first.overall)
         places, left, spent = [root], budget, 0
@@ -162,10 +269,8 @@ def mine(
             formula = proposer.propose(avoid, at.candidate.formula, weakest(at.candidate.scores, rng))
             if forbidden_gene(formula.tree(), avoid):
                 formula = proposer.propose(avoid, None)
-            count.generated += 1
-            found = evaluate(panel, [formula], zoo, horizon)[0]
+            found = tried(formula, depth_of(at) + 1)
             if found is None:
-                count.invalid += 1
                 continue
             child = Place(found, at)
             at.children.append(child)
@@ -174,7 +279,7 @@ def mine(
                 count.breakthroughs += 1
                 left += 1
             backpropagate(child)
-        count.added += admit(spark, panel, [p.candidate for p in places], zoo)
+        count.added += admit(spark, panel, [p.candidate for p in places], zoo, split)
         if len(zoo.members) >= 2:
             members = [Formula.parse(m.formula).tree() for m in zoo.members]
             avoid = [r.gene for r in closed_genes(gene_table(spark, members), len(members), least_support=0.5).collect()]

@@ -219,3 +219,118 @@ def test_generalization_steps(spark):
     cases = [(0.1, None, 1.0), (0.1, -0.01, 0.2), (0.1, 0.02, 0.6), (0.1, 0.05, 0.85), (0.1, 0.09, 1.0), (0.0, 0.5, 1.0)]
     df = spark.createDataFrame(cases, "t double, v double, want double").withColumn("got", zoo.generalization(F.col("t"), F.col("v")))
     assert df.where("got <> want").count() == 0
+
+
+def _search_panel(spark):
+    from panelforge.sources import panel as P
+
+    p = P.synthetic_panel(spark, instruments=15, days=160)
+    return p.withColumns({"fwd": P.forward_return(5), "ret1": P.forward_return(1)})
+
+
+def test_evaluation_trains_and_validates_on_dates_of_their_own(spark):
+    from panelforge.operators import metrics
+    from panelforge.operators.zoo import METRICS, Zoo
+    from panelforge.plans.compiler import factor_values
+    from panelforge.plans.formula import Formula, FormulaError
+    from panelforge.plans.templates import formula_of
+    from panelforge.search.tree import Candidate, Split, evaluate
+
+    panel, split = _search_panel(spark), Split.at(160, 0.6)
+    assert split == Split((0, 95), (96, 159))
+    flat = Formula.parse({"formula": [{"name": "Greater", "input": ["high", "low"], "output": "out"}], "arguments": [{}]})
+    got = evaluate(panel, [formula_of("pressure"), flat], Zoo(), 5, split)
+    assert isinstance(got[1], FormulaError) and "same value" in str(got[1])
+    one = got[0]
+    assert isinstance(one, Candidate) and set(METRICS) - {"recon_r2"} <= one.metrics.keys() and 0 <= one.overall <= 1
+    daily = metrics.daily_rank_ic(factor_values(panel, {"x": one.formula.tree(one.arguments)}, ("fwd",))).toPandas()
+    for name, (a, b) in (("rank_ic", split.train), ("rank_ic_valid", split.valid)):
+        part = daily[daily.date_idx.between(a, b)].ic
+        assert abs(one.metrics[name] - part.mean()) < 1e-9
+    again = evaluate(panel, [formula_of("pressure")], Zoo(members=[_member(one)]), 5, split)[0]
+    assert again.metrics["max_corr"] > 0.999 and again.scores["diversity"] == 0.0
+
+
+def _member(c):
+    from panelforge.operators.zoo import Member
+
+    return Member(c.formula.name, c.expression, c.formula.to_json(), c.arguments, c.metrics | {"max_corr": 0.0})
+
+
+def test_a_short_search_admits_what_passes_open_gates(spark):
+    from panelforge.operators.zoo import Criteria, Zoo
+    from panelforge.search.proposer import TemplateProposer, overfit_score
+    from panelforge.plans.templates import formula_of
+    from panelforge.search.tree import mine
+
+    found = Zoo(Criteria(-1.0, -10.0, 2.1, max_hac_pvalue=1.0, max_control_ic=1.0, min_block_frac=0.0, min_year_frac=0.0, min_q_spread=-1e9, min_ls_sharpe=-1e9))
+    count = mine(spark, _search_panel(spark), TemplateProposer(), found, 5, trees=1, budget=1, most_budget=1)
+    assert count.trees == 1 and count.generated >= 2 and count.added == len(found.members) >= 1
+    assert all(m.metrics["rank_ic_valid"] is not None and m.overfit_reason for m in found.members)
+    plain = formula_of("reversal", a=20).tree({"a": 20})
+    assert overfit_score(plain)[0] == 10.0 and overfit_score(plain, 4)[0] == 9.0
+    assert abs(overfit_score(formula_of("reversal").tree({"a": 47}))[0] - 9.4) < 1e-12
+
+
+def test_automatic_lag_matches_a_loop(spark):
+    import math
+
+    import numpy as np
+
+    from panelforge.operators import robustness
+
+    rng = np.random.default_rng(4)
+    rows, want = [], {}
+    for name, n in (("a", 700), ("b", 90), ("c", 4), ("d", 2)):
+        x = np.cumsum(rng.normal(0.01, 0.1, n)) * 0.1 + rng.normal(0.02, 1, n)
+        rows += [(name, i, float(v)) for i, v in enumerate(x)]
+        if n < 3:
+            want[name] = (None, 1.0)
+            continue
+        lag, d = min(int(4 * (n / 100) ** (2 / 9)), n - 1), x - x.mean()
+        var = (d @ d + 2 * sum((1 - k / (lag + 1)) * (d[k:] @ d[:-k]) for k in range(1, lag + 1))) / n
+        t = x.mean() / math.sqrt(max(var, 1e-18) / n)
+        want[name] = (t, 0.5 * math.erfc(t / math.sqrt(2)))
+    df = spark.createDataFrame(rows, "factor_id string, date_idx int, ic double")
+    for r in robustness.newey_west(df).collect():
+        t, p = want[r.factor_id]
+        assert (r.t is None) == (t is None) and (t is None or abs(r.t - t) < 1e-9) and abs(r.p - p) < 1e-9
+
+
+def test_learnt_combinations_follow_a_signal_and_drop_n_matches_a_loop(spark):
+    import numpy as np
+    import pandas as pd
+
+    from panelforge.operators import backtest, combine
+
+    rng = np.random.default_rng(8)
+    days, names = 40, 12
+    x = rng.normal(size=(2, days, names))
+    fwd = x[0] - 0.5 * x[1] + 0.2 * rng.normal(size=(days, names))
+    date = pd.date_range("2020-01-01", periods=days).date
+    cells = [(f, date[d], d, str(i), i, float(x[k, d, i]), float(fwd[d, i])) for k, f in enumerate("ab") for d in range(days) for i in range(names)]
+    feats = spark.createDataFrame(cells, "factor_id string, date date, date_idx int, instrument string, inst_ord int, value double, fwd double")
+    normal = combine.rank_normalized(feats)
+    for made in (combine.gbt(normal, ["a", "b"], 25), combine.mlp(normal, ["a", "b"], 25)):
+        got = made.where("date_idx > 25").toPandas()
+        got["fwd"] = [fwd[d, int(i)] for d, i in zip(got.date_idx, got.instrument)]
+        assert got.groupby("date_idx").apply(lambda g: g.pred.corr(g.fwd, method="spearman"), include_groups=False).mean() > 0.6
+    pred, ret = x[0], rng.normal(0, 0.02, (days, names))
+    p = spark.createDataFrame([(date[d], d, str(i), i, float(pred[d, i])) for d in range(days) for i in range(names)], "date date, date_idx int, instrument string, inst_ord int, pred double")
+    r = spark.createDataFrame([(date[d], d, str(i), float(ret[d, i]), float(ret[d, i])) for d in range(days) for i in range(names)], "date date, date_idx int, instrument string, ret double, bench double")
+    got = {q.date_idx: q.excess for q in backtest.top_k_drop_n(p, r, 2, share=0.34, cost=0.001).collect()}
+    k, held, due = max(1, round(0.34 * names)), [], 0.0
+    n = max(1, round(k / 2))
+    for d in range(days):
+        if d:
+            port = np.mean([ret[d, i] for i in held]) if held else 0.0
+            assert abs(got[d] - (port - ret[d].mean() - due)) < 1e-12
+        due, order = 0.0, sorted(range(names), key=lambda i: -pred[d, i])
+        if not held:
+            held, due = order[:k], 0.001
+            continue
+        out = sorted((i for i in held if i not in order[:k]), key=order.index, reverse=True)[:n]
+        into = [i for i in order if i not in held][: len(out)]
+        if out:
+            held = [i for i in held if i not in out] + into
+            due = 0.001 * 2 * len(out) / len(held)
