@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -35,10 +37,30 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared folder and read again, so that its lineage ends there."""
+_scratch: ContextVar[list[list[str]]] = ContextVar("scratch", default=[])
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables written within are deleted at its end, but for those written with ``result``: these are left to what is around it."""
+    held: list[str] = []
+    before = _scratch.set([*_scratch.get(), held])
+    try:
+        yield
+    finally:
+        _scratch.reset(before)
+        for path in held:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def written(df: DataFrame, result: bool = False) -> DataFrame:
+    """``df`` written once to the shared folder and read again, so that its lineage ends there. See ``scratch``."""
     path = f"{shared_dir(df.sparkSession)}/t-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    around = _scratch.get()[: -1 if result else None]
+    if around:
+        around[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -160,15 +182,17 @@ HOT = 1 / 512
 def joined(big: DataFrame, small: DataFrame, keys: list[str], n: str, total: int) -> DataFrame:
     """Inner join of ``big`` with ``small``, one row a key, whose column ``n`` says how many rows ``big`` has of it.
 
-    Rows of hot keys stay where they are and get their partner from a broadcast table of at most 1 / HOT rows;
-    only the others move. ``total``: the rows of ``big``, a stored table, as it is read twice.
+    Rows of hot keys stay where they are and get their partner from a broadcast table of fewer than 1 / HOT
+    rows; only the others move. ``total``: the rows of ``big``. Both are stored tables, as they are read more than once.
     """
     hot = F.col(n) > F.lit(HOT * total)
-    few = small.where(hot)
+    few = small.where(hot).collect()
+    if not few:
+        return big.join(small.drop(n), keys)
+    held = big.sparkSession.createDataFrame(few, small.schema).drop(n)
     return (
-        big.join(F.broadcast(few), keys)
-        .unionByName(big.join(F.broadcast(few.select(*keys)), keys, "left_anti").join(small.where(~hot), keys))
-        .drop(n)
+        big.join(F.broadcast(held), keys)
+        .unionByName(big.join(F.broadcast(held.select(*keys)), keys, "left_anti").join(small.where(~hot).drop(n), keys))
     )
 
 
@@ -181,36 +205,36 @@ def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     Nothing is collected but a few numbers a round. Edges with a null end or equal ends are ignored. It is
     an error if the rounds run out before nothing changes.
     """
-    e = written(
-        edges.where("a is not null and b is not null and a <> b")
-        .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        .distinct()
-    )
-    known, m = None, e.count()
-    for _ in range(most_rounds):
-        both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
-        large = written(  # every larger neighbour now points to the smallest one
-            joined(e.select(F.col("v").alias("u"), F.col("u").alias("w")), low, ["u"], "n", m).select(F.col("w").alias("u"), F.col("m").alias("v"))
-            .where("u <> v").distinct()
-        )
-        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        small = joined(large, low, ["u"], "n", m)
+    with scratch(edges.sparkSession):
         e = written(
-            small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+            edges.where("a is not null and b is not null and a <> b")
+            .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+            .distinct()
         )
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == known:
-            break
-        known, m = now, max(m, now[0])
-    else:
-        raise RuntimeError(f"components aren't settled after {most_rounds} rounds")
-    # at the fixed point every node has one edge, to its root
-    stars = e.groupBy("u").agg(F.min("v").alias("root"))
-    return stars.select(F.col("u").alias("node"), "root").unionByName(
-        stars.select(F.col("root").alias("node"), "root").distinct()
-    )
+        known, m = None, e.count()
+        for _ in range(most_rounds):
+            both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            low = written(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n")))
+            large = written(  # every larger neighbour now points to the smallest one
+                joined(e.select(F.col("v").alias("u"), F.col("u").alias("w")), low, ["u"], "n", m).select(F.col("w").alias("u"), F.col("m").alias("v"))
+                .where("u <> v").distinct()
+            )
+            low = written(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+            small = joined(large, low, ["u"], "n", m)
+            e = written(
+                small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+                .unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+            )
+            now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+            if now == known:
+                break
+            known, m = now, max(m, now[0])
+        else:
+            raise RuntimeError(f"components aren't settled after {most_rounds} rounds")
+        # at the fixed point every node has one edge, to its root
+        stars = e.groupBy("u").agg(F.min("v").alias("root"))
+        own = stars.select(F.col("root").alias("node"), "root").distinct()
+        return written(stars.select(F.col("u").alias("node"), "root").unionByName(own), result=True)
 
 
 def _flagged(df: DataFrame, column: str, wanted: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import U64, WordHasher, as_bytes, bit_set, components, grams, grouped, hashed, id_bits, mix, table, written
+from panelforge.llm.common import U64, WordHasher, as_bytes, bit_set, components, grams, grouped, hashed, id_bits, mix, scratch, table, written
 
 #: Sets up to this size may be light; sets of one block of a large candidate group.
 MOST_LIGHT, BLOCK = 40, 1024
@@ -135,59 +135,61 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
                 [pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 7, kinds)], ["doc_id", "n", "d1", "d2", "own", "rest", "small"]
             )
 
-    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), as_bytes().alias("b"))
-    all_sets = written(
-        read.mapInArrow(sets, "doc_id long, n long, d1 long, d2 long, own array<long>, rest array<long>, small array<long>")
-    )
-    ids = all_sets.select("doc_id", "n", "d1", "d2")
-    reps = ids.where("n > 0 and doc_id is not null").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"))
-    first = all_sets.join(reps.select(F.col("rep").alias("doc_id"), "n", "d1", "d2"), ["doc_id", "n", "d1", "d2"], "left_semi").dropDuplicates(
-        ["doc_id", "n", "d1", "d2"]
-    )
-    first = written(first.select(F.xxhash64("doc_id", "d1", "d2").alias("set"), "doc_id", "n", "own", "rest", "small"))
-
-    entry = first.select("set", F.explode("own").alias("token"))
-    counts = written(entry.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"))
-    shared = entry.join(counts, "token").groupBy("set").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("shared"))
-    tokens, listed = first.agg(F.sum(F.size("own"))).first()[0] or 0, counts.agg(F.sum("df")).first()[0] or 0
-    sizes = {r.n: r["count"] for r in first.where(F.col("n") <= MOST_LIGHT).groupBy("n").count().collect()}
-    x = boundary(sizes, 1 + listed / max(1, tokens), num, den)
-
-    # heavy sets: lists of the rarest tokens; those seen once take up places but have no list
-    lack = F.expr(f"n - ({num} * n + {den - 1}) div {den} + 1")
-    heavy = (
-        first.where(F.col("n") >= x).join(shared, "set", "left")
-        .withColumn("shared", F.coalesce("shared", F.array().cast("array<struct<df:bigint,token:bigint>>")))
-        .withColumn("need", (lack - (F.size("own") - F.size("shared"))).cast("int"))
-        .where("need > 0")
-        .select("set", "doc_id", F.explode(F.concat(
-            F.transform(F.slice("shared", F.lit(1), F.col("need")), lambda s: s["token"]),
-            F.slice("rest", F.lit(1), F.greatest(F.lit(0), F.col("need") - F.size("shared")).cast("int")),
-        )).alias("key"))
-    )
-
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for name, doc, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                own = light_keys(np.asarray(v, np.int64).view(U64), num, den).view(np.int64)
-                yield pa.record_batch([pa.array([name] * len(own)), pa.array([doc] * len(own)), pa.array(own)], ["set", "doc_id", "key"])
-
-    light = first.where(F.col("n") * num < F.lit(x * den)).select("set", "doc_id", "small").mapInArrow(keys, "set long, doc_id long, key long")
-    met = written(heavy.withColumn("kind", F.lit(0)).unionByName(light.withColumn("kind", F.lit(1))))
-    hubs = met.groupBy("kind", "key").agg(F.min("set").alias("a"), F.max("set").alias("z")).where("a <> z").select("kind", "key", "a")
-    groups = written(components(met.join(hubs, ["kind", "key"]).select("a", F.col("set").alias("b"))))
-
-    links = written(_verified(read, first, groups, k, num, den))
-    # ``whole``: found in one place, so that the smallest id is already known
-    found = links.where("whole").select("doc_id", "root")
-    parts = links.where("not whole").select(F.col("root").alias("a"), F.col("doc_id").alias("b"))
-    if not parts.isEmpty():
-        found = found.unionByName(components(parts).select(F.col("node").alias("doc_id"), "root"))
-    found = found.groupBy("doc_id").agg(F.min("root").alias("root"))
-    return (
-        ids.join(reps, ["n", "d1", "d2"], "left").join(found.withColumnRenamed("doc_id", "rep"), "rep", "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "rep", "doc_id").alias("component_id"))
-    )
+    with scratch(docs.sparkSession):
+        read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), as_bytes().alias("b"))
+        all_sets = written(
+            read.mapInArrow(sets, "doc_id long, n long, d1 long, d2 long, own array<long>, rest array<long>, small array<long>")
+        )
+        ids = all_sets.select("doc_id", "n", "d1", "d2")
+        reps = ids.where("n > 0 and doc_id is not null").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"))
+        first = all_sets.join(reps.select(F.col("rep").alias("doc_id"), "n", "d1", "d2"), ["doc_id", "n", "d1", "d2"], "left_semi").dropDuplicates(
+            ["doc_id", "n", "d1", "d2"]
+        )
+        first = written(first.select(F.xxhash64("doc_id", "d1", "d2").alias("set"), "doc_id", "n", "own", "rest", "small"))
+
+        entry = first.select("set", F.explode("own").alias("token"))
+        counts = written(entry.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"))
+        shared = entry.join(counts, "token").groupBy("set").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("shared"))
+        tokens, listed = first.agg(F.sum(F.size("own"))).first()[0] or 0, counts.agg(F.sum("df")).first()[0] or 0
+        sizes = {r.n: r["count"] for r in first.where(F.col("n") <= MOST_LIGHT).groupBy("n").count().collect()}
+        x = boundary(sizes, 1 + listed / max(1, tokens), num, den)
+
+        # heavy sets: lists of the rarest tokens; those seen once take up places but have no list
+        lack = F.expr(f"n - ({num} * n + {den - 1}) div {den} + 1")
+        heavy = (
+            first.where(F.col("n") >= x).join(shared, "set", "left")
+            .withColumn("shared", F.coalesce("shared", F.array().cast("array<struct<df:bigint,token:bigint>>")))
+            .withColumn("need", (lack - (F.size("own") - F.size("shared"))).cast("int"))
+            .where("need > 0")
+            .select("set", "doc_id", F.explode(F.concat(
+                F.transform(F.slice("shared", F.lit(1), F.col("need")), lambda s: s["token"]),
+                F.slice("rest", F.lit(1), F.greatest(F.lit(0), F.col("need") - F.size("shared")).cast("int")),
+            )).alias("key"))
+        )
+
+        def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for name, doc, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                    own = light_keys(np.asarray(v, np.int64).view(U64), num, den).view(np.int64)
+                    yield pa.record_batch([pa.array([name] * len(own)), pa.array([doc] * len(own)), pa.array(own)], ["set", "doc_id", "key"])
+
+        light = first.where(F.col("n") * num < F.lit(x * den)).select("set", "doc_id", "small").mapInArrow(keys, "set long, doc_id long, key long")
+        met = written(heavy.withColumn("kind", F.lit(0)).unionByName(light.withColumn("kind", F.lit(1))))
+        hubs = met.groupBy("kind", "key").agg(F.min("set").alias("a"), F.max("set").alias("z")).where("a <> z").select("kind", "key", "a")
+        groups = written(components(met.join(hubs, ["kind", "key"]).select("a", F.col("set").alias("b"))))
+
+        links = written(_verified(read, first, groups, k, num, den))
+        # ``whole``: found in one place, so that the smallest id is already known
+        found = links.where("whole").select("doc_id", "root")
+        parts = links.where("not whole").select(F.col("root").alias("a"), F.col("doc_id").alias("b"))
+        if not parts.isEmpty():
+            found = found.unionByName(components(parts).select(F.col("node").alias("doc_id"), "root"))
+        found = found.groupBy("doc_id").agg(F.min("root").alias("root"))
+        return written(
+            ids.join(reps, ["n", "d1", "d2"], "left").join(found.withColumnRenamed("doc_id", "rep"), "rep", "left")
+            .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "rep", "doc_id").alias("component_id")),
+            result=True,
+        )
 
 
 def _verified(read: DataFrame, first: DataFrame, groups: DataFrame, k: int, num: int, den: int) -> DataFrame:

@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from panelforge.llm.common import table
 
-#: Trees, bits of a hash string, share of a segment's vectors to gather and their least number, rows of a
-#: segment, queries of a block. Unclustered vectors in many dimensions need a large share: at 0.45 recall is 0.96.
-TREES, BITS, SHARE, LEAST, SEGMENT, BLOCK = 32, 32, 0.45, 1_024, 8_192, 4_096
+#: Trees, bits of a hash string, bits of the shortest prefix that counts, share of a segment's vectors to compare exactly
+#: and their least number, rows of a segment, queries of a block. Vectors without any structure need a large share.
+TREES, BITS, SHORTEST, SHARE, LEAST, SEGMENT, BLOCK = 160, 16, 2, 0.25, 256, 8_192, 1_024
 
 
 class Forest:
@@ -46,26 +46,29 @@ class Forest:
         """(place of the query, distance, id) of the nearest candidates of each query, at most ``k`` each.
 
         Descent finds, in every tree, the range of strings that share each length of prefix with the
-        query's. The ascent drops one bit in all trees at a time until the ranges hold enough different
-        vectors; their true distances are then ranked.
+        query's, down to the longest. The ascent goes up one bit in all trees at a time and credits the
+        vectors of a range with 2 to the power of its prefix. Those with most credit are compared exactly.
         """
-        want = min(len(self.x), max(LEAST, 4 * self.k, int(np.ceil(SHARE * len(self.x)))))
+        n = len(self.x)
+        want = min(n, max(LEAST, 4 * self.k, int(np.ceil(SHARE * n))))
         codes = self.codes(queries)
-        low, high = np.empty((TREES, BITS + 1, len(queries)), np.int32), np.empty((TREES, BITS + 1, len(queries)), np.int32)
+        ranges = np.empty((BITS + 1 - SHORTEST, TREES, len(queries), 2), np.int32)
         for t in range(TREES):
-            for level in range(BITS + 1):
+            for level in range(SHORTEST, BITS + 1):
                 tail = np.uint64((1 << (BITS - level)) - 1)
-                low[t, level] = np.searchsorted(self.sorted[t], codes[t] & ~tail)
-                high[t, level] = np.searchsorted(self.sorted[t], codes[t] | tail, "right")
-        most = (high - low).sum(0)  # of each level: at least as many as the different ones
+                ranges[level - SHORTEST, t, :, 0] = np.searchsorted(self.sorted[t], codes[t] & ~tail)
+                ranges[level - SHORTEST, t, :, 1] = np.searchsorted(self.sorted[t], codes[t] | tail, "right")
+        base = (np.arange(TREES) * n)[:, None]
+        order = self.order.ravel()
         for q in range(len(queries)):
-            seen = np.zeros(len(self.x), bool)
-            for level in range(int(np.flatnonzero(most[:, q] >= want).max(initial=0)), -1, -1):
-                for t in range(TREES):
-                    seen[self.order[t, low[t, level, q] : high[t, level, q]]] = True
-                if seen.sum() >= want:
-                    break
-            at = np.flatnonzero(seen)
+            credit = np.zeros(n, np.float32)
+            for level in range(BITS, SHORTEST - 1, -1):
+                low, high = (ranges[level - SHORTEST, :, q] + base).T
+                size = high - low
+                if total := int(size.sum()):
+                    at = np.repeat(low - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(total)
+                    credit += np.bincount(order[at], minlength=n).astype(np.float32) * np.float32(1 << level)
+            at = np.argpartition(-credit, want - 1)[:want] if want < n else np.arange(n)
             d = np.sqrt(((self.x[at] - queries[q]) ** 2).sum(1))
             keep = np.flatnonzero(d <= np.partition(d, self.k)[self.k]) if len(d) > self.k + 1 else np.arange(len(d))
             best = sorted((float(d[i]), v) for i in keep for v in self.ids[at[i]] if v != own[q])[: self.k]

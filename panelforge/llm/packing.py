@@ -17,8 +17,8 @@ from pyspark.sql import types as T
 from panelforge.llm.common import table, written
 
 CAPACITY, END_ID = 4096, 1
-#: Buckets over which the rows of one length are numbered, so that a frequent length is no single task.
-BUCKETS = 64
+#: Rows of a bucket in which the rows of one length are numbered, so that a frequent length is no single task.
+BUCKET_ROWS = 100_000
 
 
 #: Texts of these characters and without special strings are split here, others by the tokenizer itself.
@@ -167,39 +167,42 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[i
     return rows, bins
 
 
-PLAN = T.StructType([T.StructField(c, T.LongType()) for c in ("size", "lo", "hi", "bin", "at")])
-
-
 def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``items`` (any columns, with ``length`` from 1 to ``capacity``) and their sequence_id and offset.
 
     Only the histogram of lengths, at most ``capacity`` rows, reaches the driver; the plan made of it is
-    of the same order. Rows of a length are numbered within hashed buckets whose counts give each bucket
-    its start, so no length is gathered in one task. ``items`` should be a stored table: it is read twice.
-    An empty table gives no rows; clashing column names are not looked at, as names used here start with __.
+    of the same order. Rows of a length are numbered within buckets, dealt by the hash of column __row
+    where there is one and else of the whole row, whose number grows with the rows; running sums over a length's
+    buckets give each its start, so no length is gathered in one task. ``items`` should be a stored table: it is
+    read twice. An empty table gives no rows; column names that start with __ are left to this function.
     """
-    spark = items.sparkSession
-    keyed = items.withColumn("__b", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(BUCKETS)))
-    counts = keyed.groupBy("length", "__b").agg(F.count("*").alias("n")).collect()  # capacity * BUCKETS rows at most
-    total: dict[int, int] = {}
-    start = []
-    for r in sorted(counts):
-        start.append((r.length, r.asDict()["__b"], total.get(r.length, 0)))
-        total[r.length] = total.get(r.length, 0) + r.n
-    rows, _ = plan(total, capacity)
-    starts = spark.createDataFrame(start, "length long, __b long, __from long")
-    runs = spark.createDataFrame(rows, PLAN)
+    total = {r.length: r.n for r in items.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    buckets = max(64, -(-sum(total.values()) // BUCKET_ROWS))
+    of = F.xxhash64("__row") if "__row" in items.columns else F.xxhash64(*items.columns)
+    keyed = items.withColumn("__b", F.pmod(of, F.lit(buckets)))
+    upto = F.sum("n").over(Window.partitionBy("length").orderBy("__b"))
+    starts = keyed.groupBy("length", "__b").agg(F.count("*").alias("n")).select("length", "__b", (upto - F.col("n")).alias("__from"))
+    order = [c for c in ("doc_id", "piece", "__row") if c in items.columns]
     ranked = (
-        keyed.withColumn("__r", F.row_number().over(Window.partitionBy("length", "__b").orderBy("doc_id", "piece")))
-        .join(F.broadcast(starts), ["length", "__b"])
-        .withColumn("__k", F.col("__from") + F.col("__r") - 1)
-    )
-    return (
-        ranked.join(F.broadcast(runs), (F.col("length") == F.col("size")) & (F.col("__k") >= F.col("lo")) & (F.col("__k") < F.col("hi")))
-        .withColumn("sequence_id", F.col("bin") + F.col("__k") - F.col("lo"))
-        .withColumn("offset", F.col("at"))
-        .drop("__b", "__r", "__from", "__k", *PLAN.names)
+        keyed.withColumn("__r", F.row_number().over(Window.partitionBy("length", "__b").orderBy(*order)))
+        .join(starts, ["length", "__b"])
+        .withColumn("__k", (F.col("__from") + F.col("__r") - 1).cast("long"))
     )
+    rows, _ = plan(total, capacity)
+    runs = np.array(sorted(rows), np.int64).reshape(-1, 5)
+    sent = items.sparkSession.sparkContext.broadcast(runs)
+    kept = [c for c in items.columns if c != "__row"]
+    out = T.StructType([*(items.schema[c] for c in kept), T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size, low, _, first, at = sent.value.T
+        keys = (size << 44) | low
+        for b in batches:
+            k = b.column("__k").to_numpy()
+            i = np.searchsorted(keys, (b.column("length").to_numpy().astype(np.int64) << 44) | k, "right") - 1
+            yield pa.record_batch([*(b.column(c) for c in kept), pa.array(first[i] + k - low[i]), pa.array(at[i])], [*kept, "sequence_id", "offset"])
+
+    return ranked.select(*kept, "__k").mapInArrow(placed, out)
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
@@ -208,7 +211,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
     Defined for null texts (one piece, the end id), texts of any length, repeated rows and empty tables;
     columns of ``docs`` other than doc_id and text are not read.
     """
-    return pack(written(pieces(docs, tokenizer_path, capacity)), capacity)
+    return pack(written(pieces(docs, tokenizer_path, capacity).withColumn("__row", F.monotonically_increasing_id())), capacity)
 
 
 def op2_packing(spark, sf_dir: str) -> DataFrame:

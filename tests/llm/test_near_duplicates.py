@@ -251,23 +251,24 @@ def test_of_rows_that_repeat_an_id_one_counts(spark):
 
 
 def test_recall_of_line_signatures(spark):
-    rng = random.Random(5)
+    rng, near = random.Random(5), {}
     for n in (5, 10, 40, 100, 400):
-        pairs = []
-        size = n + lines.SHINGLE - 1
-        while len(pairs) < 400:  # a changed end: of n shingles each, 8 in 9 of them are shared by both
-            x = "".join(rng.choice("abcdefghijklmnop") for _ in range(size))
-            cut = max(1, round(n / 9))
-            pairs.append((x, x[:-cut] + "".join(rng.choice("qrstuvwxyz") for _ in range(cut))))
-        near = []
-        for x, y in pairs:
+        while len(near.setdefault(n, [])) < 200:  # a changed end: of n shingles each, 8 in 9 of them are shared by both
+            x = "".join(rng.choice("abcdefghijklmnop") for _ in range(n + lines.SHINGLE - 1))
+            cut = max(1, round(n / 10))
+            y = x[:-cut] + "".join(rng.choice("qrstuvwxyz") for _ in range(cut))
             a, b = ({z[i : i + lines.SHINGLE] for i in range(n)} for z in (x, y))
             if len(a & b) >= lines.LEAST * len(a | b):
-                near.append((x, y))
-        if not near:
-            continue
-        docs = spark.createDataFrame([(i, z) for i, z in enumerate(sum(near, ()))], "doc_id long, text string")
-        df = lines.lines_of(docs)
-        ids = {r.id: r.doc_id for r in df.collect()}
-        found = {tuple(sorted((ids[r.a], ids[r.b]))) for r in lines.line_links(df).collect()}
-        assert len(found) >= 0.98 * len(near), (n, len(found), len(near))
+                near[n].append((x, y))
+            elif n == 5:  # four of six are the nearest that different sets of five come to
+                near.pop(n)
+                break
+    texts = [z for pairs in near.values() for pair in pairs for z in pair]
+    df = lines.lines_of(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    ids = {r.id: r.doc_id for r in df.collect()}
+    found = {tuple(sorted((ids[r.a], ids[r.b]))) for r in lines.line_links(df).collect()}
+    at = 0
+    for n, pairs in near.items():
+        got = sum((at + 2 * i, at + 2 * i + 1) in found for i in range(len(pairs)))
+        assert got >= 0.97 * len(pairs), (n, got)
+        at += 2 * len(pairs)
