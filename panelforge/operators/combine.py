@@ -74,7 +74,8 @@ def mlp(features: DataFrame, factors: list[str], last_train: int, hidden: int =
     """
     cells = table(features, factors)
     k = len(factors)
-    train = cells.where((F.col("date_idx") <= last_train) & F.col("y").isNotNull()).select(F.array(*(f"x{i}" for i in range(k))).alias("x"), "y").persist()
+    names = [f"x{i}" for i in range(k)]
+    train = cells.where((F.col("date_idx") <= last_train) & F.col("y").isNotNull()).select(*names, "y").persist()
     rng = np.random.default_rng(5)
     w = np.concatenate([rng.normal(0, 1, (k + 1) * hidden) * (3 / (k + 1)) ** 0.5, rng.normal(0, 0.1, hidden + 1)])
 
@@ -87,8 +88,7 @@ def mlp(features: DataFrame, factors: list[str], last_train: int, hidden: int =
         def run(parts):
             total, n = np.zeros(len(w)), 0
             for p in parts:
-                x = np.array(p["x"].tolist(), float).reshape(len(p), k)
-                x1, h, out = forward(x, w)
+                x1, h, out = forward(p[names].to_numpy(), w)
                 e = out - p["y"].to_numpy()
                 back = (e[:, None] * w[(k + 1) * hidden : -1]) * (1 - h * h)
                 total += np.concatenate([(x1.T @ back).ravel(), h.T @ e, [e.sum()]])
@@ -107,10 +107,10 @@ def mlp(features: DataFrame, factors: list[str], last_train: int, hidden: int =
     train.unpersist()
 
     @F.pandas_udf("double")
-    def predict(x: pd.Series) -> pd.Series:
-        return pd.Series(forward(np.array(x.tolist(), float).reshape(len(x), k), w)[2])
+    def predict(x: pd.DataFrame) -> pd.Series:
+        return pd.Series(forward(x.to_numpy(), w)[2])
 
-    return cells.select("date", "date_idx", "instrument", "inst_ord", predict(F.array(*(f"x{i}" for i in range(k)))).alias("pred"))
+    return cells.select("date", "date_idx", "instrument", "inst_ord", predict(F.struct(*names)).alias("pred"))
 
 
 def combine(model: str, features: DataFrame, factors: list[str], last_train: int, horizon: int, halflife: float = 63, least: int = 60) -> DataFrame:
