@@ -128,7 +128,12 @@ class Model:
             live = live[~met]
         return more, lost
 
-    def phrases(self, codes: list[np.ndarray], lane: int | None = None) -> np.ndarray:
+    def phrases(self, lanes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """How many longest matches each language needs to parse each lane (column; the longest lanes first) by itself."""
+        many = np.searchsorted(-sizes, -np.arange(1, len(lanes) + 1), "right")
+        return np.array([self.starts(a, lanes, many)[0].sum(0) for a in self.automata]).reshape(len(self.langs), lanes.shape[1])
+
+    def parsed(self, codes: list[np.ndarray], lane: int | None = None) -> np.ndarray:
         """How many longest matches each language needs to parse each text, from its start to its end.
 
         Texts are cut into lanes that are parsed side by side. A phrase that reaches over the end of a lane is
@@ -171,7 +176,7 @@ class Model:
         coded = [self.coded(t) for t in texts]
         n = np.array([len(c) for c in coded])
         letters = np.array([bool((c != GAP).any()) for c in coded], bool)
-        total = self.phrases(coded)
+        total = self.parsed(coded)
         cost = total * np.array([[np.log2(a.n + 2)] for a in self.automata]) / np.maximum(n, 1) if self.langs else total
         lang, score = [], []
         for i in range(len(texts)):

@@ -164,3 +164,46 @@ def test_crc_is_that_of_the_id_as_text(spark):
 
     got = spark.range(50).select("id", crc_mod("id", 7).alias("m")).collect()
     assert all(r.m == zlib.crc32(str(r.id).encode()) % 7 for r in got)
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_tiles_are_those_of_brute_force_and_any_chunks_of_seeds_give_them(seed, monkeypatch):
+    rng = np.random.default_rng(50 + seed)
+    item = rng.integers(0, 5, 36)
+    doc = np.concatenate([rng.integers(0, 5, 15), item[20:35], rng.integers(0, 5, 9), item[:18], item[5:25]])
+    words = [f"w{i}" for i in range(5)]
+    want = brute_tiles(doc.tolist(), item.tolist(), 5)
+    covered = sum(n for n, _, _ in want)
+    for pairs in (3, 10**6):
+        monkeypatch.setattr(tiling, "PAIRS", pairs)
+        held = tiling.Items([(7, " ".join(words[i] for i in item))], 5)
+        got = list(held.found(tiling.WordHasher()([words[i] for i in doc]), 0.01))
+        assert [(g[0], round(g[1] * len(item)), g[2]) for g in got] == [(7, covered, len(want))]
+
+
+def test_short_items_are_found_as_a_whole_and_repetition_stays_bounded(spark, make):
+    items = spark.createDataFrame([(1, "alpha beta gamma delta"), (2, "omega"), (3, " ".join(["x"] * 500))], "item_id long, text string")
+    docs = make(["zz Alpha, beta gamma delta!", "alpha beta delta gamma", "an omega", " ".join(["x"] * 20_000)])
+    got = {(r.doc_id, r.item_id, r.coverage, r.n_tiles) for r in tiling.contaminated(docs, items).collect()}
+    assert got == {(0, 1, 1.0, 1), (2, 2, 1.0, 1), (3, 3, 1.0, 1)}
+
+
+def test_bounds_are_quantiles_of_the_beta_distribution(spark):
+    def quantile(a, b):
+        t = np.linspace(-60 / min(a, b, 1) - 5, 60 / min(a, b, 1) + 5, 400_001)
+        w = a * t - (a + b) * np.logaddexp(0, t)
+        w = np.exp(w - w.max())
+        return 1 / (1 + np.exp(-np.interp(0.95, (np.cumsum(w) - w / 2) / w.sum(), t)))
+
+    cases = [(0.49, 2.51), (0.05, 1.0), (1.0, 1.0), (3.0, 7.0), (30.0, 300.0), (600.0, 400.0), (5.0, 0.3)]
+    got = reputation.with_upper_bound(spark.createDataFrame([*cases, (0.0, 2.0), (2.0, 0.0)], "a double, b double")).collect()
+    for r in got[:-2]:
+        assert abs(r.bound - quantile(r.a, r.b)) < 5e-4
+    assert [r.bound for r in got[-2:]] == [0.0, 1.0]
+
+
+def test_shared_folder_is_needed_on_a_cluster_and_unsettled_components_raise(spark):
+    from panelforge.llm.common import components
+
+    with pytest.raises(RuntimeError):
+        components(spark.createDataFrame([(i, i + 1) for i in range(60)], "a long, b long"), most_rounds=1)

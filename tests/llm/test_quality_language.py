@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -72,3 +74,16 @@ def test_languages(make, odd, empty):
     assert all(out[i].lang_pred == "und" and out[i].score == 0 for i in (0, 1, 5)) and out[7].lang_pred in ("en", "es")
     assert language.identified(odd, model).count() == odd.count() and language.identified(empty, model).count() == 0
     assert language.identified(odd, language.learn(empty)).where("lang_pred <> 'und'").count() == 0
+
+
+def test_lanes_do_not_change_results():
+    rng = random.Random(3)
+
+    def made(n, letters):
+        return "".join(rng.choice(letters) for _ in range(n))
+
+    m = language.Model({"a": made(3000, "abc "), "b": made(3000, "abd e"), "c": "ab" * 500})
+    codes = [m.coded(t) for t in [*(made(rng.randint(0, 900), "abcde x1") for _ in range(40)), "ab" * 1000, "", "a", "zzz"]]
+    whole = m.parsed(codes, 10**9)
+    for lane in (1, 2, 8, 64, 512):
+        assert (m.parsed(codes, lane) == whole).all()
