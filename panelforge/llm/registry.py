@@ -1,6 +1,7 @@
 """The corpus queries by name, and the SQL of those that SQL can express."""
 
 from panelforge.llm import reputation
+from panelforge.llm.conversations import op13_repair
 from panelforge.llm.jaccard import op4_ngram_jaccard
 from panelforge.llm.language import op5_language
 from panelforge.llm.lines import op6_lines
@@ -22,6 +23,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_neighbours": op9_neighbours,
     "op10_tiling": op10_tiling,
+    "op13_repair": op13_repair,
 }
 
 ORACLES: dict[str, str] = {"op7_reputation": reputation.SQL}
