@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 U64 = np.uint64
@@ -175,6 +175,22 @@ def grouped(df: DataFrame, keys: list[str], schema: str, run) -> DataFrame:
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(go, schema)
 
 
+def running(df: DataFrame, order: Sequence[Column], column: Column, name: str) -> DataFrame:
+    """``df`` with the sum of ``column`` over the rows before, in the order of all: a written table.
+
+    Sorted ranges are summed one by one; only a sum for each range passes through the driver.
+    """
+    dealt = written(df.withColumn("__v", column).repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    sums = {r.p: r.v for r in dealt.groupBy(F.col("__part").alias("p")).agg(F.sum("__v").alias("v")).collect()}
+    starts, at = [], 0
+    for p in sorted(sums):
+        starts.append((p, at))
+        at += sums[p]
+    before = F.broadcast(df.sparkSession.createDataFrame(starts, "__part int, __from long"))
+    upto = F.sum("__v").over(Window.partitionBy("__part").orderBy(*order))
+    return dealt.withColumn("__own", upto).join(before, "__part").withColumn(name, F.col("__from") + F.col("__own") - F.col("__v")).drop("__part", "__from", "__own", "__v")
+
+
 #: A key is hot if it has more than this part of all rows; so there are fewer than 512 hot keys, whatever the input.
 HOT = 1 / 512
 

@@ -132,7 +132,7 @@ def _signatures(runs: DataFrame) -> DataFrame:
     twice = "size(filter(sequence(1, greatest(size(b) - 1, 1)), i -> i < size(b) and b[i].low = b[i - 1].high))"
     different = F.expr(f"aggregate(b, 0L, (s, x) -> s + x.turns) - {twice}")
     span = F.expr("cast(array_max(transform(b, x -> x.high)) as decimal(38,0)) - array_min(transform(b, x -> x.low)) + 1")
-    return one.select("k", F.array_join(F.transform("b", lambda x: x["letters"]), "").alias("sig"), F.coalesce((span - different).cast("long"), F.lit(0).cast("long")).alias("gaps"))
+    return one.select("k", F.array_join(F.transform("b", lambda x: x["letters"]), "").alias("sig"), F.when(span.isNull(), 0).otherwise(F.least(span - different, F.lit(2**63 - 1))).cast("long").alias("gaps"))
 
 
 class Repairs:

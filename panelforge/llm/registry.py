@@ -1,6 +1,7 @@
 """The corpus queries by name, and the SQL of those that SQL can express."""
 
-from panelforge.llm import reputation
+from panelforge.llm import negatives, reputation
+from panelforge.llm.balance import op12_mixture
 from panelforge.llm.conversations import op13_repair
 from panelforge.llm.jaccard import op4_ngram_jaccard
 from panelforge.llm.language import op5_language
@@ -23,7 +24,9 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_neighbours": op9_neighbours,
     "op10_tiling": op10_tiling,
+    "op11_hard_negatives": negatives.op11_hard_negatives,
+    "op12_mixture": op12_mixture,
     "op13_repair": op13_repair,
 }
 
-ORACLES: dict[str, str] = {"op7_reputation": reputation.SQL}
+ORACLES: dict[str, str] = {"op7_reputation": reputation.SQL, "op11_hard_negatives": negatives.SQL}
