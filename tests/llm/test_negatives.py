@@ -1,0 +1,123 @@
+import math
+import random
+
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from panelforge.llm.negatives import SQL, Negatives, Positives, hard_negatives, op11_hard_negatives, spanning_tree, top
+
+SCHEMA = "vec_id long, label int, embedding array<float>"
+
+
+def brute(rows, every, positives=5, negatives=3):
+    """(anchor, positive, rank, negative, positive's score, score) from all scores."""
+    kept: dict = {}
+    for i, label, v in rows:
+        if i is None or label is None or v is None or any(x is None or not math.isfinite(x) for x in v):
+            continue
+        one = (label, [math.floor(256 * float(np.float32(x))) for x in v])
+        kept[i] = min(kept.get(i, one), one)
+    score = lambda a, b: sum(x * y for x, y in zip(a, b))
+    out = set()
+    for a, (label, v) in kept.items():
+        if a % every:
+            continue
+        ranked = sorted((-score(v, w), i, m) for i, (m, w) in kept.items() if i != a)
+        for s, p, _ in [r for r in ranked if r[2] == label][:positives]:
+            near = [r for r in ranked if r[2] != label and 50 * -s <= 100 * -r[0] <= 95 * -s][:negatives]
+            out |= {(a, p, k + 1, n, -s, -t) for k, (t, n, _) in enumerate(near)}
+    return out
+
+
+def clustered(n, seed, width=8, centres=6):
+    rng = np.random.default_rng(seed)
+    c = rng.normal(size=(centres, width))
+    return [(i, int(i % centres), [float(x) for x in c[rng.integers(centres)] + rng.normal(size=width) * 0.3]) for i in range(n)]
+
+
+def found(df, every, **more):
+    return {tuple(r) for r in hard_negatives(df, F.col("vec_id") % every == 0, **more).collect()}
+
+
+def test_query_against_its_sql(spark):
+    got = {tuple(r) for r in op11_hard_negatives(spark, "/root/testdata/sf0.01").collect()}
+    db = duckdb.connect()
+    db.execute("create view embeddings as select * from '/root/testdata/sf0.01/embeddings.parquet'")
+    assert got == set(db.execute(SQL).fetchall())
+
+
+def test_blocks_and_groups_give_what_all_scores_give(spark):
+    rows = clustered(400, 1)
+    assert found(spark.createDataFrame(rows, SCHEMA), 5, anchors_in_block=16, rows_in_group=70) == brute(rows, 5)
+
+
+def test_ties_copies_odd_vectors_and_other_columns(spark):
+    rng = random.Random(2)
+    rows = [(i, rng.randint(0, 2), [rng.choice((0.0, 0.5, 1.0)) for _ in range(3)]) for i in range(150)]
+    rows += [(i, 1, [1.0, 1.0, 1.0]) for i in range(150, 260)] + rows[:20] + [(-10, 2, [1.0, 0.5, 0.5]), (-20, 2, [0.0, 0.0, 0.0])]
+    rows += [(300, None, [1.0]), (310, 1, None), (320, 1, [1.0, None, 2.0]), (330, 1, [float("nan"), 1.0, 1.0]), (340, 1, [float("inf"), 0.0, 0.0]), (None, 1, [1.0, 1.0, 1.0])]
+    rows += [(350, 1, [1.0, 1.0]), (360, 0, []), (370, 2, [1.0, 1.0, 1.0, 0.5])]
+    df = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 as id", "2 as block", "3 as g", "4 as v", "5 as ids", "6 as score")
+    assert found(df, 10, anchors_in_block=7, rows_in_group=64) == brute(rows, 10)
+
+
+def test_no_rows_no_anchors_no_positives(spark):
+    empty = spark.createDataFrame([], SCHEMA)
+    assert found(empty, 10) == set()
+    assert found(spark.createDataFrame([(1, 1, [1.0]), (3, 1, [1.0])], SCHEMA), 10) == set()
+    assert found(spark.createDataFrame([(10, 1, [1.0]), (3, 2, [1.0])], SCHEMA), 10) == set()
+
+
+def test_large_components_are_bounded(spark):
+    rows = [(0, 1, [3e38, 0.0]), (1, 1, [3e38, 1.0]), (2, 2, [2.0, 1.0])]
+    got = hard_negatives(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 10 == 0, share=(0, 95)).collect()
+    assert [(r.positive_id, r.negative_id) for r in got] == [(1, 2)]
+    assert got[0].positive_score <= 2**53
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_the_tree_is_a_minimum_spanning_tree(seed):
+    x = np.random.default_rng(seed).integers(-20, 20, (60, 4)).astype(float)
+    order, parent = spanning_tree(x)
+    assert sorted(order) == list(range(60)) and parent[0] == -1 and all(0 <= p < i for i, p in enumerate(parent[1:], 1))
+    length = sum(np.linalg.norm(x[order[i]] - x[order[p]]) for i, p in enumerate(parent) if p >= 0)
+    group, least = list(range(60)), 0.0
+    for d, i, j in sorted((np.linalg.norm(x[i] - x[j]), i, j) for i in range(60) for j in range(i)):
+        if group[i] != group[j]:
+            least += d
+            group = [group[i] if g == group[j] else g for g in group]
+    assert length == pytest.approx(least)
+
+
+def test_few_candidates_are_scored_where_vectors_have_structure():
+    """2,000 candidates in clusters far apart: an anchor is scored with its own cluster's, not with all."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(40, 16)) * 300
+    of = np.sort(rng.integers(0, 40, 2000))
+    y = np.floor(centres[of] + rng.normal(size=(2000, 16)) * 8)
+    labels, ids = (of % 5).astype(np.int64), np.arange(2000)
+    by = np.argsort(labels, kind="stable")
+    a = rng.choice(2000, 200, replace=False)
+    order, parents = spanning_tree(y[a])
+    tree = ids[a][order], labels[a][order], parents, y[a][order]
+    walk = Positives(*tree, k=5)
+    for part in np.array_split(by, 8):
+        walk.over(y[part], labels[part], ids[part])
+    assert walk.scored < 0.5 * 200 * 2000 / 5  # a fifth has the anchor's label
+    wanted: dict = {}
+    for anchor, score, _ in walk.found():
+        wanted.setdefault(anchor, []).append(score)
+    assert all(len(v) == 5 for v in wanted.values())
+    hard = Negatives(*tree, wanted=wanted, k=3, share=(50, 95))
+    for part in np.array_split(by, 8):
+        hard.over(y[part], labels[part], ids[part])
+    assert hard.scored < 0.2 * 200 * 2000
+    for anchor, p, score, i in hard.found():
+        assert score == int(y[anchor] @ y[i]) and 50 * p <= 100 * score <= 95 * p
+
+
+def test_top_breaks_ties_by_id():
+    scores, ids = top(np.array([5, 7, 7, 7, 1] * 9), np.arange(45)[::-1].copy(), 3)
+    assert scores.tolist() == [7, 7, 7] and ids.tolist() == [1, 2, 3]
