@@ -13,58 +13,82 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelforge.functions.stored import stored
+
 TRADING_DAYS = 252
 
 
+def book_sizes(pred: DataFrame, share: float, horizon: int, run: str = "run_id") -> dict[str | None, tuple[int, int]]:
+    """Of each run (column ``run``; None without it): names held, and names exchanged a day, from the median number of
+    predictions a day; halves go to even."""
+    pred = pred if run in pred.columns else pred.withColumn(run, F.lit(None).cast("string"))
+    daily = pred.groupBy(run, "date").agg(F.count("pred").alias("n")).groupBy(run).agg(F.median("n").alias("n"))
+    held = {r[run]: max(1, round(share * int(r.n or 0))) for r in daily.collect()}
+    return {name: (k, max(1, round(k / horizon))) for name, k in held.items()}
+
+
 def book_size(pred: DataFrame, share: float, horizon: int) -> tuple[int, int]:
-    """Names held, and names exchanged a day, from the median number of predictions a day; halves go to even."""
-    daily = pred.groupBy("date").agg(F.count("pred").alias("n"))
-    k = max(1, round(share * int(daily.agg(F.median("n")).first()[0] or 0)))
-    return k, max(1, round(k / horizon))
+    return book_sizes(pred.drop("run_id"), share, horizon).get(None, (1, 1))
+
+
+def _sized(pred: DataFrame, sizes: dict[str | None, tuple[int, int]], run: str) -> DataFrame:
+    """``pred`` with __k and __n of its run: as many rows to join as runs."""
+    rows = [(name, k, n) for name, (k, n) in sizes.items()]
+    return pred.join(F.broadcast(pred.sparkSession.createDataFrame(rows, f"{run} string, __k int, __n int")), run)
 
 
-def summary(excess: DataFrame) -> DataFrame:
-    """One row: days, aer (annual excess return) and ir."""
+def summary(excess: DataFrame, run: str | None = None) -> DataFrame:
+    """One row, or one for each run: days, aer (annual excess return) and ir."""
     sd = F.stddev_samp("excess")
     aer = F.avg("excess") * TRADING_DAYS
-    return excess.agg(F.count("*").alias("days"), aer.alias("aer"), F.when(sd > 1e-12, aer / (sd * F.sqrt(F.lit(float(TRADING_DAYS))))).alias("ir"))
+    of = excess.groupBy(run) if run else excess.groupBy()
+    return of.agg(F.count("*").alias("days"), aer.alias("aer"), F.when(sd > 1e-12, aer / (sd * F.sqrt(F.lit(float(TRADING_DAYS))))).alias("ir"))
 
 
-def periodic(pred: DataFrame, returns: DataFrame, horizon: int, share: float = 0.1, cost: float = 0.0015) -> DataFrame:
-    """date, date_idx, excess: the top names of every ``horizon``-th date held until the next such date.
+def periodic_runs(pred: DataFrame, returns: DataFrame, horizon: int, share: float = 0.1, cost: float = 0.0015, run: str = "run_id") -> DataFrame:
+    """run_id, date, date_idx, excess: the top names of every ``horizon``-th date of a run held until the next such date.
 
     Wholly relational: a book depends on its rebalance date alone. A date without predictions keeps the
     book; costs (once on the first buy, twice on what is replaced later) fall on the next date.
     """
-    k, _ = book_size(pred, share, horizon)
-    first = pred.agg(F.min("date_idx")).first()[0] or 0
-    place = F.row_number().over(Window.partitionBy("date_idx").orderBy(F.desc("pred"), "inst_ord"))
+    dates = pred.groupBy(run, "date", "date_idx").agg(F.count("pred").alias("n"))
+    first = Window.partitionBy(run)
+    dates = dates.withColumn("first", F.min("date_idx").over(first))
+    place = F.row_number().over(Window.partitionBy(run, "date_idx").orderBy(F.desc("pred"), "inst_ord"))
+    on_date = pred.join(F.broadcast(dates.groupBy(run).agg(F.min("date_idx").alias("first"))), run)  # a row for each run
     target = (
-        pred.where(F.col("pred").isNotNull() & ((F.col("date_idx") - first) % horizon == 0)).withColumn("place", place)
-        .where(F.col("place") <= k).select(F.col("date_idx").alias("since"), "instrument")
+        _sized(on_date, book_sizes(pred, share, horizon, run), run).where(F.col("pred").isNotNull() & ((F.col("date_idx") - F.col("first")) % horizon == 0))
+        .withColumn("place", place).where(F.col("place") <= F.col("__k")).select(run, F.col("date_idx").alias("since"), "instrument")
     )
-    books = target.groupBy("since").agg(F.count("*").alias("size")).withColumn("before", F.lag("since").over(Window.orderBy("since")))
-    held = target.join(books, "since")
-    kept = held.join(target.select(F.col("since").alias("before"), "instrument"), ["before", "instrument"]).groupBy("since").agg(F.count("*").alias("kept"))
-    sizes = books.select(F.col("since").alias("before"), F.col("size").alias("was"))
-    costs = books.join(kept, "since", "left").join(sizes, "before", "left").select(
-        "since", F.when(F.col("before").isNull(), F.lit(cost)).otherwise(cost * 2.0 * (F.col("was") - F.coalesce("kept", F.lit(0))) / F.col("size")).alias("cost")
-    )
-    dates = pred.select("date", "date_idx").distinct().where(F.col("date_idx") > first)
-    on = dates.join(F.broadcast(books.select("since")), F.col("since") < F.col("date_idx"), "left").groupBy("date", "date_idx").agg(F.max("since").alias("since"))
+    target = stored(target)
+    books = target.groupBy(run, "since").agg(F.count("*").alias("size"))
+    order = Window.partitionBy(run).orderBy("since")
+    books = books.withColumns({"before": F.lag("since").over(order), "was": F.lag("size").over(order)})
+    held = target.join(F.broadcast(books), [run, "since"])  # a row for each run and rebalance date
+    mine = Window.partitionBy(run, "instrument").orderBy("since")
+    kept = held.withColumn("kept", (F.lag("since").over(mine) == F.col("before")).cast("int")).groupBy(run, "since").agg(F.coalesce(F.sum("kept"), F.lit(0)).alias("kept"))
+    due = F.when(F.col("before").isNull(), F.lit(cost)).otherwise(cost * 2.0 * (F.col("was") - F.col("kept")) / F.col("size"))
+    paid = books.join(kept, [run, "since"]).select(run, (F.col("since") + 1).alias("date_idx"), due.alias("cost"))
+    later = dates.where(F.col("date_idx") > F.col("first")).select(run, "date", "date_idx")
+    near = [F.col(f"d.{run}") == F.col(f"b.{run}"), F.col("b.since") < F.col("d.date_idx")]
+    on = later.alias("d").join(F.broadcast(books.select(run, "since").alias("b")), near, "left").groupBy(f"d.{run}", "d.date", "d.date_idx").agg(F.max("b.since").alias("since"))
     bench = returns.groupBy("date_idx").agg(F.coalesce(F.avg("bench"), F.lit(0.0)).alias("bench"))
-    port = on.join(target, "since").join(returns.select("date_idx", "instrument", "ret"), ["date_idx", "instrument"]).groupBy("date_idx").agg(F.avg("ret").alias("port"))
-    paid = costs.withColumn("date_idx", F.col("since") + 1).drop("since")
-    day = on.join(bench, "date_idx").join(port, "date_idx", "left").join(paid, "date_idx", "left")
+    port = on.join(target, [run, "since"]).join(returns.select("date_idx", "instrument", "ret"), ["date_idx", "instrument"]).groupBy(run, "date_idx").agg(F.avg("ret").alias("port"))
+    day = on.join(F.broadcast(bench), "date_idx").join(port, [run, "date_idx"], "left").join(paid, [run, "date_idx"], "left")
     port_or = F.when(F.col("since").isNull(), F.lit(0.0)).otherwise(F.coalesce("port", "bench"))
-    return day.select("date", "date_idx", (port_or - F.col("bench") - F.coalesce("cost", F.lit(0.0))).alias("excess"))
+    return day.select(run, "date", "date_idx", (port_or - F.col("bench") - F.coalesce("cost", F.lit(0.0))).alias("excess"))
+
+
+def periodic(pred: DataFrame, returns: DataFrame, horizon: int, share: float = 0.1, cost: float = 0.0015) -> DataFrame:
+    """``periodic_runs`` of one run: date, date_idx, excess."""
+    return periodic_runs(pred.withColumn("run_id", F.lit("run")), returns, horizon, share, cost).drop("run_id")
 
 
-def folded(batches: Iterator[pa.RecordBatch], k: int, n: int, cost: float) -> Iterator[pa.RecordBatch]:
+def folded(batches: Iterator[pa.RecordBatch], k: int, n: int, cost: float, sizes: dict[str, tuple[int, int]] | None = None) -> Iterator[pa.RecordBatch]:
     """run, date_idx, instrument, due: what is held on each date of a run but its first, and costs in a row without instrument.
 
     Takes rows (run, date_idx, instrument) in the order of run, date and rank, of which one date is held at a
-    time; a row without instrument stands for a date that may have no ranks.
+    time; a row without instrument stands for a date that may have no ranks. ``sizes``: k and n of the runs that have their own.
     """
 
     def book(run: str, day: int, held: list[str], due: float) -> pa.RecordBatch:
@@ -92,6 +116,7 @@ def folded(batches: Iterator[pa.RecordBatch], k: int, n: int, cost: float) -> It
             due = 0.0
         else:
             last, held, due = run, [], 0.0
+            k, n = (sizes or {}).get(run, (k, n))
         if not ranked:
             continue
         top = ranked[:k]
@@ -112,11 +137,12 @@ def top_k_drop_n(pred: DataFrame, returns: DataFrame, horizon: int, share: float
     """run_id, date, date_idx, excess: at most n names exchanged a day, worst held for best not held.
 
     Each day's book depends on the day before, so a run is a fold over its dates, in time order and with one
-    date's names in memory; ranks before it and returns after it are relational. ``pred`` may hold many runs
-    in column ``run``, which go side by side.
+    date's names in memory; ranks before it and returns after it are relational. Only names that were within the first
+    k + n of some date go through the fold, as no others can be bought; so what one task folds follows the book, not
+    the market. ``pred`` may hold many runs in column ``run``, each with a book of its own size; they go side by side.
     """
     pred = pred if run in pred.columns else pred.withColumn(run, F.lit("run"))
-    k, n = book_size(pred, share, horizon)
+    sizes = {str(name): size for name, size in book_sizes(pred, share, horizon, run).items()}
     rows = (
         pred.join(returns.select("date_idx", "instrument", "ret", "bench"), ["date_idx", "instrument"])
         .select(F.col(run).cast("string").alias("run"), "date", F.col("date_idx").cast("int").alias("date_idx"), "instrument", "inst_ord", "pred", "ret", "bench")
@@ -125,9 +151,12 @@ def top_k_drop_n(pred: DataFrame, returns: DataFrame, horizon: int, share: float
     days = rows.groupBy("run", "date_idx").agg(F.min("date").alias("date"), F.coalesce(F.avg(value("bench")), F.lit(0.0)).alias("bench"))
     place = F.row_number().over(Window.partitionBy("run", "date_idx").orderBy(F.desc("pred"), "inst_ord"))
     ranked = rows.where(value("pred").isNotNull()).select("run", "date_idx", F.col("instrument").cast("string").alias("instrument"), place.alias("place"))
+    if sizes:
+        near = _sized(ranked, sizes, "run").where(F.col("place") <= F.col("__k") + F.col("__n")).select("run", "instrument").distinct()
+        ranked = ranked.join(near, ["run", "instrument"], "left_semi")
     dates = days.select("run", "date_idx", F.lit(None).cast("string").alias("instrument"), F.lit(0).alias("place"))
     ordered = ranked.unionByName(dates).repartition("run").sortWithinPartitions("run", "date_idx", "place").select("run", "date_idx", "instrument")
-    books = ordered.mapInArrow(lambda b: folded(b, k, n, cost), "run string, date_idx int, instrument string, due double")
+    books = ordered.mapInArrow(lambda b: folded(b, 1, 1, cost, sizes), "run string, date_idx int, instrument string, due double")
     paid = rows.select("run", "date_idx", F.col("instrument").cast("string").alias("instrument"), value("ret").alias("ret"))
     held = books.join(paid, ["run", "date_idx", "instrument"], "left").groupBy("run", "date_idx").agg(
         F.max("due").alias("due"), F.count("instrument").alias("names"), F.avg("ret").alias("mean")

@@ -21,12 +21,11 @@ def equal_weight(features: DataFrame) -> DataFrame:
     return features.groupBy("date", "date_idx", "instrument", "inst_ord").agg(F.avg("value").alias("pred"))
 
 
-def ewma_weights(features: DataFrame, halflife: float, least: int, horizon: int) -> DataFrame:
-    """factor_id, date, date_idx, weight: each factor's smoothed past rank IC, clipped at 0 and shared out.
+def past_ic(features: DataFrame, halflife: float, least: int, horizon: int) -> DataFrame:
+    """factor_id, date, date_idx, s: each factor's smoothed past rank IC, clipped at 0; null where it has none yet.
 
     The exponential mean of a series with gaps is a ratio of two running sums whose weights grow towards
-    the end; scaled by the last date they never exceed 1. A weight is used horizon + 1 dates later. Where
-    a factor has none yet, or none is positive, it gets an equal share.
+    the end; scaled by the last date they never exceed 1. A value is used horizon + 1 dates later.
     """
     dates = features.select("factor_id", "date", "date_idx").distinct()
     ic = dates.join(daily_rank_ic(features).select("factor_id", "date", "ic"), ["factor_id", "date"], "left")
@@ -36,11 +35,18 @@ def ewma_weights(features: DataFrame, halflife: float, least: int, horizon: int)
     known = F.when(F.col("ic").isNotNull(), grow)
     mean = F.try_divide(F.sum(F.col("ic") * grow).over(upto), F.sum(known).over(upto))
     smooth = ic.withColumn("s", F.when(F.count("ic").over(upto) >= least, mean))
-    smooth = smooth.withColumn("s", F.greatest(F.lag("s", horizon + 1).over(series()), F.when(F.lag("s", horizon + 1).over(series()).isNotNull(), F.lit(0.0))))
+    lagged = F.lag("s", horizon + 1).over(series())
+    return smooth.select("factor_id", "date", "date_idx", F.when(lagged.isNotNull(), F.greatest(lagged, F.lit(0.0))).alias("s"))
+
+
+def ewma_weights(features: DataFrame, halflife: float, least: int, horizon: int) -> DataFrame:
+    """factor_id, date, date_idx, weight: each factor's ``past_ic``, shared out. Where a factor has none yet, or none is
+    positive, it gets an equal share."""
     on_day = Window.partitionBy("date")
     total = F.sum("s").over(on_day)
     n = F.count("*").over(on_day)
-    return smooth.select("factor_id", "date", "date_idx", F.coalesce(F.when(total > 0, F.col("s") / total), 1 / n).alias("weight"))
+    past = past_ic(features, halflife, least, horizon)
+    return past.select("factor_id", "date", "date_idx", F.coalesce(F.when(total > 0, F.col("s") / total), 1 / n).alias("weight"))
 
 
 def weighted(features: DataFrame, weights: DataFrame) -> DataFrame:

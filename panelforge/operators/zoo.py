@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import operator
 from dataclasses import asdict, dataclass, field, fields
 from pathlib import Path
 
@@ -10,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from panelforge.operators.gram import Gram
+
 
 @dataclass(frozen=True)
 class Criteria:
@@ -49,29 +52,43 @@ def relative_rank(candidates: DataFrame, zoo: DataFrame, metric: str, higher: bo
     return candidates.join(F.broadcast(of_zoo)).withColumn(name or f"rel_{metric}", share).drop("__v", "__n")
 
 
+#: Each gate's name, the metric it looks at, when that fails, and against which threshold.
+GATES = (
+    ("rank_ic", "rank_ic", operator.lt, "min_rank_ic"),
+    ("rank_ir", "rank_ir", operator.lt, "min_rank_ir"),
+    ("turnover", "turnover", operator.gt, "max_turnover"),
+    ("max_corr", "max_corr", operator.ge, "max_correlation"),
+    ("rel_rank_ic", "rel_rank_ic", operator.gt, "max_rel_rank"),
+    ("rel_rank_ir", "rel_rank_ir", operator.gt, "max_rel_rank"),
+    ("hac_p", "hac_p", operator.gt, "max_hac_pvalue"),
+    ("block", "block_pos_frac", operator.lt, "min_block_frac"),
+    ("year", "year_pos_frac", operator.lt, "min_year_frac"),
+    ("control", "control_ic", operator.gt, "max_control_ic"),
+    ("recon", "recon_r2", operator.gt, "max_recon_r2"),
+    ("spread", "q_spread", operator.le, "min_q_spread"),
+    ("sharpe", "ls_sharpe", operator.lt, "min_ls_sharpe"),
+    ("monotonic", "q_monotonic", operator.lt, "min_q_monotonic"),
+)
+#: Metrics that must be known; other unknowns pass.
+REQUIRED = ("rank_ic", "rank_ir")
+
+
 def gate_reasons(c: Criteria = Criteria()) -> Column:
     """Names of the gates that a row of metrics fails. Only rank IC and rank IR must be known; other unknowns pass."""
-    m = F.col
-    failed = {
-        "rank_ic": ~F.coalesce(m("rank_ic") >= c.min_rank_ic, F.lit(False)),
-        "rank_ir": ~F.coalesce(m("rank_ir") >= c.min_rank_ir, F.lit(False)),
-        "turnover": m("turnover") > c.max_turnover,
-        "max_corr": m("max_corr") >= c.max_correlation,
-        "rel_rank_ic": m("rel_rank_ic") > c.max_rel_rank,
-        "rel_rank_ir": m("rel_rank_ir") > c.max_rel_rank,
-        "hac_p": m("hac_p") > c.max_hac_pvalue,
-        "block": m("block_pos_frac") < c.min_block_frac,
-        "year": m("year_pos_frac") < c.min_year_frac,
-        "control": m("control_ic") > c.max_control_ic,
-        "recon": m("recon_r2") > c.max_recon_r2,
-        "spread": m("q_spread") <= c.min_q_spread,
-        "sharpe": m("ls_sharpe") < c.min_ls_sharpe,
-        "monotonic": m("q_monotonic") < c.min_q_monotonic,
-        "sign": F.lit(c.require_valid_sign) & (m("rank_ic") * m("rank_ic_valid") <= 0),
-    }
+    failed = {name: F.coalesce(fails(F.col(m), F.lit(getattr(c, limit))), F.lit(m in REQUIRED)) for name, m, fails, limit in GATES}
+    failed["sign"] = F.lit(c.require_valid_sign) & (F.col("rank_ic") * F.col("rank_ic_valid") <= 0)
     return F.array_compact(F.array(*(F.when(test, F.lit(name)) for name, test in failed.items())))
 
 
+def reasons_of(metrics: dict[str, float | None], c: Criteria) -> list[str]:
+    """``gate_reasons`` of one row at hand."""
+    value = metrics.get
+    failed = [name for name, m, fails, limit in GATES if (m in REQUIRED if value(m) is None else fails(value(m), getattr(c, limit)))]
+    ic, valid = value("rank_ic"), value("rank_ic_valid")
+    flips = c.require_valid_sign and ic is not None and valid is not None and ic * valid <= 0
+    return [*failed, *["sign"] * flips]
+
+
 def admission(candidates: DataFrame, zoo: DataFrame, c: Criteria = Criteria()) -> DataFrame:
     """``candidates`` with reasons and admitted, each against the zoo as it stands."""
     ranked = relative_rank(relative_rank(candidates, zoo, "rank_ic"), zoo, "rank_ir")
@@ -146,16 +163,23 @@ class Zoo:
             return 0.0
         return sum(v > value if higher else v < value for v in known) / len(self.members)
 
-    def add(self, spark: SparkSession, member: Member) -> list[str]:
+    def add(self, member: Member) -> list[str]:
         """Reasons against the member; none, and it is in."""
         if any(m.expression == member.expression for m in self.members):
             return ["duplicate"]
-        row = spark.createDataFrame([(len(self.members), member.name, member.expression, *(member.metrics.get(k) for k in METRICS))], SCHEMA)
-        reasons = list(admission(row, self.table(spark), self.criteria).first().reasons)
+        ranks = {f"rel_{m}": self.relative_rank(m, member.metrics.get(m)) for m in REQUIRED}
+        reasons = reasons_of(member.metrics | ranks, self.criteria)
         if not reasons:
             self.members.append(member)
         return reasons
 
+    def offer(self, member: Member, likeness: Gram) -> list[str]:
+        """``add`` with the likeness to the members of this moment, which goes into the member's metrics."""
+        pool = [m.expression for m in self.members]
+        if member.expression not in pool:
+            member.metrics |= {"max_corr": likeness.max_corr(member.expression, pool), "recon_r2": likeness.recon_r2(member.expression, pool)}
+        return self.add(member)
+
     def save(self, path: str) -> None:
         Path(path).write_text(json.dumps({"criteria": asdict(self.criteria), "alphas": [asdict(m) for m in self.members]}, indent=1))
 

@@ -6,17 +6,22 @@ so that their work grows with these. Results are rounded where engines add float
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelforge.functions.factors import operators
-from panelforge.operators import backtest, combine, longshort, metrics, neutralize, reports, robustness, zoo
+from panelforge.functions.stored import stored
+from panelforge.operators import backtest, combine, evaluation, longshort, metrics, neutralize, reports, robustness, zoo
+from panelforge.operators.gram import gram
 from panelforge.plans.compiler import factor_values, wide
 from panelforge.plans.formula import Formula, Node, Step
 from panelforge.plans.subtrees import closed_genes, gene_table
 from panelforge.plans.templates import TEMPLATES, formula_of
+from panelforge.search import tree as search
 from panelforge.sources import panel as P
 
 HORIZON = 4
@@ -488,6 +493,28 @@ def _(spark, sf_dir):
     return robustness.newey_west_t(metrics.daily_rank_ic(values(spark, sf_dir)), HORIZON).select("factor_id", r6("t").alias("t"), "n")
 
 
+def _horner(powers: tuple[float, ...], x: str) -> str:
+    return reduce(lambda sum_, c: f"({sum_} * {x} + {c!r}::double)", powers[1:], f"{powers[0]!r}::double")
+
+
+_FAR = reduce(lambda below, k: f"(x + {k} / {below})", range(robustness.TAIL_TERMS, 0, -1), "(x + 0.65::double)")
+#: p of a t: the upper normal tail, from columns t and x = abs(t)
+TAIL_SQL = f"""case when t is null then 1.0 else (case when t >= 0 then tail else 1 - tail end) end"""
+TAIL_CTE = f"""(select *, exp(-x * x / 2) * case when x < {robustness.TAIL_FROM!r} then {_horner(robustness.TAIL_OVER, "x")} / {_horner(robustness.TAIL_UNDER, "x")}
+    else 1 / ({_FAR} * {robustness.ROOT_TWO_PI!r}::double) end tail from (select *, abs(t) x from nw))"""
+NEWEY_WEST = """nw0 as (select factor_id, list(ic - m order by date_idx) d, any_value(m) m, count(*) n, least(floor(4 * pow(count(*) / 100.0::double, 2 / 9.0::double))::int, count(*) - 1)::int l
+    from (select *, avg(ic) over (partition by factor_id) m from ric where ic is not null) group by 1),
+nw as (select factor_id, n, case when n >= 3 then m / sqrt(greatest((list_inner_product(d, d) + coalesce(list_sum(list_transform(range(1, l + 1),
+    lambda k: 2 * (1 - k / (l + 1.0::double)) * list_inner_product(d[1:n - k], d[k + 1:n]))), 0)) / n, 1e-18) / n) end t from nw0)"""
+
+
+@query("newey_west_p", f"with {RANK_IC}, {NEWEY_WEST} select factor_id, round(t, 6) as t, round({TAIL_SQL}, 9) as p, n from {TAIL_CTE}")
+def _(spark, sf_dir):
+    """Each series with as many lags as its length asks for."""
+    out = robustness.newey_west(metrics.daily_rank_ic(values(spark, sf_dir)))
+    return out.select("factor_id", r6("t").alias("t"), r6("p", 9).alias("p"), "n")
+
+
 @query(
     "recon_r2",
     f"""with {VALUES}, {RANKS}, s as (select floor(count(*) * 0.6)::int s from dates),
@@ -591,7 +618,7 @@ MEMBERS = ("reversal", "pressure", "price_volume", "calm", "range_place", "volum
 def member_values(spark: SparkSession, sf_dir: str, shapes: tuple[str, ...] = MEMBERS) -> DataFrame:
     trees = {s: formula_of(s).tree(formula_of(s).arguments[0]) for s in shapes}
     # kept, as every metric reads it again
-    return factor_values(with_forward(P.supplier_panel(spark, sf_dir)), trees, ("fwd",)).persist()
+    return factor_values(with_forward(P.supplier_panel(spark, sf_dir)), trees, ("fwd", "ret1")).persist()
 
 
 def member_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -653,8 +680,9 @@ def member_sql(shapes: tuple[str, ...] = MEMBERS) -> str:
         f = formula_of(s)
         ctes, at, last = _renamed(*tree_sql(f.tree(f.arguments[0])), f"z{i}_")
         parts.append(ctes)
-        unions.append(f"select '{s}' factor_id, date, date_idx, instrument, inst_ord, {last} \"value\", fwd from {at}")
-    forward = f"""panel as (select *, {fin(f'lead("close", {HORIZON}) over {W} / nullif("close", 0) - 1')} fwd from panel0)"""
+        unions.append(f"select '{s}' factor_id, date, date_idx, instrument, inst_ord, {last} \"value\", fwd, ret1 from {at}")
+    forward = f"""panel as (select *, {fin(f'lead("close", {HORIZON}) over {W} / nullif("close", 0) - 1')} fwd,
+    {fin(f'lead("close", 1) over {W} / nullif("close", 0) - 1')} ret1 from panel0)"""
     return f"{SM.replace('panel as (', 'panel0 as (')}, {forward}, {', '.join(parts)}, fv as ({' union all '.join(unions)})"
 
 
@@ -725,6 +753,159 @@ def _(spark, sf_dir):
     return zoo.exemplars(members, "effectiveness", corr, k=2).select("factor_id", "rank_ic")
 
 
+# ---------------------------------------------------------------- the zoo, member after member
+
+#: Three shapes whose likeness SQL can express: each is regressed on two others at most
+TRIO = ("pressure", "price_volume", "range_place")
+#: Gates that are open but for likeness; and thresholds for monthly panels, on which some of every gate's candidates fail
+ALIKE_ONLY = zoo.Criteria(min_rank_ic=-1.0, min_rank_ir=-1e9, max_rel_rank=1.01, max_correlation=0.3, max_recon_r2=0.1)
+MONTHLY = zoo.Criteria(min_rank_ic=0.0, min_rank_ir=0.05, max_turnover=1.5, max_correlation=0.3, max_rel_rank=0.5, max_control_ic=0.01, max_recon_r2=0.1, min_q_monotonic=0.6, min_ls_sharpe=0.5, require_valid_sign=True)
+BLOCK_LEAST, YEAR_LEAST = 10, 5
+
+
+def trio_likeness(train: bool) -> str:
+    """CTEs cc (pair, c: mean daily rank correlation) and r2 (one row: r2_<of>_<pool>, by places in TRIO) over rk.
+
+    ``train``: dates are those of the training part, s0.n of them.
+    """
+    dates = "(select n from s0)" if train else "(select count(*) from dates)"
+    wide = ", ".join(f"max(case when factor_id = '{f}' then rv - 0.5 end) x{i}" for i, f in enumerate(TRIO))
+    parts, names = [], []
+    for y in range(3):
+        for pool in ([a for a in range(3) if a != y], *([a] for a in range(3) if a != y)):
+            tag = f"{y}_{''.join(map(str, pool))}"
+            x = [f"coalesce(x{a}, 0)" for a in pool]
+            sums = [f"sum({u} * {v}) g{i}{j}" for i, u in enumerate(x) for j, v in enumerate(x)] + [f"sum(x{y} * {u}) b{i}" for i, u in enumerate(x)]
+            parts.append(f"m{tag} as (select count(*) n, {', '.join(sums)} from w3, sp3 where x{y} is not null and date_idx < s)")
+            if len(pool) == 1:
+                beta = "select n, b0 / (g00 + 1e-4) k0"
+            else:
+                det = "((g00 + 1e-4) * (g11 + 1e-4) - g01 * g10)"
+                beta = f"select n, ((g11 + 1e-4) * b0 - g01 * b1) / {det} k0, ((g00 + 1e-4) * b1 - g10 * b0) / {det} k1"
+            fitted = " - ".join(f"k{i} * {u}" for i, u in enumerate(x))
+            parts.append(f"""q{tag} as (select case when any_value(n) >= 100 and count(*) >= 100 then 1 - sum((x{y} - {fitted}) ** 2) / (var_pop(x{y}) * count(*)) end r2_{tag}
+                from w3, sp3, ({beta} from m{tag}) where x{y} is not null and date_idx >= s)""")
+            names.append(f"q{tag}")
+    return f"""pr as (select a.factor_id || '|' || b.factor_id factor_id, a.date, a.date_idx, a.rv x0, b.rv y0 from rk a join rk b using (date, instrument) where a.factor_id < b.factor_id),
+{pearson('pr', 'x0', 'y0', 'fc')}, cc as (select factor_id pair, abs(avg(ic)) c from fc group by 1),
+w3 as (select date_idx, instrument, {wide} from rk group by all), sp3 as (select floor({dates} * 0.6)::int s),
+{', '.join(parts)}, r2 as (select * from {', '.join(names)})"""
+
+
+def _pair(a: int, b: int) -> str:
+    return f"(select c from cc where pair = '{'|'.join(sorted((TRIO[a], TRIO[b])))}')"
+
+
+ADMISSION_ORDER = f"""{member_sql(TRIO)}, {RANKS}, {trio_likeness(False)},
+a1 as (select {_pair(0, 1)} c1, r2_1_0 r1, not ({_pair(0, 1)} >= {ALIKE_ONLY.max_correlation} or coalesce(r2_1_0 > {ALIKE_ONLY.max_recon_r2}, false)) in1, * from r2),
+a2 as (select *, case when in1 then greatest({_pair(0, 2)}, {_pair(1, 2)}) else {_pair(0, 2)} end c2, case when in1 then r2_2_01 else r2_2_0 end r2 from a1)"""
+
+
+@query(
+    "admission_order",
+    f"""with {ADMISSION_ORDER} select '{TRIO[0]}' as factor_id, 0 as place, 0.0 as max_corr, null::double as recon_r2
+    union all select '{TRIO[1]}', case when in1 then 1 else -1 end, round(c1, 6), round(r1, 6) from a2
+    union all select '{TRIO[2]}', case when not (c2 >= {ALIKE_ONLY.max_correlation} or coalesce(r2 > {ALIKE_ONLY.max_recon_r2}, false)) then 1 + in1::int else -1 end, round(c2, 6), round(r2, 6) from a2""",
+)
+def _(spark, sf_dir):
+    """Who of three gets in, one after the other, each measured against those who are in: their places (-1: not in), from one job for their likeness."""
+    v = member_values(spark, sf_dir, TRIO)
+    likeness, found, rows = gram(v, TRIO), zoo.Zoo(ALIKE_ONLY), []
+    v.unpersist()
+    for name in TRIO:
+        m = zoo.Member(name, name, {}, {}, {"rank_ic": 0.0, "rank_ir": 0.0})
+        place = -1 if found.offer(m, likeness) else len(found.members) - 1
+        rows.append((name, place, m.metrics["max_corr"], m.metrics["recon_r2"]))
+    out = spark.createDataFrame(rows, "factor_id string, place int, max_corr double, recon_r2 double")
+    return out.select("factor_id", "place", r6("max_corr").alias("max_corr"), r6("recon_r2").alias("recon_r2"))
+
+
+def training(spark: SparkSession, sf_dir: str) -> search.Split:
+    return search.Split.at(P.supplier_panel(spark, sf_dir).agg(F.max("date_idx") + 1).first()[0])
+
+
+def trio_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """seq, factor_id and all 18 metrics of the trio on the training and validation dates; likeness is to the two others."""
+    v, split = member_values(spark, sf_dir, TRIO), training(spark, sf_dir)
+    likeness = gram(search.within(v, split.train), TRIO, dates=split.train)
+    others = {f: [o for o in TRIO if o != f] for f in TRIO}
+    alike = spark.createDataFrame([(i, f, likeness.max_corr(f, others[f]), likeness.recon_r2(f, others[f])) for i, f in enumerate(TRIO)], "seq int, factor_id string, max_corr double, recon_r2 double")
+    rows = search.full_metrics(v, split, HORIZON, BLOCK_LEAST, YEAR_LEAST).join(alike, "factor_id")
+    return rows.select("seq", "factor_id", *(r6(m).alias(m) for m in zoo.METRICS))
+
+
+_LAST = RANKS.replace("from fv", "from fva").replace("rk as", "rkv as")
+TRIO_METRICS = f"""{member_sql(TRIO).replace("fv as (", "fvx as (")}, {SPLIT}, s0 as (select s + 1 n from sp),
+fv as (select fvx.* from fvx, sp where date_idx <= s), fva as (select fvx.* from fvx, sp where date_idx > s),
+{RANKS}, {pearson('rk', 'rv', 'rf', 'ric')}, {pearson('fv', 'value', 'fwd', 'oic')}, {_LAST}, {pearson('rkv', 'rv', 'rf', 'vic')},
+{TOP.split(VALUES + ", ")[1]}, ac as (select *, sum(weight) over (partition by factor_id, date) > 0 active from tw),
+mv as (select factor_id, date, abs(weight - lag(weight) over (partition by factor_id, instrument order by date_idx)) d from ac where active),
+tu as (select factor_id, avg(t) turnover from (select factor_id, date, sum(d) t from mv group by all) group by 1),
+{MEANS.split(VALUES + ", ")[1]}, {LS.split(BUCKETS + ", ")[1]}, {MONO}, {SHARPE},
+nb as (select *, ntile(4) over (partition by factor_id order by date_idx) block from ric where ic is not null),
+bf as (select factor_id, case when sum(n) >= {4 * BLOCK_LEAST} then avg((m > 0)::int::double) end block_pos_frac from (select factor_id, block, avg(ic) m, count(*) n from nb group by all) group by 1),
+yf as (select factor_id, avg((m > 0)::int::double) year_pos_frac from (select factor_id, year(date) y, avg(ic) m from ric where ic is not null group by all having count(*) >= {YEAR_LEAST}) group by 1),
+nn as (select count(*) n from names), sv as (select a.factor_id, a.date, a.date_idx, a.instrument, a.inst_ord, b.value "value", a.fwd from fv a, nn
+    join fv b on b.factor_id = a.factor_id and b.date = a.date and (b.inst_ord + 1) % n = a.inst_ord),
+{RANKS.replace("from fv", "from sv").replace("rk as", "rks as")}, {pearson('rks', 'rv', 'rf', 'sic')},
+c0 as (select *, ic - avg(ic) over (partition by factor_id) d from ric where ic is not null), l0w as (select *, {_NW} from c0),
+nw as (select factor_id, count(*) n, case when count(*) >= 3 then avg(ic) / sqrt(greatest((sum(d * d) + {_NWS}) / count(*), 1e-18) / count(*)) end t from l0w group by 1),
+hp as (select factor_id, t hac_t, {TAIL_SQL} hac_p from {TAIL_CTE}), {trio_likeness(True)},
+tm as (select case factor_id {' '.join(f"when '{f}' then {i}" for i, f in enumerate(TRIO))} end seq, factor_id,
+    (select avg(ic) from oic where oic.factor_id = f.factor_id) ic, (select case when stddev_samp(ic) > 1e-12 then avg(ic) / stddev_samp(ic) end from oic where oic.factor_id = f.factor_id) ic_ir,
+    (select avg(ic) from ric where ric.factor_id = f.factor_id) rank_ic, (select case when stddev_samp(ic) > 1e-12 then avg(ic) / stddev_samp(ic) end from ric where ric.factor_id = f.factor_id) rank_ir,
+    turnover, (select count(value) / count(*)::double from fv where fv.factor_id = f.factor_id) coverage,
+    case factor_id {' '.join(f"when '{f}' then greatest({', '.join(_pair(i, j) for j in range(3) if j != i)})" for i, f in enumerate(TRIO))} end max_corr,
+    hac_t, hac_p, block_pos_frac, year_pos_frac, (select abs(avg(ic)) from sic where sic.factor_id = f.factor_id) control_ic,
+    case factor_id {' '.join(f"when '{f}' then (select r2_{i}_{''.join(str(j) for j in range(3) if j != i)} from r2)" for i, f in enumerate(TRIO))} end recon_r2,
+    (select max(case when bucket = 5 then mean_return end) - max(case when bucket = 1 then mean_return end) from bm where bm.factor_id = f.factor_id) q_spread,
+    monotonic q_monotonic, sharpe ls_sharpe, (select avg(ic) from vic where vic.factor_id = f.factor_id) rank_ic_valid,
+    (select case when stddev_samp(ic) > 1e-12 then avg(ic) / stddev_samp(ic) end from vic where vic.factor_id = f.factor_id) rank_ir_valid
+    from (select distinct factor_id from fv) f left join tu using (factor_id) left join mono using (factor_id) left join sh using (factor_id)
+    left join bf using (factor_id) left join yf using (factor_id) left join hp using (factor_id)),
+tr as (select seq, factor_id, {', '.join(f"round({m}, 6) {m}" for m in zoo.METRICS)} from tm)"""
+
+
+@query("full_metrics", f"with {TRIO_METRICS} select * from tr")
+def _(spark, sf_dir):
+    return trio_metrics(spark, sf_dir)
+
+
+_TESTS = {operator.lt: "<", operator.le: "<=", operator.gt: ">", operator.ge: ">="}
+_GATES = ", ".join(
+    f"case when {f'coalesce({m} {_TESTS[fails]} {getattr(MONTHLY, limit)}, true)' if m in zoo.REQUIRED else f'{m} {_TESTS[fails]} {getattr(MONTHLY, limit)}'} then '{name}' end"
+    for name, m, fails, limit in zoo.GATES
+)
+
+
+@query(
+    "admission_gates_full",
+    f"""with {TRIO_METRICS}, gr as (select *, (select count(*) from tr o where o.rank_ic > tr.rank_ic) / 3.0::double rel_rank_ic,
+    (select count(*) from tr o where o.rank_ir > tr.rank_ir) / 3.0::double rel_rank_ir from tr)
+    select factor_id, concat_ws(',', {_GATES}, case when rank_ic * rank_ic_valid <= 0 then 'sign' end) as reasons from gr""",
+)
+def _(spark, sf_dir):
+    """All 15 gates, with every metric they look at."""
+    m = trio_metrics(spark, sf_dir).persist()
+    return zoo.admission(m, m, MONTHLY).select("factor_id", F.concat_ws(",", "reasons").alias("reasons"))
+
+
+@query("rescreen")
+def _(spark, sf_dir):
+    """Admission of the members played again under stricter gates, in their order: place in the new zoo, or -1 and the reasons against it."""
+    panel, split = with_forward(P.supplier_panel(spark, sf_dir)), training(spark, sf_dir)
+    formulas = {s: formula_of(s) for s in MEMBERS}
+    old = zoo.Zoo(members=[zoo.Member(s, f.text(f.arguments[0]), f.to_json(), f.arguments[0], {"rank_ic": 0.0, "rank_ir": 0.0}) for s, f in formulas.items()])
+    fresh, told = search.rescreen(panel, old, HORIZON, split, RESCREENED, block_least=BLOCK_LEAST, year_least=YEAR_LEAST)
+    place = {m.expression: i for i, m in enumerate(fresh.members)}
+    rows = [(i, e, place.get(e, -1), ",".join(reasons)) for i, (e, reasons) in enumerate(told)]
+    return spark.createDataFrame(rows, "seq int, expression string, place int, reasons string")
+
+
+#: Gates of the re-screening: robustness and likeness
+RESCREENED = zoo.Criteria(min_rank_ic=-1.0, min_rank_ir=-1e9, max_hac_pvalue=0.9, min_block_frac=0.25, min_year_frac=0.2, max_control_ic=0.05, max_correlation=0.5, max_recon_r2=0.5, min_q_spread=-1.0, min_ls_sharpe=-9.0)
+
+
 @query("fsa_closed")
 def _(spark, sf_dir):
     """Frequent closed subtrees of the members that have values on most of the panel."""
@@ -806,6 +987,90 @@ def _(spark, sf_dir):
     return s.select("days", F.round("aer", 5).alias("aer"), F.round("ir", 5).alias("ir"))
 
 
+# ---------------------------------------------------------------- sizes, models and periods
+
+SIZES, MODELS = (2, 3), ("equal", "ewma")
+
+
+def grid_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The supplier panel with industry, size, membership and forward returns."""
+    p = P.industry_on(with_forward(P.supplier_panel(spark, sf_dir)), intervals(spark, sf_dir)).withColumn("log_mv", F.ln("volume"))
+    return P.universe_asof(p, snapshots(spark, sf_dir))
+
+
+def grid_periods(n: int) -> dict[str, tuple[int, int]]:
+    a, b = P.split_at(n, 0.6), P.split_at(n, 0.8)
+    return {"valid": (a + 1, b), "test": (b + 1, n - 1)}
+
+
+_PLACE = "case factor_id " + " ".join(f"when '{f}' then {i}" for i, f in enumerate(BASKET)) + " end"
+FEATURES = f"""{member_sql(BASKET).replace("fv as (", "fv0 as (")}, {SNAPSHOTS}, {INDUSTRY},
+tk as (select d.date, max(s.date) taken from dates d left join (select distinct date from snap) s on s.date <= d.date group by 1),
+un as (select p.date, p.instrument, s.instrument is not null member, "close" is not null traded from panel p join tk using (date) left join snap s on s.date = tk.taken and s.instrument = p.instrument),
+ex as (select fv0.*, coalesce(industry, 'UNK') industry, ln(volume) log_mv, member from fv0 join panel using (date, instrument) left join ind using (date, instrument) join un using (date, instrument)),
+e1n as (select *, value - avg(value) over g v, log_mv0 - avg(log_mv0) over g x0 from (select *, case when value is not null then log_mv end log_mv0 from ex) window g as (partition by factor_id, date, industry)),
+e2n as (select *, coalesce(x0, 0) x from e1n),
+e3n as (select *, coalesce(sum(x * v) over d / nullif(sum(case when v is not null then x * x end) over d, 0), 0) beta from e2n window d as (partition by factor_id, date)),
+nv as (select factor_id, date, date_idx, instrument, inst_ord, case when member then v - beta * x end "value", case when member then fwd end fwd from e3n),
+rk0 as (select *, {ranked('value', 'rv0')} from nv), ft as (select * exclude (value, rv0), coalesce(rv0 - 0.5, 0) "value" from rk0)"""
+GRID = f"""{FEATURES}{EWMA.split(BASKET_SQL)[1]}, {_FILL}, sz as (select unnest({list(SIZES)}) size),
+nd as (select greatest(least(floor(count(*) * 0.6)::int - 1, count(*) - 1), 0) a, greatest(least(floor(count(*) * 0.8)::int - 1, count(*) - 1), 0) b, count(*) n from dates),
+per as (select 'valid' period, a + 1 since, b upto from nd union all select 'test', b + 1, n - 1 from nd),
+pe as (select 'equal' model, size, date, date_idx, instrument, inst_ord, avg(value) pred from ft, sz where {_PLACE} < size group by all),
+we as (select size, factor_id, date, s, sum(s) over (partition by size, date) tot, count(*) over (partition by size, date) n from e3, sz where {_PLACE} < size),
+pw as (select 'ewma' model, size, date, date_idx, instrument, inst_ord, sum(value * coalesce(case when tot > 0 then s / tot end, 1 / n::double)) pred from ft join we using (factor_id, date) group by all),
+pd as (select model || '|' || size || '|' || period factor_id, date, date_idx, instrument, inst_ord, case when member and traded then round(pred, 9) end "value", case when member then panel.fwd end fwd
+    from (select * from pe union all select * from pw) join un using (date, instrument) join panel using (date, date_idx, instrument, inst_ord) join per on date_idx between since and upto),
+{pearson('pd', 'value', 'fwd', 'pic')}, {RANKS.replace("from fv", "from pd").replace("rk as", "rkp as")}, {pearson('rkp', 'rv', 'rf', 'pri')},
+ds as (select factor_id, date, date_idx, count(value) n from pd group by all),
+bk as (select factor_id, greatest(1, round_even(0.1 * floor(median(n)), 0))::int k, min(date_idx) start from ds group by 1),
+tg as (select factor_id, date_idx since, instrument from (select pd.*, k, row_number() over (partition by factor_id, date_idx order by value desc, inst_ord) pos from pd join bk using (factor_id)
+    where value is not null and (date_idx - start) % {HORIZON} = 0) where pos <= k),
+bs as (select factor_id, since, count(*) size, lag(since) over (partition by factor_id order by since) prev, lag(count(*)) over (partition by factor_id order by since) was from tg group by 1, 2),
+kp as (select bs.factor_id, bs.since, count(*) kept from bs join tg a on a.factor_id = bs.factor_id and a.since = bs.since join tg b on b.factor_id = bs.factor_id and b.since = bs.prev and b.instrument = a.instrument group by all),
+co as (select factor_id, since, case when prev is null then 0.0015 else 0.0015 * 2.0 * (was - coalesce(kept, 0)) / size end cost from bs left join kp using (factor_id, since)),
+dn as (select ds.factor_id, ds.date, ds.date_idx, max(bs.since) since from ds join bk using (factor_id) left join bs on bs.factor_id = ds.factor_id and bs.since < ds.date_idx where ds.date_idx > start group by all),
+be as (select f1.date_idx, coalesce(avg(case when member then ret end), 0) bench from f1 join un using (date, instrument) group by 1),
+po as (select dn.factor_id, dn.date_idx, avg(f1.ret) port from dn join tg using (factor_id, since) join f1 on f1.date_idx = dn.date_idx and f1.instrument = tg.instrument group by all),
+xs as (select dn.factor_id, case when dn.since is null then 0.0 else coalesce(port, bench) end - bench - coalesce(cost, 0) excess
+    from dn join be using (date_idx) left join po using (factor_id, date_idx) left join co on co.factor_id = dn.factor_id and co.since + 1 = dn.date_idx)"""
+
+
+def _grid(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, dict[str, tuple[int, int]]]:
+    """Features, the panel and the periods of the grid; what all runs read is worked out once."""
+    p = stored(grid_panel(spark, sf_dir))
+    f = stored(evaluation.features(p, {s: formula_of(s).tree(formula_of(s).arguments[0]) for s in BASKET}))
+    return f, p, grid_periods(p.agg(F.max("date_idx") + 1).first()[0])
+
+
+@query(
+    "evaluate_zoo",
+    f"""with {GRID}, su as (select factor_id, count(*) as days, avg(excess) * 252 aer, avg(excess) * 252 / (stddev_samp(excess) * sqrt(252.0)) ir from xs group by 1)
+    select split_part(factor_id, '|', 1) as model, split_part(factor_id, '|', 2)::int as size, split_part(factor_id, '|', 3) as period,
+    round((select avg(ic) from pic where pic.factor_id = su.factor_id), 6) as ic, round((select avg(ic) from pri where pri.factor_id = su.factor_id), 6) as rank_ic,
+    days, round(aer, 5) as aer, round(ir, 5) as ir from su""",
+)
+def _(spark, sf_dir):
+    """Two sizes, two models and two periods, over neutralised features of members only, as runs of one plan."""
+    f, p, periods = _grid(spark, sf_dir)
+    pred = evaluation.combined(f, BASKET, SIZES, MODELS, periods["valid"][0] - 1, HORIZON, HALFLIFE, WARM_UP).withColumn("pred", F.round("pred", 9))
+    returns = evaluation.market(p, p.select("date_idx", "instrument", P.daily_return().alias("ret")))
+    out = evaluation.evaluate(pred, returns, periods, HORIZON, "periodic")
+    return out.select("model", "size", "period", r6("ic").alias("ic"), r6("rank_ic").alias("rank_ic"), "days", r6("aer", 5).alias("aer"), r6("ir", 5).alias("ir"))
+
+
+@query(
+    "evaluate_weights",
+    f"""with {GRID} select we.size, period, factor_id, round(avg(w), 6) as mean_weight, round(avg((w <= 1e-12)::int::double), 6) as paused
+    from (select *, coalesce(case when tot > 0 then s / tot end, 1 / n::double) w from we) we join dates using (date) join per on date_idx between since and upto group by all""",
+)
+def _(spark, sf_dir):
+    """How each set's smoothed weights fell out by period."""
+    f, _, periods = _grid(spark, sf_dir)
+    out = evaluation.weights_by_period(f, BASKET, SIZES, periods, HORIZON, HALFLIFE, WARM_UP)
+    return out.select("size", "period", "factor_id", r6("mean_weight").alias("mean_weight"), r6("paused").alias("paused"))
+
+
 @query("backtest_dropn")
 def _(spark, sf_dir):
     """Both combinations side by side, each its own fold over time."""

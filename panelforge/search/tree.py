@@ -2,22 +2,33 @@
 
 from __future__ import annotations
 
+import json
+import logging
 import math
 import random
-from dataclasses import dataclass, field
-
+import threading
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
+from dataclasses import dataclass, field, replace
+from pathlib import Path
+
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelforge.operators import longshort, metrics, robustness
+from panelforge.operators.gram import gram
 from panelforge.operators.neutralize import in_universe, neutralize
-from panelforge.operators.zoo import Member, Zoo, generalization
+from panelforge.operators.zoo import Criteria, Member, Zoo, generalization
 from panelforge.plans.compiler import factor_values
 from panelforge.plans.formula import Formula, FormulaError, Node
 from panelforge.plans.subtrees import closed_genes, forbidden_gene, gene_table
 from panelforge.search.proposer import Proposer, overfit_score
+from panelforge.search.store import ValueStore
 from panelforge.sources.panel import forward_return
 
+log = logging.getLogger(__name__)
 DIMENSIONS = ("effectiveness", "stability", "turnover", "diversity", "overfitting", "monotonicity")
 
 
@@ -75,6 +86,19 @@ def prepared(panel: DataFrame, trees: dict[str, Node]) -> DataFrame:
     return out.withColumns({c: F.when(F.col("in_universe"), F.col(c)) for c in ("fwd", "ret1")})
 
 
+@contextmanager
+def values_of(panel: DataFrame, trees: dict[str, Node], store: ValueStore | None) -> Iterator[DataFrame]:
+    """``prepared`` values, from the store if there is one, else evaluated and kept while they are used."""
+    if store is not None:
+        yield store.values(trees)
+        return
+    values = prepared(panel, trees).persist()
+    try:
+        yield values
+    finally:
+        values.unpersist()
+
+
 def within(values: DataFrame, dates: tuple[int, int]) -> DataFrame:
     return values.where(F.col("date_idx").between(*dates))
 
@@ -119,24 +143,24 @@ def degenerate(expression: str, m: dict, least_coverage: float = 0.05, least_day
 
 
 def evaluate(
-    panel: DataFrame, formulas: list[Formula], zoo: Zoo, horizon: int, split: Split, revisions: list[int] | None = None, least_coverage: float = 0.05, least_days: int = 30
+    panel: DataFrame, formulas: list[Formula], zoo: Zoo, horizon: int, split: Split, revisions: list[int] | None = None, least_coverage: float = 0.05, least_days: int = 30,
+    store: ValueStore | None = None,
 ) -> list[Candidate | FormulaError]:
     """Candidates of all formulas and argument sets from one compiled plan; of each formula the set with the best training rank IC.
 
     ``panel`` has fwd and ret1. A formula none of whose sets can rank gives the error of its last set.
-    Correlations with the members of ``zoo`` are part of the metrics before anything is scored.
+    Correlations with the members of ``zoo`` are part of the metrics before anything is scored. With a ``store``
+    only what it hasn't got is evaluated, members' values least of all.
     """
-    spark = panel.sparkSession
+    zoo = Zoo(zoo.criteria, list(zoo.members))  # others may add to it meanwhile
     trees = {f"{i}:{j}": f.tree(a) for i, f in enumerate(formulas) for j, a in enumerate(f.arguments)}
     members = {f"zoo:{i}": Formula.parse(m.formula).tree(m.args) for i, m in enumerate(zoo.members)}
-    values = prepared(panel, trees | members).persist()
-    rows = {r.factor_id: r.asDict() for r in full_metrics(values.where(F.col("factor_id").isin(list(trees))), split, horizon).collect()}
-    if members:
-        pairs = spark.createDataFrame([(a, b) for a in trees for b in members], "a string, b string")
-        known = metrics.factor_correlation(within(values, split.train), pairs).groupBy("factor_id").agg(F.max(F.abs("corr")).alias("c")).collect()
-        for r in known:
-            rows[r.factor_id]["max_corr"] = r.c
-    values.unpersist()
+    with values_of(panel, trees | members, store) as values:
+        rows = {r.factor_id: r.asDict() for r in full_metrics(values.where(F.col("factor_id").isin(list(trees))), split, horizon).collect()}
+        if members:
+            likeness = gram(within(values, split.train), [*trees, *members], [], split.train)
+            for name in rows:
+                rows[name]["max_corr"] = likeness.max_corr(name, list(members))
     out: list[Candidate | FormulaError] = []
     for i, f in enumerate(formulas):
         best, error = None, f"no argument set of {f.text()} has a rank IC"
@@ -201,31 +225,51 @@ class Counters:
     added: int = 0
     trees: int = 0
     breakthroughs: int = 0
+    failed: int = 0
+
+
+def as_member(c: Candidate) -> Member:
+    return Member(c.formula.name, c.expression, c.formula.to_json(), c.arguments, c.metrics, c.scores, c.overall, c.reason)
 
 
-def admit(spark: SparkSession, panel: DataFrame, candidates: list[Candidate], zoo: Zoo, split: Split) -> int:
+def admit(panel: DataFrame, candidates: list[Candidate], zoo: Zoo, split: Split, store: ValueStore | None = None) -> int:
     """Offer candidates to the zoo in turn, each measured against the members at that moment; how many got in.
 
-    Correlations of each candidate with members and earlier candidates come from one job over the training
-    dates; which of them count depends on who is in by then.
+    Likeness of candidates and members over the training dates comes from one job, whatever the number of candidates.
     """
     members = {m.expression: Formula.parse(m.formula).tree(m.args) for m in zoo.members}
     own = {c.expression: c.formula.tree(c.arguments) for c in candidates}
-    values = within(prepared(panel, members | own), split.train).persist()
-    names = list(own)
-    met = [(a, b) for i, a in enumerate(names) for b in [*members, *names[:i]] if a != b]
-    corr = {}
-    if met:
-        pairs = spark.createDataFrame(met, "a string, b string")
-        corr = {(r.factor_id, r.other_id): abs(r.corr or 0.0) for r in metrics.factor_correlation(values, pairs).collect()}
-    added = 0
-    for c in candidates:
-        pool = [m.expression for m in zoo.members]
-        c.metrics["max_corr"] = max((max(corr.get((c.expression, m), 0.0), corr.get((m, c.expression), 0.0)) for m in pool), default=0.0)
-        c.metrics["recon_r2"] = None if c.expression in pool else robustness.reconstruction_r2(values, c.expression, pool)
-        added += not zoo.add(spark, Member(c.formula.name, c.expression, c.formula.to_json(), c.arguments, c.metrics, c.scores, c.overall, c.reason))
-    values.unpersist()
-    return added
+    new = [e for e in own if e not in members]
+    with values_of(panel, members | own, store) as values:
+        likeness = gram(within(values, split.train), [*members, *new], new, split.train)
+    return sum(not zoo.offer(as_member(c), likeness) for c in candidates)
+
+
+#: Metrics that a re-screening takes anew.
+ROBUSTNESS = ("hac_t", "hac_p", "block_pos_frac", "year_pos_frac", "control_ic", "q_spread", "q_monotonic", "ls_sharpe")
+
+
+def rescreen(
+    panel: DataFrame, old: Zoo, horizon: int, split: Split, criteria: Criteria | None = None, keep_rel_rank: bool = False, store: ValueStore | None = None, **least: int
+) -> tuple[Zoo, list[tuple[str, list[str]]]]:
+    """Admission played again in the order in which members were found: the new zoo, and each old member's reasons against it.
+
+    Robustness is measured anew on the training dates; likeness is to those who are in by then. Relative ranks don't
+    count unless ``keep_rel_rank``: they are meant for a growing zoo and turn down what was fine then. ``least``: as in ``full_metrics``.
+    """
+    criteria = criteria or old.criteria
+    fresh = Zoo(criteria if keep_rel_rank else replace(criteria, max_rel_rank=1.01))
+    trees = {m.expression: Formula.parse(m.formula).tree(m.args) for m in old.members}
+    if not trees:
+        return fresh, []
+    with values_of(panel, trees, store) as values:
+        rows = {r.factor_id: r.asDict() for r in full_metrics(values, split, horizon, **least).collect()}
+        likeness = gram(within(values, split.train), list(trees), dates=split.train)
+    told = []
+    for m in old.members:
+        again = replace(m, metrics=m.metrics | {k: rows[m.expression][k] for k in ROBUSTNESS})
+        told.append((m.expression, fresh.offer(again, likeness)))
+    return fresh, told
 
 
 def depth_of(place: Place) -> int:
@@ -235,53 +279,136 @@ def depth_of(place: Place) -> int:
     return n
 
 
-def mine(
-    spark: SparkSession, panel: DataFrame, proposer: Proposer, zoo: Zoo, horizon: int, trees: int = 2, budget: int = 3, most_budget: int = 6, seed: int = 7,
-    split: Split | None = None, root_tries: int = 3,
-) -> Counters:
-    """Grow trees and admit what passes the gates into ``zoo``. A better score than before in a tree buys it a step.
+class Search:
+    """Trees over one panel and one zoo, some of them at a time.
 
-    Metrics are of the training dates; those held out only enter by how much of the rank IC is left there.
-    ``panel`` has fwd; ret1, where it is missing, is the next period's return.
+    Steps within a tree follow each other; trees are apart, and their Spark jobs run in pools of their own, which
+    share executors fairly where the session's scheduler is a fair one. Admission, what to avoid, counters and
+    checkpoints are one tree's at a time. ``stopped_at``: no new tree is begun once the zoo has that many members.
     """
-    rng, count, avoid = random.Random(seed), Counters(), []
-    if "ret1" not in panel.columns:
-        panel = panel.withColumn("ret1", forward_return(1))
-    panel = panel.persist()
-    split = split or Split.at(panel.agg(F.max("date_idx") + 1).first()[0])
 
-    def tried(formula: Formula, revisions: int) -> Candidate | None:
-        count.generated += 1
-        found = evaluate(panel, [formula], zoo, horizon, split, [revisions])[0]
-        count.invalid += isinstance(found, FormulaError)
-        return None if isinstance(found, FormulaError) else found
-
-    for _ in range(trees):
-        count.trees += 1
-        first = next((c for _ in range(root_tries) if (c := tried(proposer.propose(avoid), 0))), None)
+    def __init__(self, panel: DataFrame, proposer: Proposer, zoo: Zoo, horizon: int, split: Split, seed: int = 7, root_tries: int = 3, store: ValueStore | None = None):
+        self.panel, self.proposer, self.zoo, self.horizon, self.split = panel, proposer, zoo, horizon, split
+        self.seed, self.root_tries, self.store = seed, root_tries, store
+        self.count, self.avoid, self.lock = Counters(), [], threading.RLock()
+
+    def _proposed(self, tried: Callable[[Proposer], Formula]) -> Formula:
+        with self.lock:  # proposers needn't be safe for threads
+            return tried(self.proposer)
+
+    def _tried(self, formula: Formula, revisions: int) -> Candidate | None:
+        found = evaluate(self.panel, [formula], self.zoo, self.horizon, self.split, [revisions], store=self.store)[0]
+        bad = isinstance(found, FormulaError)
+        with self.lock:
+            self.count.generated += 1
+            self.count.invalid += bad
+        return None if bad else found
+
+    def tree(self, number: int, budget: int, most_budget: int) -> list[Candidate]:
+        """The candidates of one tree. A better score than before buys it a step."""
+        rng = random.Random(f"{self.seed}:{number}")
+        tries = (self._tried(self._proposed(lambda p: p.propose(self.avoid)), 0) for _ in range(self.root_tries))
+        first = next((c for c in tries if c), None)
         if first is None:
-            continue
+            return []
         root = Place(first, best=first.overall)
         places, left, spent = [root], budget, 0
         while left and spent < most_budget:
             left, spent = left - 1, spent + 1
             at = select(root)
-            formula = proposer.propose(avoid, at.candidate.formula, weakest(at.candidate.scores, rng))
-            if forbidden_gene(formula.tree(), avoid):
-                formula = proposer.propose(avoid, None)
-            found = tried(formula, depth_of(at) + 1)
+            dimension = weakest(at.candidate.scores, rng)
+            formula = self._proposed(lambda p: p.propose(self.avoid, at.candidate.formula, dimension))
+            if forbidden_gene(formula.tree(), self.avoid):
+                formula = self._proposed(lambda p: p.propose(self.avoid, None))
+            found = self._tried(formula, depth_of(at) + 1)
             if found is None:
                 continue
             child = Place(found, at)
             at.children.append(child)
             places.append(child)
             if found.overall > root.best:
-                count.breakthroughs += 1
+                with self.lock:
+                    self.count.breakthroughs += 1
                 left += 1
             backpropagate(child)
-        count.added += admit(spark, panel, [p.candidate for p in places], zoo, split)
-        if len(zoo.members) >= 2:
-            members = [Formula.parse(m.formula).tree() for m in zoo.members]
-            avoid = [r.gene for r in closed_genes(gene_table(spark, members), len(members), least_support=0.5).collect()]
-    panel.unpersist()
-    return count
+        return [p.candidate for p in places]
+
+    def review(self, candidates: list[Candidate], checkpoint: Callable[[Search], None] | None) -> None:
+        """What a finished tree leaves: members, structures to avoid, a checkpoint."""
+        with self.lock:
+            self.count.trees += 1
+            if candidates:
+                self.count.added += admit(self.panel, candidates, self.zoo, self.split, self.store)
+            self.learn()
+            if checkpoint:
+                checkpoint(self)
+
+    def learn(self) -> None:
+        if len(self.zoo.members) >= 2:
+            members = [Formula.parse(m.formula).tree() for m in self.zoo.members]
+            self.avoid = [r.gene for r in closed_genes(gene_table(self.panel.sparkSession, members), len(members), least_support=0.5).collect()]
+
+    def run(self, trees: int, budget: int, most_budget: int, parallel: int = 1, stopped_at: int | None = None, checkpoint: Callable[[Search], None] | None = None) -> Counters:
+        numbers, context = iter(range(trees)), self.panel.sparkSession.sparkContext
+
+        def next_tree() -> int | None:
+            with self.lock:
+                return None if stopped_at is not None and len(self.zoo.members) >= stopped_at else next(numbers, None)
+
+        def work() -> None:
+            while (number := next_tree()) is not None:
+                context.setLocalProperty("spark.scheduler.pool", f"tree-{number}")
+                try:
+                    candidates = self.tree(number, budget, most_budget)
+                except Exception:  # one tree doesn't end the run
+                    log.exception("tree %d was given up", number)
+                    with self.lock:
+                        self.count.failed += 1
+                    continue
+                self.review(candidates, checkpoint)
+            context.setLocalProperty("spark.scheduler.pool", None)
+
+        if parallel <= 1:
+            work()
+        else:
+            with ThreadPoolExecutor(parallel) as pool:
+                for done in [pool.submit(inheritable_thread_target(self.panel.sparkSession)(work)) for _ in range(parallel)]:
+                    done.result()
+        return self.count
+
+
+def mine(
+    spark: SparkSession, panel: DataFrame, proposer: Proposer, zoo: Zoo, horizon: int, trees: int = 2, budget: int = 3, most_budget: int = 6, seed: int = 7,
+    split: Split | None = None, root_tries: int = 3, parallel: int = 1, stopped_at: int | None = None, folder: str | None = None, checkpoint: Callable[[Search], None] | None = None,
+) -> Counters:
+    """Grow trees, ``parallel`` at a time, and admit what passes the gates into ``zoo``, until it has ``stopped_at`` members.
+
+    Metrics are of the training dates; those held out only enter by how much of the rank IC is left there.
+    ``panel`` has fwd; ret1, where it is missing, is the next period's return. ``folder``, which driver and executors
+    share: values are kept there, for later steps and runs on the same panel. Members that are in the zoo at
+    the start take part like others, so a run goes on from a saved one.
+    """
+    if "ret1" not in panel.columns:
+        panel = panel.withColumn("ret1", forward_return(1))
+    panel = panel.persist()
+    split = split or Split.at(panel.agg(F.max("date_idx") + 1).first()[0])
+    search = Search(panel, proposer, zoo, horizon, split, seed, root_tries, ValueStore(folder, panel, prepared) if folder else None)
+    try:
+        search.learn()
+        return search.run(trees, budget, most_budget, parallel, stopped_at, checkpoint)
+    finally:
+        panel.unpersist()
+
+
+def saved(folder: str) -> Callable[[Search], None]:
+    """A checkpoint: zoo.json and stats.json in a folder of the driver, replaced as a whole."""
+
+    def checkpoint(search: Search) -> None:
+        at = Path(folder)
+        at.mkdir(parents=True, exist_ok=True)
+        stats = vars(search.count) | {"zoo_size": len(search.zoo.members), "forbidden_subtrees": search.avoid}
+        for name, write in (("zoo.json", search.zoo.save), ("stats.json", lambda p: Path(p).write_text(json.dumps(stats, indent=1)))):
+            write(str(at / f".{name}"))
+            (at / f".{name}").replace(at / name)
+
+    return checkpoint

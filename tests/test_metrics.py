@@ -205,10 +205,10 @@ def test_drop_n_matches_a_loop_and_holds_one_date(values):
 def test_gates_and_zoo_round_trip(spark, tmp_path):
     z = zoo.Zoo()
     good = {"rank_ic": 0.05, "rank_ir": 0.5, "turnover": 1.0, "hac_p": 0.01}
-    assert z.add(spark, zoo.Member("a", "A", {}, {}, dict(good))) == []
-    assert z.add(spark, zoo.Member("a", "A", {}, {}, dict(good))) == ["duplicate"]
-    assert z.add(spark, zoo.Member("b", "B", {}, {}, good | {"rank_ic": None, "turnover": 1.7, "max_corr": 0.8})) == ["rank_ic", "turnover", "max_corr"]
-    assert z.add(spark, zoo.Member("c", "C", {}, {}, good | {"rank_ic": 0.02, "q_spread": 0.0})) == ["rel_rank_ic", "spread"]
+    assert z.add(zoo.Member("a", "A", {}, {}, dict(good))) == []
+    assert z.add(zoo.Member("a", "A", {}, {}, dict(good))) == ["duplicate"]
+    assert z.add(zoo.Member("b", "B", {}, {}, good | {"rank_ic": None, "turnover": 1.7, "max_corr": 0.8})) == ["rank_ic", "turnover", "max_corr"]
+    assert z.add(zoo.Member("c", "C", {}, {}, good | {"rank_ic": 0.02, "q_spread": 0.0})) == ["rel_rank_ic", "spread"]
     z.save(str(tmp_path / "zoo.json"))
     again = zoo.Zoo.load(str(tmp_path / "zoo.json"))
     assert again == z and len(json.loads((tmp_path / "zoo.json").read_text())["criteria"]) == 14
