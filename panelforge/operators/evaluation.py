@@ -13,6 +13,8 @@ from panelforge.operators.neutralize import in_universe, neutralize
 from panelforge.plans.compiler import factor_values
 from panelforge.plans.formula import Node
 
+#: Decimal places of a prediction.
+PLACES = 9
 CELL = ("date", "date_idx", "instrument", "inst_ord")
 
 
@@ -43,7 +45,8 @@ def market(panel: DataFrame, returns: DataFrame) -> DataFrame:
 def combined(features: DataFrame, factors: Sequence[str], sizes: Sequence[int], models: Sequence[str], last_train: int, horizon: int, halflife: float = 63, least: int = 60) -> DataFrame:
     """model, size, keys, pred of each model over the first ``size`` of ``factors``.
 
-    Means and weighted means of all sizes come from one aggregation of the features, with one column a size. ``features``
+    Means and weighted means of all sizes come from one aggregation of the features, with one column a size. Predictions
+    are rounded to PLACES, so that equal ones are ties in whatever order their parts were added. ``features``
     should be a stored table.
     """
     sizes = sorted({min(n, len(factors)) for n in sizes})
@@ -73,7 +76,7 @@ def combined(features: DataFrame, factors: Sequence[str], sizes: Sequence[int],
     out = made[0]
     for m in made[1:]:
         out = out.unionByName(m)
-    return out
+    return out.withColumn("pred", F.round("pred", PLACES))
 
 
 def evaluate(

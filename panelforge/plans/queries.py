@@ -1053,7 +1053,7 @@ def _grid(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, dict[
 def _(spark, sf_dir):
     """Two sizes, two models and two periods, over neutralised features of members only, as runs of one plan."""
     f, p, periods = _grid(spark, sf_dir)
-    pred = evaluation.combined(f, BASKET, SIZES, MODELS, periods["valid"][0] - 1, HORIZON, HALFLIFE, WARM_UP).withColumn("pred", F.round("pred", 9))
+    pred = evaluation.combined(f, BASKET, SIZES, MODELS, periods["valid"][0] - 1, HORIZON, HALFLIFE, WARM_UP)
     returns = evaluation.market(p, p.select("date_idx", "instrument", P.daily_return().alias("ret")))
     out = evaluation.evaluate(pred, returns, periods, HORIZON, "periodic")
     return out.select("model", "size", "period", r6("ic").alias("ic"), r6("rank_ic").alias("rank_ic"), "days", r6("aer", 5).alias("aer"), r6("ir", 5).alias("ir"))
