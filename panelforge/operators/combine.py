@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelforge.functions.windows import series
+from panelforge.operators import boosting, network
 from panelforge.operators.metrics import cs_rank, daily_rank_ic
 
 
@@ -73,50 +72,23 @@ def gbt(features: DataFrame, factors: list[str], last_train: int, trees: int = 2
     return model.transform(cells).select("date", "date_idx", "instrument", "inst_ord", F.col("prediction").alias("pred"))
 
 
-def mlp(features: DataFrame, factors: list[str], last_train: int, hidden: int = 16, rounds: int = 40, rate: float = 0.2) -> DataFrame:
-    """Predictions of a one-layer tanh network. Spark sums each round's gradient over all training cells.
-
-    Only the weights, of a size that depends on the factors alone, pass through the driver.
-    """
-    cells = table(features, factors)
-    k = len(factors)
-    names = [f"x{i}" for i in range(k)]
-    train = cells.where((F.col("date_idx") <= last_train) & F.col("y").isNotNull()).select(*names, "y").persist()
-    rng = np.random.default_rng(5)
-    w = np.concatenate([rng.normal(0, 1, (k + 1) * hidden) * (3 / (k + 1)) ** 0.5, rng.normal(0, 0.1, hidden + 1)])
-
-    def forward(x: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        x1 = np.hstack([x, np.ones((len(x), 1))])
-        h = np.tanh(x1 @ w[: (k + 1) * hidden].reshape(k + 1, hidden))
-        return x1, h, h @ w[(k + 1) * hidden : -1] + w[-1]
-
-    def gradient(w: np.ndarray):
-        def run(parts):
-            total, n = np.zeros(len(w)), 0
-            for p in parts:
-                x1, h, out = forward(p[names].to_numpy(), w)
-                e = out - p["y"].to_numpy()
-                back = (e[:, None] * w[(k + 1) * hidden : -1]) * (1 - h * h)
-                total += np.concatenate([(x1.T @ back).ravel(), h.T @ e, [e.sum()]])
-                n += len(p)
-            yield pd.DataFrame({"i": np.arange(len(w) + 1), "g": np.append(total, n)})
-
-        return run
-
-    velocity = np.zeros(len(w))
-    for _ in range(rounds):
-        g = {r.i: r.g for r in train.mapInPandas(gradient(w), "i long, g double").groupBy("i").agg(F.sum("g").alias("g")).collect()}
-        if not g.get(len(w)):
-            break
-        velocity = 0.9 * velocity - rate * np.array([g[i] for i in range(len(w))]) / g[len(w)]
-        w = w + velocity
+def _learnt(features: DataFrame, factors: list[str], last_train: int, fit) -> DataFrame:
+    """Predictions of what ``fit(train, columns)`` gives; training cells are those up to ``last_train`` whose return is known."""
+    cells, names = table(features, factors), [f"x{i}" for i in range(len(factors))]
+    train = cells.where((F.col("date_idx") <= last_train) & F.col("y").isNotNull()).persist()
+    model = fit(train, names)
     train.unpersist()
+    return cells.select("date", "date_idx", "instrument", "inst_ord", boosting.predicted(model, names).alias("pred"))
+
+
+def leafwise(features: DataFrame, factors: list[str], last_train: int, trees: int = 200, growth: boosting.Growth = boosting.Growth()) -> DataFrame:
+    """Predictions of boosted trees grown best leaf first."""
+    return _learnt(features, factors, last_train, lambda train, names: boosting.fit(train, names, trees, growth))
 
-    @F.pandas_udf("double")
-    def predict(x: pd.DataFrame) -> pd.Series:
-        return pd.Series(forward(x.to_numpy(), w)[2])
 
-    return cells.select("date", "date_idx", "instrument", "inst_ord", predict(F.struct(*names)).alias("pred"))
+def mlp(features: DataFrame, factors: list[str], last_train: int, **options) -> DataFrame:
+    """Predictions of a network fitted by Adam with dropout, stopped early on the last tenth of the training cells. ``options``: of ``network.fit``."""
+    return _learnt(features, factors, last_train, lambda train, names: network.fit(train, names, **options)[0])
 
 
 def combine(model: str, features: DataFrame, factors: list[str], last_train: int, horizon: int, halflife: float = 63, least: int = 60) -> DataFrame:
@@ -126,6 +98,8 @@ def combine(model: str, features: DataFrame, factors: list[str], last_train: int
         return weighted(features, ewma_weights(features, halflife, least, horizon))
     if model == "gbt":
         return gbt(features, factors, last_train)
+    if model == "leafwise":
+        return leafwise(features, factors, last_train)
     if model == "mlp":
         return mlp(features, factors, last_train)
     raise ValueError(f"unknown model {model!r}")

@@ -91,3 +91,65 @@ def still_valid(daily_ic: DataFrame, last_train: int) -> DataFrame:
     """factor_id of those whose mean rank IC after training is positive."""
     after = daily_ic.where(F.col("date_idx") > last_train).groupBy("factor_id").agg(F.avg("ic").alias("m"))
     return after.where("m > 0").select("factor_id")
+
+
+def value_buckets(values: DataFrame, n: int = 5) -> DataFrame:
+    """Rows of ``values`` whose value, fwd and ret1 are known, with bucket 1 to n by the value's place among the date's quantiles.
+
+    Edges are interpolated linearly between sorted values, and a value on an edge belongs below it, so equal values share a bucket,
+    which need not be as large as others. Dates whose edges aren't all different (few values, or few different ones) are left out.
+    """
+    known = values.where("value is not null and fwd is not null and ret1 is not null")
+    days = known.groupBy("factor_id", "date").agg(F.array_sort(F.collect_list("value")).alias("v"))  # a date's instruments
+    edge = f"transform(sequence(0, {n}), k -> cast(k as bigint) * (size(v) - 1))"
+    low, high = f"v[cast(p div {n} as int)]", f"v[cast(least(p div {n} + 1, size(v) - 1) as int)]"
+    days = days.select("factor_id", "date", F.expr(f"transform({edge}, p -> {low} + ({high} - {low}) * (p % {n}) / {float(n)}D)").alias("e"))
+    days = days.where(F.expr(f"forall(sequence(0, {n - 1}), i -> e[i] < e[i + 1])")).select("factor_id", "date", F.slice("e", 2, n - 1).alias("inner"))
+    bucket = 1 + F.size(F.filter("inner", lambda e: e < F.col("value")))
+    return known.join(days, ["factor_id", "date"]).withColumn("bucket", bucket.cast("int")).drop("inner")
+
+
+def demeaned_by_value(bucketed: DataFrame) -> DataFrame:
+    """factor_id, date, date_idx, bucket, r: as ``demeaned_returns``, of ``value_buckets``."""
+    mean = F.avg("ret1").over(Window.partitionBy("factor_id", "date"))
+    return bucketed.withColumn("r", F.col("ret1") - mean).groupBy("factor_id", "date", "date_idx", "bucket").agg(F.avg("r").alias("r"))
+
+
+def value_tear_sheet(values: DataFrame, horizon: int, periods: dict[str, tuple[int, int]]) -> DataFrame:
+    """factor_id and, of each period (name: first and last date_idx), <name>_ic, _icir, _icir_gap (of every ``horizon``-th
+    observation) and _ls_sharpe (top less bottom bucket of the next period's demeaned returns)."""
+    inside = F.array(*(F.struct(F.lit(name).alias("name"), F.lit(a).alias("a"), F.lit(b).alias("b")) for name, (a, b) in periods.items()))
+    of = F.explode(F.filter(inside, lambda p: F.col("date_idx").between(p["a"], p["b"])))
+    parts = value_buckets(values).withColumn("p", of).withColumn("factor_id", F.concat_ws("|", "factor_id", "p.name")).drop("p")
+    ic = metrics.daily_rank_ic(parts).where("ic is not null").withColumn("place", F.row_number().over(series()) - 1)
+    gap = F.when(F.col("place") % horizon == 0, F.col("ic"))
+    ics = ic.groupBy("factor_id").agg(F.avg("ic").alias("ic"), _ratio(F.col("ic")).alias("icir"), _ratio(gap).alias("icir_gap"))
+    spread = spread_returns(demeaned_by_value(parts)).groupBy("factor_id").agg((_ratio(F.col("ret")) * F.sqrt(F.lit(float(longshort.TRADING_DAYS)))).alias("ls_sharpe"))
+    rows = ics.join(spread, "factor_id", "left")
+    name, period = (F.split_part("factor_id", F.lit("|"), F.lit(i)) for i in (1, 2))
+    pick = [F.max(F.when(period == p, F.col(c))).alias(f"{p}_{c}") for p in periods for c in ("ic", "icir", "icir_gap", "ls_sharpe")]
+    return rows.groupBy(name.alias("factor_id")).agg(*pick)
+
+
+def rolling_ic(daily_ic: DataFrame, window: int = 60, least: int = 20) -> DataFrame:
+    """factor_id, date, ic, rolling (mean of the last ``window`` observations, ``least`` at least), total (their sum so far)."""
+    known = daily_ic.where("ic is not null")
+    last, upto = series().rowsBetween(1 - window, 0), series().rowsBetween(Window.unboundedPreceding, 0)
+    mean = F.when(F.count("ic").over(last) >= least, F.avg("ic").over(last))
+    return known.select("factor_id", "date", "ic", mean.alias("rolling"), F.sum("ic").over(upto).alias("total"))
+
+
+def write_tear_sheets(values: DataFrame, horizon: int, periods: dict[str, tuple[int, int]], folder: str) -> None:
+    """CSV tables with headers under ``folder``: summary (a row for each factor, in one file), and for each period of all factors
+    quantiles (growth of each bucket by date), spread (growth of top less bottom) and ic (rolling and total)."""
+    value_tear_sheet(values, horizon, periods).orderBy("factor_id").coalesce(1).write.mode("overwrite").option("header", True).csv(f"{folder}/summary")
+    for name, (a, b) in periods.items():
+        part = value_buckets(values.where(F.col("date_idx").between(a, b)))
+        returns = demeaned_by_value(part)
+        tables = {
+            "quantiles": cumulative(returns, ("factor_id", "bucket"), "r").select("factor_id", "bucket", "date", "total"),
+            "spread": cumulative(spread_returns(returns)).select("factor_id", "date", "total"),
+            "ic": rolling_ic(metrics.daily_rank_ic(part)),
+        }
+        for table, df in tables.items():
+            df.write.mode("overwrite").option("header", True).csv(f"{folder}/{name}/{table}")

@@ -446,6 +446,57 @@ def _(spark, sf_dir):
     return curves.select("factor_id", "bucket", "date", r6(F.log10(F.abs(F.col("total") + 1))).alias("growth_log10"))
 
 
+#: fv cut to rows with both returns, on dates whose quantile edges differ; buckets by value
+BY_VALUE = """cl as (select * from fv where value is not null and fwd is not null and ret1 is not null),
+se as (select factor_id, date, list_sort(list(value)) l, count(*) m from cl group by all),
+ed as (select factor_id, date, list_transform(range(0, 6), lambda k: l[(k * (m - 1)) // 5 + 1] + (l[least((k * (m - 1)) // 5 + 2, m)] - l[(k * (m - 1)) // 5 + 1]) * ((k * (m - 1)) % 5) / 5.0::double) e from se),
+bv as (select cl.*, 1 + (value > e[2])::int + (value > e[3])::int + (value > e[4])::int + (value > e[5])::int bucket from cl join ed using (factor_id, date)
+    where e[1] < e[2] and e[2] < e[3] and e[3] < e[4] and e[4] < e[5] and e[5] < e[6])"""
+
+
+@query("value_buckets", f"with {VALUES}, {BY_VALUE} select factor_id, date, instrument, bucket from bv")
+def _(spark, sf_dir):
+    return reports.value_buckets(values(spark, sf_dir)).select("factor_id", "date", "instrument", "bucket")
+
+
+_SHEET = ", ".join(
+    f"round(max(case when period = '{p}' then {c} end), 6) as {p}_{c}" for p in ("train", "valid") for c in ("ic", "icir", "icir_gap", "ls_sharpe")
+)
+
+
+@query(
+    "value_tear_sheet",
+    f"""with {VALUES}, {BY_VALUE}, {SPLIT}, pb as (select factor_id || '|' || case when date_idx <= s then 'train' else 'valid' end factor_id, bv.* exclude (factor_id) from bv, sp),
+    {RANKS.replace("from fv", "from pb")}, {pearson('rk', 'rv', 'rf', 'ric')},
+    i0 as (select *, (row_number() over (partition by factor_id order by date_idx) - 1) % {HORIZON} = 0 apart from ric where ic is not null),
+    i1 as (select factor_id, avg(ic) ic, case when stddev_samp(ic) > 1e-12 then avg(ic) / stddev_samp(ic) end icir,
+        case when stddev_samp(case when apart then ic end) > 1e-12 then avg(case when apart then ic end) / stddev_samp(case when apart then ic end) end icir_gap from i0 group by 1),
+    d0 as (select *, ret1 - avg(ret1) over (partition by factor_id, date) r0 from pb), d1 as (select factor_id, date, bucket, avg(r0) r from d0 group by all),
+    d2 as (select factor_id, date, max(case when bucket = 5 then r end) - max(case when bucket = 1 then r end) ret from d1 group by all),
+    d3 as (select factor_id, case when stddev_samp(ret) > 1e-12 then avg(ret) / stddev_samp(ret) * sqrt(252.0) end ls_sharpe from d2 group by 1),
+    al as (select split_part(factor_id, '|', 1) factor_id, split_part(factor_id, '|', 2) period, ic, icir, icir_gap, ls_sharpe from i1 left join d3 using (factor_id))
+    select factor_id, {_SHEET} from al group by 1""",
+)
+def _(spark, sf_dir):
+    """Tear-sheet statistics by value quantiles, of the training dates and those after."""
+    v = values(spark, sf_dir)
+    n = P.supplier_panel(spark, sf_dir).agg(F.max("date_idx") + 1).first()[0]
+    last = P.split_at(n, 0.7)
+    out = reports.value_tear_sheet(v, HORIZON, {"train": (0, last), "valid": (last + 1, n - 1)})
+    return out.select("factor_id", *(r6(c).alias(c) for c in out.columns if c != "factor_id"))
+
+
+@query(
+    "rolling_ic",
+    f"""with {RANK_IC} select factor_id, date, round(ic, 6) as ic, round(case when count(*) over w >= 6 then avg(ic) over w end, 6) as rolling,
+    round(sum(ic) over (partition by factor_id order by date_idx), 6) as total from ric where ic is not null window w as (partition by factor_id order by date_idx rows 11 preceding)""",
+)
+def _(spark, sf_dir):
+    """A year of months, half of them at least."""
+    out = reports.rolling_ic(metrics.daily_rank_ic(values(spark, sf_dir)), 12, 6)
+    return out.select("factor_id", "date", *(r6(c).alias(c) for c in ("ic", "rolling", "total")))
+
+
 # ---------------------------------------------------------------- robustness
 
 
@@ -1111,10 +1162,16 @@ def _(spark, sf_dir):
     return combine.gbt(b, list(BASKET), _last_train(b)).select("date", "instrument", "pred")
 
 
+@query("combine_leafwise")
+def _(spark, sf_dir):
+    b = basket(spark, sf_dir)
+    return combine.leafwise(b, list(BASKET), _last_train(b), trees=8).select("date", "instrument", "pred")
+
+
 @query("combine_mlp")
 def _(spark, sf_dir):
     b = basket(spark, sf_dir)
-    return combine.mlp(b, list(BASKET), _last_train(b)).select("date", "instrument", "pred")
+    return combine.mlp(b, list(BASKET), _last_train(b), passes=12).select("date", "instrument", "pred")
 
 
 @query("mine_offline")

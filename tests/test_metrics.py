@@ -311,7 +311,7 @@ def test_learnt_combinations_follow_a_signal_and_drop_n_matches_a_loop(spark):
     cells = [(f, date[d], d, str(i), i, float(x[k, d, i]), float(fwd[d, i])) for k, f in enumerate("ab") for d in range(days) for i in range(names)]
     feats = spark.createDataFrame(cells, "factor_id string, date date, date_idx int, instrument string, inst_ord int, value double, fwd double")
     normal = combine.rank_normalized(feats)
-    for made in (combine.gbt(normal, ["a", "b"], 25), combine.mlp(normal, ["a", "b"], 25)):
+    for made in (combine.gbt(normal, ["a", "b"], 25), combine.mlp(normal, ["a", "b"], 25, batch=32)):
         got = made.where("date_idx > 25").toPandas()
         got["fwd"] = [fwd[d, int(i)] for d, i in zip(got.date_idx, got.instrument)]
         assert got.groupby("date_idx").apply(lambda g: g.pred.rank().corr(g.fwd.rank()), include_groups=False).mean() > 0.6
