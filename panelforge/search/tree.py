@@ -7,7 +7,7 @@ import logging
 import math
 import random
 import threading
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 from dataclasses import dataclass, field, replace
@@ -20,11 +20,11 @@ from pyspark.sql import functions as F
 from panelforge.operators import longshort, metrics, robustness
 from panelforge.operators.gram import gram
 from panelforge.operators.neutralize import in_universe, neutralize
-from panelforge.operators.zoo import Criteria, Member, Zoo, generalization
+from panelforge.operators.zoo import Criteria, Member, Zoo, exemplars, generalization
 from panelforge.plans.compiler import factor_values
 from panelforge.plans.formula import Formula, FormulaError, Node
 from panelforge.plans.subtrees import closed_genes, forbidden_gene, gene_table
-from panelforge.search.proposer import Proposer, overfit_score
+from panelforge.search.proposer import Context, Proposer, Refinement, overfit_score
 from panelforge.search.store import ValueStore
 from panelforge.sources.panel import forward_return
 
@@ -39,6 +39,8 @@ class Candidate:
     metrics: dict[str, float | None]
     scores: dict[str, float]
     reason: str = ""
+    alike: dict[str, float] = field(default_factory=dict)
+    """Correlations with the members of the zoo at the time, by their expressions."""
 
     @property
     def overall(self) -> float:
@@ -56,6 +58,23 @@ class Place:
     children: list[Place] = field(default_factory=list)
     visits: int = 1
     best: float = 0.0
+    dimension: str = ""
+    """What its step was to better."""
+
+    @property
+    def refinement(self) -> Refinement:
+        a, b = self.parent.candidate, self.candidate
+        return Refinement(self.dimension, a.expression, b.expression, a.scores, b.scores)
+
+
+def context_of(place: Place, exemplars: Sequence[dict] = ()) -> Context:
+    """Path from the root, and what was tried on the parent and on the place itself."""
+    path, at = [], place
+    while at.parent is not None:
+        path.append(at.refinement)
+        at = at.parent
+    siblings = [c.refinement for c in place.parent.children if c is not place] if place.parent else []
+    return Context(tuple(path[::-1]), tuple(siblings), tuple(c.refinement for c in place.children), tuple(exemplars))
 
 
 @dataclass(frozen=True)
@@ -155,12 +174,14 @@ def evaluate(
     zoo = Zoo(zoo.criteria, list(zoo.members))  # others may add to it meanwhile
     trees = {f"{i}:{j}": f.tree(a) for i, f in enumerate(formulas) for j, a in enumerate(f.arguments)}
     members = {f"zoo:{i}": Formula.parse(m.formula).tree(m.args) for i, m in enumerate(zoo.members)}
+    alike: dict[str, dict[str, float]] = {}
     with values_of(panel, trees | members, store) as values:
         rows = {r.factor_id: r.asDict() for r in full_metrics(values.where(F.col("factor_id").isin(list(trees))), split, horizon).collect()}
         if members:
             likeness = gram(within(values, split.train), [*trees, *members], [], split.train)
             for name in rows:
                 rows[name]["max_corr"] = likeness.max_corr(name, list(members))
+                alike[name] = {m.expression: likeness.correlation(name, f"zoo:{i}") or 0.0 for i, m in enumerate(zoo.members)}
     out: list[Candidate | FormulaError] = []
     for i, f in enumerate(formulas):
         best, error = None, f"no argument set of {f.text()} has a rank IC"
@@ -185,7 +206,7 @@ def evaluate(
         }
         if general < 1:
             reason += f"; validation rank IC {m['rank_ic_valid']:+.4f} against {m['rank_ic']:+.4f} in training"
-        out.append(Candidate(f, f.arguments[best], m, scores, reason))
+        out.append(Candidate(f, f.arguments[best], m, scores, reason, alike.get(f"{i}:{best}", {})))
     return out
 
 
@@ -317,13 +338,14 @@ class Search:
             left, spent = left - 1, spent + 1
             at = select(root)
             dimension = weakest(at.candidate.scores, rng)
-            formula = self._proposed(lambda p: p.propose(self.avoid, at.candidate.formula, dimension))
+            context = context_of(at, self.exemplars(dimension, at.candidate))
+            formula = self._proposed(lambda p: p.propose(self.avoid, at.candidate.formula, dimension, context))
             if forbidden_gene(formula.tree(), self.avoid):
                 formula = self._proposed(lambda p: p.propose(self.avoid, None))
             found = self._tried(formula, depth_of(at) + 1)
             if found is None:
                 continue
-            child = Place(found, at)
+            child = Place(found, at, dimension=dimension)
             at.children.append(child)
             places.append(child)
             if found.overall > root.best:
@@ -333,6 +355,16 @@ class Search:
             backpropagate(child)
         return [p.candidate for p in places]
 
+    def exemplars(self, dimension: str, candidate: Candidate, k: int = 1) -> list[dict]:
+        """Members to show for a dimension, as ``zoo.exemplars`` picks them by their likeness to the candidate."""
+        zoo = Zoo(self.zoo.criteria, list(self.zoo.members))
+        if not zoo.members or dimension in ("turnover", "overfitting"):
+            return []
+        spark = self.panel.sparkSession
+        members = zoo.table(spark).withColumn("factor_id", F.col("expression"))
+        alike = spark.createDataFrame([(m.expression, candidate.alike.get(m.expression, 0.0)) for m in zoo.members], "other_id string, corr double")
+        return [r.asDict() for r in exemplars(members, dimension, alike, k).collect()]
+
     def review(self, candidates: list[Candidate], checkpoint: Callable[[Search], None] | None) -> None:
         """What a finished tree leaves: members, structures to avoid, a checkpoint."""
         with self.lock:

@@ -240,3 +240,40 @@ def test_rescreening_replays_admission(spark):
             assert again.add(tree.replace(m, metrics=own)) == reasons and expression == m.expression
         assert [m.expression for m in again.members] == [m.expression for m in fresh.members]
     assert old.members[0].metrics == {"rank_ic": 0.1, "rank_ir": 0.1}
+
+
+def test_context_of_a_place_has_path_siblings_children_and_exemplars(spark):
+    made = lambda name, score: tree.Candidate(formula_of("reversal"), {"a": name}, {}, dict.fromkeys(tree.DIMENSIONS, score))
+    root = tree.Place(made(1, 0.1))
+
+    def below(parent, name, dimension):
+        child = tree.Place(made(name, name / 10), parent, dimension=dimension)
+        parent.children.append(child)
+        return child
+
+    a, b = below(root, 2, "turnover"), below(root, 3, "stability")
+    c = below(a, 4, "diversity")
+    below(c, 5, "turnover")
+    found = tree.context_of(c, [{"expression": "E", "rank_ic": 0.05, "rank_ir": None}])
+    assert [r.dimension for r in found.path] == ["turnover", "diversity"] and found.siblings == () and [r.dimension for r in found.children] == ["turnover"]
+    assert tree.context_of(a).siblings == (b.refinement,) and tree.context_of(root).path == ()
+    assert found.tried == {x.candidate.expression for x in (a, c, c.children[0])}
+    assert "diversity 0.20 -> 0.40" in found.text and "E, rank_ic 0.0500" in found.text and tree.context_of(root).text.startswith("Tried on this formula")
+
+
+def test_proposers_get_the_context_and_avoid_what_was_tried(spark):
+    seen = []
+
+    class Noting(TemplateProposer):
+        def propose(self, avoid, refine=None, dimension="", context=None):
+            seen.append((refine, context))
+            return super().propose(avoid, refine, dimension, context)
+
+    panel, split = search_panel(spark).cache(), tree.Split.at(140)
+    one = tree.evaluate(panel, [formula_of("calm")], Zoo(), 5, split)[0]
+    search = tree.Search(panel, Noting(seed=2), Zoo(OPEN, [tree.as_member(one)]), 5, split)
+    found = search.tree(0, 2, 2)
+    steps = [c for refine, c in seen if refine is not None]
+    assert len(found) == 3 and len(steps) >= 2 and all(c is not None for c in steps) and found[0].alike.keys() == {one.expression}
+    assert any(c.children or c.path for c in steps[1:])
+    assert search.exemplars("diversity", found[0])[0]["expression"] == one.expression and search.exemplars("turnover", found[0]) == []
