@@ -272,3 +272,44 @@ def test_recall_of_line_signatures(spark):
         got = sum((at + 2 * i, at + 2 * i + 1) in found for i in range(len(pairs)))
         assert got >= 0.97 * len(pairs), (n, got)
         at += 2 * len(pairs)
+
+
+def changed_at(rng, text, where, least, most):
+    """``text`` with letters changed at its head, middle or tail until its similarity is from ``least`` to ``most``."""
+    k = lines.SHINGLE
+    own = {text[i : i + k] for i in range(len(text) - k + 1)}
+    for n in range(1, len(text)):
+        at = {"head": 0, "middle": (len(text) - n) // 2, "tail": len(text) - n}[where]
+        other = text[:at] + "".join(rng.choice("0123456789") for _ in range(n)) + text[at + n :]
+        sets = {other[i : i + k] for i in range(len(other) - k + 1)}
+        alike = len(own & sets) / len(own | sets)
+        if alike < least:
+            return None
+        if alike <= most:
+            return other
+
+
+@pytest.mark.parametrize("repeats", [False, True])
+def test_recall_of_edits_anywhere_and_of_lines_that_repeat_themselves(spark, repeats):
+    rng, near = random.Random(8), {}
+    letters = "abcdefghijklmnopqrstuvwxyz "
+    for where in ("head", "middle", "tail"):
+        for least, most in ((0.8, 0.87), (0.9, 0.94), (0.95, 0.99)):
+            held = near.setdefault((where, least), [])
+            while len(held) < 30:
+                n = rng.choice((96, 130, 200, 500, 1500, 5000))
+                unit = "".join(rng.choice(letters) for _ in range(rng.choice((40, 90, 200)) if repeats else n))
+                x = (unit * (n // len(unit) + 1))[: max(n, len(unit))]
+                if (y := changed_at(rng, x, where, least, most)) is not None:
+                    held.append((x, y))
+    near["Home", 0.9] = [(u * 12, "Home " + u * 12) for u in ("".join(rng.choice(letters) for _ in range(70)) + " " for _ in range(40))] if repeats else []
+    texts = [z for pairs in near.values() for pair in pairs for z in pair]
+    df = lines.lines_of(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    ids = {r.id: r.doc_id for r in df.collect()}
+    found = {tuple(sorted((ids[r.a], ids[r.b]))) for r in lines.line_links(df).collect()}
+    at, got, all_ = 0, 0, 0
+    for kind, pairs in near.items():
+        own = sum((at + 2 * i, at + 2 * i + 1) in found for i in range(len(pairs)))
+        assert own >= 0.95 * len(pairs), (kind, own)
+        at, got, all_ = at + 2 * len(pairs), got + own, all_ + len(pairs)
+    assert got >= 0.99 * all_, (got, all_)
