@@ -7,6 +7,7 @@ so that their work grows with these. Results are rounded where engines add float
 from __future__ import annotations
 
 import operator
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelforge.functions.factors import operators
-from panelforge.functions.stored import stored
+from panelforge.functions.stored import shared_folder, stored
 from panelforge.operators import backtest, combine, evaluation, longshort, metrics, neutralize, reports, robustness, zoo
 from panelforge.operators.gram import gram
 from panelforge.plans.compiler import factor_values, wide
@@ -22,6 +23,7 @@ from panelforge.plans.formula import Formula, Node, Step
 from panelforge.plans.subtrees import closed_genes, gene_table
 from panelforge.plans.templates import TEMPLATES, formula_of
 from panelforge.search import tree as search
+from panelforge.sources import industry
 from panelforge.sources import panel as P
 
 HORIZON = 4
@@ -622,6 +624,19 @@ def _(spark, sf_dir):
     return P.industry_on(P.supplier_panel(spark, sf_dir), intervals(spark, sf_dir)).select("date", "instrument", "industry")
 
 
+@query(
+    "industry_load",
+    f"""with {INDUSTRY.split("ind as")[0].rstrip().rstrip(",")} select count(*) as rows, min(strftime(in_date, '%Y%m%d')) as earliest, count(*) filter (out_date is null) as open_intervals,
+    count(*) filter (in_date <= date '1998-01-02' and (out_date is null or out_date > date '1998-01-02')) as members from iv""",
+)
+def _(spark, sf_dir):
+    """Memberships written by industry, and the counts that the writing job took."""
+    day = lambda c: F.coalesce(F.date_format(c, "yyyyMMdd"), F.lit(""))
+    rows = intervals(spark, sf_dir).select(F.col("instrument").alias("ts_code"), F.col("industry").alias("l1_code"), day("in_date").alias("in_date"), day("out_date").alias("out_date"))
+    seen = industry.write_memberships(rows, f"{shared_folder(spark)}/industry-{uuid.uuid4().hex}", "19980102")
+    return spark.createDataFrame([(seen.rows, seen.earliest, seen.open_intervals, seen.members)], "rows long, earliest string, open_intervals long, members long")
+
+
 def exposed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values with industry and size."""
     p = P.industry_on(with_forward(P.supplier_panel(spark, sf_dir)), intervals(spark, sf_dir)).withColumn("log_mv", F.ln("volume"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from panelforge.functions.stored import stored
 from panelforge.functions.windows import clean, time
 
 FIELDS = ("open", "high", "low", "close", "volume", "vwap")
@@ -44,18 +45,22 @@ def brand_weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bars(lines.join(parts, lines.l_partkey == parts.p_partkey), F.col("p_brand"), F.to_date(F.date_trunc("week", "l_shipdate")))
 
 
-def dense(rows: DataFrame, numeric: bool = False) -> DataFrame:
+def dense(rows: DataFrame, numeric: bool = False, unique: bool = False) -> DataFrame:
     """The grid of all dates and instruments of ``rows`` (date, instrument, fields), with their ordinals.
 
-    A repeated cell is an error in the data, and raises. Dates are a bounded list, so the grid is made by
-    giving each instrument all of them. ``numeric``: instruments are ordered as numbers.
+    ``rows`` are worked out once, whatever they come from, and their instruments, dates and cells are taken from that. A repeated
+    cell is an error in the data, and raises; ``unique``: there is none, as after an aggregation. Dates are a bounded list,
+    so the grid is made by giving each instrument all of them. ``numeric``: instruments are ordered as numbers.
     """
+    rows = stored(rows)
     order = F.col("instrument").cast("long") if numeric else F.col("instrument")
     instruments = rows.select("instrument").distinct().withColumn("inst_ord", F.row_number().over(Window.orderBy(order)) - 1)
     calendar = rows.select("date").distinct().withColumn("date_idx", F.row_number().over(Window.orderBy("date")) - 1)
     every = calendar.agg(F.array_sort(F.collect_list(F.struct("date_idx", "date"))).alias("every"))
     grid = instruments.join(F.broadcast(every)).select("instrument", "inst_ord", F.inline("every"))
     fields = [c for c in rows.columns if c not in ("date", "instrument")]
+    if unique:
+        return grid.join(rows, ["date", "instrument"], "left").select("date", "date_idx", "instrument", "inst_ord", *fields)
     # one row a cell: a second one fails here rather than double a window's weights
     alone = F.when(F.count("*").over(Window.partitionBy("date", "instrument")) > 1, F.raise_error(F.lit("a date and instrument stand twice")))
     once = rows.withColumn("__twice", alone.cast("string"))
@@ -66,7 +71,7 @@ def dense(rows: DataFrame, numeric: bool = False) -> DataFrame:
 
 
 def supplier_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dense(supplier_months(spark, sf_dir), numeric=True)
+    return dense(supplier_months(spark, sf_dir), numeric=True, unique=True)
 
 
 def forward_return(h: int) -> Column:

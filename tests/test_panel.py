@@ -75,3 +75,14 @@ def test_proposer_is_seeded_and_avoids(spark):
     assert [a.propose([]).to_json() for _ in range(4)] == [b.propose([]).to_json() for _ in range(4)]
     avoided = {TemplateProposer(i).propose(["Neg(Pct(close,t))"]).name for i in range(12)}
     assert "reversal" not in avoided
+
+
+def test_a_panel_reads_the_order_lines_once(spark):
+    """Its plan begins at the stored bars: the lines are read by the one job that stores them."""
+    tracker = spark.sparkContext
+    tracker.setJobGroup("panel", "")
+    p = P.supplier_panel(spark, "/root/testdata/sf0.001")
+    read = len(tracker.statusTracker().getJobIdsForGroup("panel"))
+    plan = p._jdf.queryExecution().executedPlan().toString()
+    tracker.setLocalProperty("spark.jobGroup.id", None)
+    assert "lineitem" not in plan and "FileScan" not in plan and read >= 1 and p.count() > 0
