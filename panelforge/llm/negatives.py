@@ -156,10 +156,11 @@ class Positives(Walk):
         self.k, self.best = k, [(np.empty(0, np.int64), np.empty(0, np.int64))] * len(self.ids)
 
     def needed(self, i: int, low: np.ndarray, high: np.ndarray, start: int, end: int) -> np.ndarray:
-        scores = self.best[i][0]
-        if len(scores) < self.k:
-            return np.arange(start, end)
-        return start + np.flatnonzero(high[start:end] >= scores[-1])
+        scores, own = self.best[i][0], low[start:end]
+        least = scores[-1] if len(scores) == self.k else -np.inf
+        if len(own) > self.k:  # so many have at least this score, the anchor's own row left out
+            least = max(least, np.partition(own, len(own) - self.k - 1)[len(own) - self.k - 1])
+        return start + np.flatnonzero(high[start:end] >= least)
 
     def take(self, i: int, scores: np.ndarray, ids: np.ndarray) -> None:
         other = ids != self.ids[i]
