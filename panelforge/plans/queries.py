@@ -681,10 +681,10 @@ def _(spark, sf_dir):
 MEMBERS = ("reversal", "pressure", "price_volume", "calm", "range_place", "volume_noise", "low_rank", "heavy_reversal")
 
 
-def member_values(spark: SparkSession, sf_dir: str, shapes: tuple[str, ...] = MEMBERS) -> DataFrame:
+def member_values(spark: SparkSession, sf_dir: str, shapes: tuple[str, ...] = MEMBERS, panel: DataFrame | None = None) -> DataFrame:
     trees = {s: formula_of(s).tree(formula_of(s).arguments[0]) for s in shapes}
     # kept, as every metric reads it again
-    return factor_values(with_forward(P.supplier_panel(spark, sf_dir)), trees, ("fwd", "ret1")).persist()
+    return factor_values(with_forward(panel or P.supplier_panel(spark, sf_dir)), trees, ("fwd", "ret1")).persist()
 
 
 def member_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -986,8 +986,8 @@ BASKET = ("pressure", "price_volume", "range_place")
 HALFLIFE, WARM_UP = 12.0, 12
 
 
-def basket(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return combine.rank_normalized(member_values(spark, sf_dir, BASKET))
+def basket(spark: SparkSession, sf_dir: str, panel: DataFrame | None = None) -> DataFrame:
+    return combine.rank_normalized(member_values(spark, sf_dir, BASKET, panel))
 
 
 BASKET_SQL = f"{member_sql(BASKET)}, rk0 as (select *, {ranked('value', 'rv0')} from fv), ft as (select * exclude (value, rv0), coalesce(rv0 - 0.5, 0) \"value\" from rk0)"
@@ -1017,16 +1017,21 @@ def _(spark, sf_dir):
     return combine.weighted(b, combine.ewma_weights(b, HALFLIFE, WARM_UP, HORIZON)).select("date", "instrument", r6("pred").alias("pred"))
 
 
-def market(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = P.supplier_panel(spark, sf_dir)
-    return p.select("date", "date_idx", "instrument", P.daily_return().alias("ret")).withColumn("bench", F.col("ret"))
+def market(panel: DataFrame) -> DataFrame:
+    return panel.select("date", "date_idx", "instrument", P.daily_return().alias("ret")).withColumn("bench", F.col("ret"))
 
 
-def traded(spark: SparkSession, sf_dir: str) -> DataFrame:
+def traded(spark: SparkSession, sf_dir: str, panel: DataFrame) -> DataFrame:
     """Equal-weight predictions (to 9 places, so that ties are ties in any engine) where there is a close."""
-    pred = combine.equal_weight(basket(spark, sf_dir))
-    close = P.supplier_panel(spark, sf_dir).select("date_idx", "instrument", "close")
-    return pred.join(close, ["date_idx", "instrument"]).select("date", "date_idx", "instrument", "inst_ord", F.when(F.col("close").isNotNull(), F.round("pred", 9)).alias("pred")).persist()
+    pred = combine.equal_weight(basket(spark, sf_dir, panel))
+    close = panel.select("date_idx", "instrument", "close")
+    return pred.join(close, ["date_idx", "instrument"]).select("date", "date_idx", "instrument", "inst_ord", F.when(F.col("close").isNotNull(), F.round("pred", 9)).alias("pred"))
+
+
+def periodic_excess(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions and returns of one panel, worked out once each."""
+    panel = P.supplier_panel(spark, sf_dir)
+    return backtest.periodic(stored(traded(spark, sf_dir, panel)), stored(market(panel)), HORIZON)
 
 
 PERIODIC = f"""{EQUAL}, {_FILL}, tr as (select pr.date, date_idx, instrument, pr.inst_ord, case when "close" is not null then round(pred, 9) end pred from pr join panel using (date_idx, instrument)),
@@ -1044,12 +1049,12 @@ xs as (select dn.date, dn.date_idx, case when dn.since is null then 0.0 else coa
 
 @query("backtest_periodic", f"with {PERIODIC} select date, round(excess, 6) as excess from xs")
 def _(spark, sf_dir):
-    return backtest.periodic(traded(spark, sf_dir), market(spark, sf_dir), HORIZON).select("date", r6("excess").alias("excess"))
+    return periodic_excess(spark, sf_dir).select("date", r6("excess").alias("excess"))
 
 
 @query("backtest_summary", f"with {PERIODIC} select count(*) as days, round(avg(excess) * 252, 5) as aer, round(avg(excess) * 252 / (stddev_samp(excess) * sqrt(252.0)), 5) as ir from xs")
 def _(spark, sf_dir):
-    s = backtest.summary(backtest.periodic(traded(spark, sf_dir), market(spark, sf_dir), HORIZON))
+    s = backtest.summary(periodic_excess(spark, sf_dir))
     return s.select("days", F.round("aer", 5).alias("aer"), F.round("ir", 5).alias("ir"))
 
 
@@ -1140,11 +1145,12 @@ def _(spark, sf_dir):
 @query("backtest_dropn")
 def _(spark, sf_dir):
     """Both combinations side by side, each its own fold over time."""
-    b = basket(spark, sf_dir)
+    panel = P.supplier_panel(spark, sf_dir)
+    b = basket(spark, sf_dir, panel)
     runs = combine.equal_weight(b).withColumn("run_id", F.lit("equal")).unionByName(
         combine.weighted(b, combine.ewma_weights(b, HALFLIFE, WARM_UP, HORIZON)).withColumn("run_id", F.lit("ewma"))
     )
-    return backtest.top_k_drop_n(runs, market(spark, sf_dir), HORIZON)
+    return backtest.top_k_drop_n(runs, market(panel), HORIZON)
 
 
 @query(
