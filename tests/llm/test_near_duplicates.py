@@ -313,3 +313,79 @@ def test_recall_of_edits_anywhere_and_of_lines_that_repeat_themselves(spark, rep
         assert own >= 0.95 * len(pairs), (kind, own)
         at, got, all_ = at + 2 * len(pairs), got + own, all_ + len(pairs)
     assert got >= 0.99 * all_, (got, all_)
+
+
+def rare(seed, n):
+    rng = random.Random(seed)
+    return [f"{rng.choice('bdfgklmnprst')}{rng.randrange(10**6)}" for _ in range(n)]
+
+
+def over(r, first, last):
+    """Words of [first, last) that a row covers in its document."""
+    return max(0, min(r.last_word, last) - max(r.first_word, first))
+
+
+@pytest.mark.parametrize("share", [0.0, 0.06])
+def test_passages_whose_parts_overlap_in_earlier_documents(make, share):
+    """Three earlier documents hold 46 of 70 words each, two later ones hold all: these two must meet."""
+    texts, pairs = [], []
+    for case in range(20):
+        shared, n = rare(9000 + case, 70), len(texts)
+        for i, (p, q) in enumerate([(0, 46), (12, 58), (24, 70)]):
+            texts.append(rare(100_000 + 10 * case + i, 50) + shared[p:q] + rare(200_000 + 10 * case + i, 50))
+        for i in (3, 4):
+            said = edited(" ".join(shared), 50 * case + i, share if i == 4 else 0).split()
+            texts.append(rare(100_000 + 10 * case + i, 40 + i) + said + rare(200_000 + 10 * case + i, 40))
+        pairs.append((n + 4, n + 3))
+    got = passages.shared_passages(make([" ".join(t) for t in texts])).collect()
+    found = {(r.doc_id, r.source_id) for r in got if over(r, 44, 114) >= 50}
+    assert {(r.doc_id, r.source_id) for r in got} <= set(pairs) and len(found & set(pairs)) >= (20 if not share else 18)
+
+
+def test_recall_over_random_overlapping_parts_against_all_pairs(make):
+    """Drifting parts of one long text: each document's longest common part of 60 words or more with any earlier one is covered."""
+    rng, texts, parts = random.Random(12), [], []
+    for case in range(8):
+        long = rare(7000 + case, 260)
+        for i in range(10):
+            p, n = rng.randrange(0, 160), rng.randint(35, 100)
+            parts.append((case, p, p + n, 30 + i))
+            texts.append(rare(300_000 + 10 * case + i, 30 + i) + long[p : p + n] + rare(400_000 + 10 * case + i, 30))
+    rows = passages.shared_passages(make([" ".join(t) for t in texts])).collect()
+    want = hit = 0
+    for j, (case, p, q, at) in enumerate(parts):
+        best = max([(min(q, q0) - max(p, p0), max(p, p0)) for c, p0, q0, _ in parts[:j] if c == case], default=(0, 0))
+        if best[0] >= 60:
+            want += 1
+            first = best[1] - p + at
+            hit += any(r.doc_id == j and over(r, first, first + best[0]) >= 50 for r in rows)
+    assert want >= 10 and hit >= 0.9 * want
+    for r in rows:  # nothing is reported that isn't shared
+        a, b = texts[r.source_id][r.source_first : r.source_last], texts[r.doc_id][r.first_word : r.last_word]
+        assert min(len(a), len(b)) >= 50 and len(set(a) & set(b)) >= 0.8 * max(len(a), len(b))
+
+
+def test_a_passage_that_stands_twice_in_a_document_is_two_rows(make):
+    shared = rare(1, 200)
+    first = rare(2, 80) + shared + rare(3, 40)
+    twice = rare(4, 50) + shared + rare(5, 80) + shared + rare(6, 30)
+    got = passages.shared_passages(make([" ".join(t) for t in (first, twice, rare(7, 300))])).collect()
+    assert sorted((r.doc_id, r.first_word, r.last_word) for r in got) == [(1, 50, 250), (1, 330, 530)]
+
+
+def test_nearest_matches_and_stretches():
+    a, b = np.array([1, 2, 3, 4, 5, 6, 9, 1, 2, 3, 4, 5], np.int32), np.array([7, 1, 2, 3, 4, 5, 8], np.int32)
+    for off, want in ((-1, 0), (6, 7), (100, 7), (-100, 0)):
+        x, y = passages.nearest(a, b, off)
+        assert (x.tolist(), y.tolist()) == ([want], [1])
+    x, y = passages.nearest(a, np.array([8] * 9, np.int32), 0)
+    assert not len(x) and not len(y)
+    rows = np.array([(10, 110, 50, 150), (30, 130, 80, 180), (900, 1000, 940, 1040), (10, 400, 50, 440)])
+    assert set(passages.stretches(*rows.T)) == {(10, 80, 110, 180), (10, 50, 400, 440), (900, 940, 1000, 1040)}
+
+
+def test_rows_of_a_document_of_many_partners_are_dealt_in_parts(make, monkeypatch):
+    monkeypatch.setattr(passages, "PART", 3)
+    shared = rare(11, 80)
+    docs = make([" ".join(rare(1000 + i, 30) + shared + rare(2000 + i, 20)) for i in range(12)])
+    assert {(r.doc_id, r.source_id, r.first_word, r.last_word) for r in passages.shared_passages(docs).collect()} == {(i, 0, 30, 110) for i in range(1, 12)}
