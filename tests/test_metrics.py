@@ -369,3 +369,11 @@ def test_period_reports(spark):
     assert reports.weight_summary(w, 2).first() == ("x", 0.25, 0.5)
     got = reports.cumulative(spark.createDataFrame([("x", 0, 0.1), ("x", 1, -0.5)], "factor_id string, date_idx int, ret double")).orderBy("date_idx").collect()
     assert np.allclose([q.total for q in got], [0.1, -0.45])
+
+
+def test_growth_keeps_its_digits_where_nearly_all_is_lost(spark):
+    from panelforge.operators import reports
+
+    rows = [("x", i, -0.999) for i in range(8)]
+    got = reports.cumulative(spark.createDataFrame(rows, "factor_id string, date_idx int, ret double")).orderBy("date_idx").collect()
+    assert [r.growth for r in got] == pytest.approx([0.001 ** (i + 1) for i in range(8)], rel=1e-9)
