@@ -377,3 +377,10 @@ def test_growth_keeps_its_digits_where_nearly_all_is_lost(spark):
     rows = [("x", i, -0.999) for i in range(8)]
     got = reports.cumulative(spark.createDataFrame(rows, "factor_id string, date_idx int, ret double")).orderBy("date_idx").collect()
     assert [r.growth for r in got] == pytest.approx([0.001 ** (i + 1) for i in range(8)], rel=1e-9)
+
+
+def test_dealt_values_are_ranked_without_an_exchange_and_with_one_sort(spark, values):
+    ranked = metrics.dealt(values.select("factor_id", "date", "value")).withColumn("rank", metrics.cs_rank("value"))
+    plan = ranked._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and plan.count("Sort [") == 1
+    assert ranked.rdd.getNumPartitions() == metrics.PARTS
