@@ -7,8 +7,8 @@ Inputs: pred (date, date_idx, instrument, inst_ord, pred) and returns (date, dat
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -96,40 +96,56 @@ def folded(batches: Iterator[pa.RecordBatch], k: int, n: int, cost: float, sizes
         cols = [pa.array([run] * m, pa.string()), pa.array([day] * m, pa.int32()), pa.array([None, *held], pa.string()), pa.array([due] + [0.0] * len(held))]
         return pa.record_batch(cols, ["run", "date_idx", "instrument", "due"])
 
-    def dates() -> Iterator[tuple[str, int, list[str]]]:
+    ids: dict[str, int] = {}
+
+    def dates() -> Iterator[tuple[str, int, np.ndarray]]:
         now, ranked = None, []
         for b in batches:
-            for run, day, s in zip(*(c.to_pylist() for c in b.columns)):
-                if (run, day) != now:
+            if not b.num_rows:
+                continue
+            runs, days = b.column(0).dictionary_encode(), b.column(1).to_numpy()
+            of = runs.indices.to_numpy()
+            code = np.fromiter((-1 if s is None else ids.setdefault(s, len(ids)) for s in b.column(2).to_pylist()), np.int64, b.num_rows)
+            cuts = [0, *(np.flatnonzero((of[1:] != of[:-1]) | (days[1:] != days[:-1])) + 1).tolist(), b.num_rows]
+            for i, j in zip(cuts, cuts[1:]):
+                if (key := (runs.dictionary[int(of[i])].as_py(), int(days[i]))) != now:
                     if now:
-                        yield *now, ranked
-                    now, ranked = (run, day), []
-                if s is not None:
-                    ranked.append(s)
+                        yield *now, np.concatenate(ranked)
+                    now, ranked = key, []
+                part = code[i:j]
+                ranked.append(part[part >= 0])
         if now:
-            yield *now, ranked
+            yield *now, np.concatenate(ranked)
+
+    def among(some: np.ndarray) -> np.ndarray:
+        mask = np.zeros(len(ids), bool)
+        mask[some] = True
+        return mask
 
-    last, held, due = None, [], 0.0
+    none = np.empty(0, np.int64)
+    last, held, due, names = None, none, 0.0, []
     for run, day, ranked in dates():
+        if len(names) < len(ids):
+            names = list(ids)
         if run == last:
-            yield book(run, day, held, due)
+            yield book(run, day, [names[i] for i in held.tolist()], due)
             due = 0.0
         else:
-            last, held, due = run, [], 0.0
+            last, held, due = run, none, 0.0
             k, n = (sizes or {}).get(run, (k, n))
-        if not ranked:
+        if not len(ranked):
             continue
         top = ranked[:k]
-        if not held:
+        if not len(held):
             held, due = top, cost
             continue
-        own, best = set(held), set(top)
-        place = {s: i for i, s in enumerate(ranked) if s in own}
-        sells = sorted((s for s in held if s not in best), key=lambda s: -place.get(s, len(ranked)))[:n]
-        buys = list(islice((s for s in ranked if s not in own), len(sells)))
-        if sells and buys:
-            sold = set(sells)
-            held = [s for s in held if s not in sold] + buys
+        place = np.full(len(ids), len(ranked))
+        place[ranked] = np.arange(len(ranked))
+        out = held[~among(top)[held]]
+        sells = out[np.argsort(-place[out], kind="stable")][:n]
+        buys = ranked[~among(held)[ranked]][: len(sells)]
+        if len(sells) and len(buys):
+            held = np.concatenate([held[~among(sells)[held]], buys])
             due = cost * (len(sells) + len(buys)) / max(len(held), 1)
 
 
