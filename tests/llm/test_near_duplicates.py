@@ -389,3 +389,16 @@ def test_rows_of_a_document_of_many_partners_are_dealt_in_parts(make, monkeypatc
     shared = rare(11, 80)
     docs = make([" ".join(rare(1000 + i, 30) + shared + rare(2000 + i, 20)) for i in range(12)])
     assert {(r.doc_id, r.source_id, r.first_word, r.last_word) for r in passages.shared_passages(docs).collect()} == {(i, 0, 30, 110) for i in range(1, 12)}
+
+
+def test_elections_go_on_where_one_finds_nothing(make):
+    """Many earlier documents hold two parts of a passage each, so that whichever is elected first has no passage with the last two."""
+    said, texts = rare(9, 66), []
+    for i in range(0, 36, 2):
+        for j in range(i + 30, 66, 2):
+            kept = {*range(i - 7, i + 12), *range(j - 7, j + 12)}
+            texts.append([w if k in kept else own for k, (w, own) in enumerate(zip(said, rare(1000 + 100 * i + j, 66)))])
+    decoys, other = len(texts), rare(2, 66)
+    texts += [rare(3, 40) + said + rare(4, 30), rare(5, 50) + [o if k % 12 == 11 else w for k, (w, o) in enumerate(zip(said, other))] + rare(6, 40)]
+    got = passages.shared_passages(make([" ".join(t) for t in texts])).collect()
+    assert any(r.doc_id == decoys + 1 and r.source_id == decoys and over(r, 50, 116) >= 50 for r in got)
