@@ -207,3 +207,16 @@ def test_shared_folder_is_needed_on_a_cluster_and_unsettled_components_raise(spa
 
     with pytest.raises(RuntimeError):
         components(spark.createDataFrame([(i, i + 1) for i in range(60)], "a long, b long"), most_rounds=1)
+
+
+def test_the_mixer_is_fitted_on_every_token_and_reruns_agree(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "FIT_ROWS", 200)
+    rows = [(bytearray(f"w{i}", "ascii"), 1 + 200_000 // (i + 1)) for i in range(1000)]
+    words = spark.createDataFrame(rows, "word binary, c long")
+    models = []
+    for _ in range(2):
+        m = mixing.Mixer(mixing.counted(words, 77))
+        seen = mixing.fitted(words, len(rows), 77, m)
+        assert seen == 8 * (sum(c * (len(w) + 1) for w, c in rows) + 77)
+        models.append(m)
+    assert (models[0].weights == models[1].weights).all() and (models[0].map == models[1].map).all()
