@@ -138,34 +138,45 @@ class Model:
 
         Texts are cut into lanes that are parsed side by side. A phrase that reaches over the end of a lane is
         followed into the next until a phrase ends where one ended there, too; from there on the next
-        lane's phrases are the text's. If that doesn't happen before its end, the text is parsed in one lane.
+        lane's phrases are the text's. If that doesn't happen before its end, and it isn't the text's last, the text is
+        parsed again in lanes four times as long, beside all others of which that is so; at last they are whole texts.
         """
         lane = lane or LANE
+        laid = self.laid(codes, lane)
+        return np.array([self.parsed_by(a, codes, lane, laid) for a in self.automata], np.int64).reshape(len(self.langs), len(codes))
+
+    @staticmethod
+    def laid(codes: list[np.ndarray], lane: int) -> tuple[np.ndarray, ...]:
+        """Lanes (columns, the longest first), their sizes, texts and how many reach each place; of each but a text's last, its column and
+        the next one's, and whether that is the last."""
         n = np.array([len(c) for c in codes], np.int64)
         pieces = -(-n // lane)
-        out = np.zeros((len(self.langs), len(codes)), np.int64)
         owner = np.repeat(np.arange(len(codes)), pieces)
-        if not len(owner):
-            return out
         place = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         size = np.minimum(lane, n[owner] - place * lane)
         order = np.argsort(-size, kind="stable")
         where = np.empty(len(order), np.int64)
         where[order] = np.arange(len(order))
-        high = int(size.max())
+        high = int(size.max(initial=0))
         flat, start = np.concatenate([*codes, np.zeros(high, np.int32)]), (np.cumsum(n) - n)[owner] + place * lane
         lanes = flat[start[order][None, :] + np.arange(high)[:, None]]
-        size, owner = size[order], owner[order]
-        many = np.searchsorted(-size, -np.arange(1, high + 1), "right")
-        before = np.flatnonzero(np.concatenate([place[1:] > 0, [False]]))  # pieces with another after them
-        for k, a in enumerate(self.automata):
-            new_phrase, state = self.starts(a, lanes, many)
-            np.add.at(out[k], owner, new_phrase.sum(0))
-            if len(before):
-                more, lost = self.run_on(a, lanes, size, new_phrase, where[before + 1], state[where[before]])
-                np.add.at(out[k], owner[where[before]], more)
-                for i in np.unique(owner[where[before[lost]]]):
-                    out[k, i] = self.starts(a, codes[i][:, None], np.ones(len(codes[i]), np.int64))[0].sum()
+        many = np.searchsorted(-size[order], -np.arange(1, high + 1), "right")
+        before = np.flatnonzero(place + 1 < pieces[owner])
+        return lanes, size[order], owner[order], many, where[before], where[before + 1], place[before] + 2 == pieces[owner[before]]
+
+    def parsed_by(self, a: Automaton, codes: list[np.ndarray], lane: int, laid: tuple[np.ndarray, ...]) -> np.ndarray:
+        lanes, size, owner, many, before, after, ends = laid
+        out = np.zeros(len(codes), np.int64)
+        if not len(owner):
+            return out
+        new_phrase, state = self.starts(a, lanes, many)
+        np.add.at(out, owner, new_phrase.sum(0))
+        if len(before):
+            more, lost = self.run_on(a, lanes, size, new_phrase, after, state[before])
+            np.add.at(out, owner[before], more)
+            if len(again := np.unique(owner[before[lost & ~ends]])):
+                some = [codes[i] for i in again]
+                out[again] = self.parsed_by(a, some, 4 * lane, self.laid(some, 4 * lane))
         return out
 
     def judge(self, texts: list[str]) -> tuple[list[str], list[float]]:

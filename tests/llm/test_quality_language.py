@@ -87,3 +87,15 @@ def test_lanes_do_not_change_results():
     whole = m.parsed(codes, 10**9)
     for lane in (1, 2, 8, 64, 512):
         assert (m.parsed(codes, lane) == whole).all()
+
+
+def test_texts_that_are_parsed_again_go_side_by_side(monkeypatch):
+    """Phrases that don't meet within a lane cost no pass of their own for each text, and none at all where the text ends."""
+    m = language.Model({"c": "ab" * 500})
+    codes = [m.coded("ab" * n) for n in (300, 400, 500, 600, 700)]
+    whole = m.parsed(codes, 10**9)
+    calls, starts = [], language.Model.starts
+    monkeypatch.setattr(language.Model, "starts", lambda self, a, lanes, many: calls.append(lanes.shape) or starts(self, a, lanes, many))
+    assert (m.parsed(codes, 1024) == whole).all() and len(calls) == 1
+    calls.clear()
+    assert (m.parsed(codes, 101) == whole).all() and len(calls) <= 4
