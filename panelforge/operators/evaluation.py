@@ -7,7 +7,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelforge.functions.stored import stored
 from panelforge.operators import backtest, combine, metrics
 from panelforge.operators.neutralize import in_universe, neutralize
 from panelforge.plans.compiler import factor_values
@@ -22,23 +21,25 @@ def features(panel: DataFrame, trees: Mapping[str, Node]) -> DataFrame:
     """factor_id, keys, value, fwd: each date's ranks, around 0, of the factors' values over the whole history.
 
     Neutralised and then cut to the universe, as far as ``panel`` has industry, log_mv and in_universe; missing ranks are 0, and fwd is
-    that of members only.
+    that of members only. Dealt by date, so that, once kept by ``persist``, neither ranks nor combinations of it need an exchange.
     """
     keep = tuple(c for c in ("fwd", "industry", "log_mv", "in_universe") if c in panel.columns)
-    values = neutralize(factor_values(panel, trees, keep))
+    values = neutralize(metrics.dealt(factor_values(panel, trees, keep), "date"))
     if "in_universe" in keep:
         values = in_universe(values).withColumn("fwd", F.when(F.col("in_universe"), F.col("fwd")))
     return combine.rank_normalized(values).select("factor_id", *CELL, "value", "fwd")
 
 
-def market(panel: DataFrame, returns: DataFrame) -> DataFrame:
+def market(panel: DataFrame, returns: DataFrame | None = None) -> DataFrame:
     """date_idx, instrument, ret, bench (members' returns), open (whether there is a close and the name is a member), fwd (members').
 
-    ``returns``: date_idx, instrument, ret.
+    ``returns``: date_idx, instrument, ret; without it ``panel`` has ret.
     """
     member = F.col("in_universe") if "in_universe" in panel.columns else F.lit(True)
-    cells = panel.select("date_idx", "instrument", F.when(member, F.col("fwd")).alias("fwd"), member.alias("__m"), (member & F.col("close").isNotNull()).alias("open"))
-    both = cells.join(returns.select("date_idx", "instrument", "ret"), ["date_idx", "instrument"], "left")
+    own = [F.when(member, F.col("fwd")).alias("fwd"), member.alias("__m"), (member & F.col("close").isNotNull()).alias("open")]
+    both = panel.select("date_idx", "instrument", *own, *(["ret"] if returns is None else []))
+    if returns is not None:
+        both = both.join(returns.select("date_idx", "instrument", "ret"), ["date_idx", "instrument"], "left")
     return both.withColumn("bench", F.when(F.col("__m"), F.col("ret"))).drop("__m")
 
 
@@ -57,7 +58,7 @@ def combined(features: DataFrame, factors: Sequence[str], sizes: Sequence[int],
         parts |= {("equal", n): F.avg(F.when(F.col("place") < n, F.col("value"))) for n in sizes}
     if "ewma" in models:
         past = combine.past_ic(features, halflife, least, horizon).select("factor_id", "date", "s")
-        placed = placed.join(past, ["factor_id", "date"])
+        placed = placed.join(F.broadcast(past), ["factor_id", "date"])  # a row for each factor and date
         for n in sizes:
             own = F.col("place") < n
             total, count = F.sum(F.when(own, F.col("s"))), F.sum(own.cast("int"))
@@ -86,6 +87,7 @@ def evaluate(
 
     Predictions only count where the instrument can be traded and is a member. A run is a model, size and period; statistics
     and backtests of all of them are keyed by it, and a backtest begins anew with its period. ``mode``: topk_dropn or periodic.
+    ``market`` should be a stored table.
     """
     named = F.filter(
         F.array(*(F.struct(F.lit(p).alias("period"), F.lit(a).alias("a"), F.lit(b).alias("b")) for p, (a, b) in periods.items())),
@@ -93,7 +95,7 @@ def evaluate(
     )
     runs = pred.join(market.select("date_idx", "instrument", "open", "fwd"), ["date_idx", "instrument"]).withColumn("p", F.explode(named))
     name = F.concat_ws("|", "model", "size", "p.period")
-    runs = stored(runs.select(name.alias("run_id"), *CELL, F.when(F.col("open"), F.col("pred")).alias("pred"), "fwd"))
+    runs = metrics.dealt(runs.select(name.alias("run_id"), *CELL, F.when(F.col("open"), F.col("pred")).alias("pred"), "fwd"), "run_id", "date").persist()
     values = runs.withColumnsRenamed({"run_id": "factor_id", "pred": "value"})
     ic = metrics.daily_ic(values).groupBy("factor_id").agg(F.avg("ic").alias("ic"))
     rank_ic = metrics.daily_rank_ic(values).groupBy("factor_id").agg(F.avg("ic").alias("rank_ic"))

@@ -44,6 +44,15 @@ def test_features_are_of_members_only(panel, parts):
     assert m.where("open").count() == panel.where("in_universe and close is not null").count()
 
 
+def test_kept_features_are_combined_without_an_exchange(panel):
+    f = evaluation.features(panel, {s: formula_of(s).tree(formula_of(s).arguments[0]) for s in SHAPES}).persist()
+    f.count()
+    for out in (combine.equal_weight(f), combine.table(f, list(SHAPES)), f.withColumn("r", metrics.cs_rank("value"))):
+        out.count()
+        assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString().split("InMemoryRelation")[0]
+    f.unpersist()
+
+
 def test_all_runs_equal_each_on_its_own(parts):
     f, m = parts
     for mode in ("periodic", "topk_dropn"):
