@@ -48,9 +48,11 @@ class WordTokens:
         self.parts: dict[str, bytes] = {}  # as the tokenizer splits them
 
     def __call__(self, text: str) -> bytes:
-        if not PLAIN.fullmatch(text):
+        flat = text.replace("\n", " ")
+        # printable ASCII without special strings is plain; other texts are looked at letter by letter
+        if not (flat.isascii() and flat.isprintable() and "oftext|>" not in flat) and not PLAIN.fullmatch(text):
             return np.asarray(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        words = text.replace("\n", " ").split(" ")
+        words = flat.split(" ")
         try:
             return b"".join(map(self.words.__getitem__, words))
         except KeyError:

@@ -220,3 +220,23 @@ def test_the_mixer_is_fitted_on_every_token_and_reruns_agree(spark, monkeypatch)
         assert seen == 8 * (sum(c * (len(w) + 1) for w, c in rows) + 77)
         models.append(m)
     assert (models[0].weights == models[1].weights).all() and (models[0].map == models[1].map).all()
+
+
+def test_mixer_takes_its_inputs_from_tables_of_log_odds():
+    rng = np.random.default_rng(3)
+    words = [bytes(rng.integers(97, 123, n).astype(np.uint8)) for n in rng.integers(1, 9, 300)]
+    counts = rng.integers(0, 40, (int(mixing._offsets[-1]), 2)).astype(np.float32)
+    model, text_word_contexts = mixing.Mixer(counts), mixing.spelt(words)
+    text, _, contexts = text_word_contexts
+    for node, bit in mixing.bits(text):
+        for held in (None, bit):
+            odds, gate = model.inputs(contexts, node, held)
+            seen = []
+            for k, s in enumerate(mixing.slots(contexts, node)):
+                n0, n1 = counts[s].T
+                if held is not None:
+                    n0, n1 = np.maximum(n0 - (held == 0), 0), np.maximum(n1 - (held == 1), 0)
+                assert np.allclose(odds[k], np.log((n1 + mixing.PRIOR) / (n0 + mixing.PRIOR)), atol=1e-6)
+                seen.append(np.minimum(np.log2(n0 + n1 + 1), 7).astype(int))
+            assert (gate == seen[5] * 8 + seen[4]).all()
+    assert not hasattr(model, "n") and len(model.odds) == len(counts)  # no logarithm is taken twice
