@@ -1,4 +1,5 @@
 import math
+import pickle
 import zlib
 from collections import Counter
 
@@ -239,4 +240,6 @@ def test_mixer_takes_its_inputs_from_tables_of_log_odds():
                 assert np.allclose(odds[k], np.log((n1 + mixing.PRIOR) / (n0 + mixing.PRIOR)), atol=1e-6)
                 seen.append(np.minimum(np.log2(n0 + n1 + 1), 7).astype(int))
             assert (gate == seen[5] * 8 + seen[4]).all()
-    assert not hasattr(model, "n") and len(model.odds) == len(counts)  # no logarithm is taken twice
+    made = model.tables.made
+    assert model.tables() is made  # no logarithm is taken twice
+    assert len(pickle.dumps(model)) < 200_000 and len(pickle.dumps(model.tables)) < counts.nbytes + 1000  # and none is sent
