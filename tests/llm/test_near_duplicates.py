@@ -3,6 +3,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from panelforge.llm import jaccard, lines, passages
 from panelforge.llm.common import components
@@ -402,3 +403,35 @@ def test_elections_go_on_where_one_finds_nothing(make):
     texts += [rare(3, 40) + said + rare(4, 30), rare(5, 50) + [o if k % 12 == 11 else w for k, (w, o) in enumerate(zip(said, other))] + rare(6, 40)]
     got = passages.shared_passages(make([" ".join(t) for t in texts])).collect()
     assert any(r.doc_id == decoys + 1 and r.source_id == decoys and over(r, 50, 116) >= 50 for r in got)
+
+
+def test_bitmaps_rule_out_pairs_that_are_not_near_and_no_others(spark):
+    rng = random.Random(21)
+    k, texts = lines.SHINGLE, []
+    for n in (12, 60, 300, 2000):
+        for share in (0.0, 0.005, 0.01, 0.02, 0.04, 0.08):
+            x = "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+            texts += [x, "".join(rng.choice("0123456789") if rng.random() < share else c for c in x), x + x[: n // 6]]
+    df = lines.lines_of(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    maps = lines.bitmaps(df.select("doc_id", "id", "line").dropDuplicates(["id"]), k)
+    of = df.dropDuplicates(["id"]).join(maps, "id").select("doc_id", F.struct("most", "bits").alias("of"))
+    pair = of.select(F.col("doc_id").alias("a"), F.col("of").alias("x")).join(of.select(F.col("doc_id").alias("b"), F.col("of").alias("y")), F.col("a") < F.col("b"))
+    may = {(r.a, r.b) for r in pair.where(lines.may_link("x", "y", lines.LEAST)).select("a", "b").collect()}
+    sets = {i: {t[j : j + k] for j in range(max(1, len(t) - k + 1))} for i, t in enumerate(texts)}
+    ids = {r.doc_id for r in of.select("doc_id").collect()}
+    alike = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, b in combinations(sorted(ids), 2)}
+    assert {p for p, j in alike.items() if j >= lines.LEAST} <= may
+    assert not {p for p, j in alike.items() if j < 0.5 and len(texts[p[0]]) < 500 and len(texts[p[1]]) < 500} & may
+
+
+def test_a_pair_that_meets_in_several_bands_is_compared_once(spark, monkeypatch):
+    """Lines that are alike but not near enough, all of one bucket or more: pairs grow by their number, not by that of the bands."""
+    rng, found = random.Random(22), []
+    base = "".join(rng.choice("abcdefghijklmnop ") for _ in range(70))
+    own = [base[: 4 * i + 8] + str(10 + i) + base[4 * i + 10 :] for i in range(12)]
+    df = lines.lines_of(spark.createDataFrame(list(enumerate(own)), "doc_id long, text string"))
+    sig = lines.signatures(df.select("id", "line"), lines.SHINGLE)
+    rooted = sig.select("id", "level", F.posexplode(lines.band_keys()).alias("band", "key"), F.col("id").alias("root"), F.lit(1).alias("weight"))
+    monkeypatch.setattr(type(df), "distinct", lambda self: found.append(self) or self)
+    pairs = lines._all_pairs(rooted, sig).collect()
+    assert found and len(pairs) == len(set(pairs)) > 0
