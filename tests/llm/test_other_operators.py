@@ -243,3 +243,34 @@ def test_mixer_takes_its_inputs_from_tables_of_log_odds():
     made = model.tables.made
     assert model.tables() is made  # no logarithm is taken twice
     assert len(pickle.dumps(model)) < 200_000 and len(pickle.dumps(model.tables)) < counts.nbytes + 1000  # and none is sent
+
+
+def test_every_byte_of_a_text_is_spelt_once_and_its_contexts_run_over_words():
+    import pyarrow as pa
+
+    texts = [b"The  river\tis a b\nStone, x", b"", b" \n", b"a", b"ab abc abcd \x00 z"]
+    t = mixing.Tokens(pa.array(texts, pa.binary()))
+    words = iter(t.word)
+    got = [[] for _ in texts]
+    for text, end, start in zip(t.text, t.end, t.start):
+        items = [mixing.start_item(int(start)), None if end else mixing.rest_item(t.kinds[int(next(words))].as_py())]
+        b, _, contexts = mixing.spelt([i for i in items if i])
+        got[text] += zip(b.tolist(), *(c.tolist() for c in contexts))
+    for text, rows in zip(texts, got):
+        stream = mixing.START + b"".join(w + b" " for w in text.lower().split()) + b" "
+        assert bytes(r[0] for r in rows) == stream[4:]
+        words = [m for m in stream[4:-1].split(b" ")[:-1]] + [b""]
+        own = np.concatenate([mixing.spelt([w])[2][5] for w in words]).tolist()
+        for i, r in enumerate(rows):
+            before = stream[:4 + i]
+            here = mixing.spelt([b" " + before[-4:] + stream[4 + i : 5 + i]])[2]
+            assert [r[1 + k] for k in range(5)] == [c[0] for c in here[:5]]
+            assert all((r[1 + k] != mixing.spelt([b" " + b"~" * (5 - k) + before[-k:][1:] + stream[4 + i : 5 + i]])[2][k][0]) for k in range(1, 5))
+            assert r[6] == own[i]
+    assert t.size.tolist() == [len(b"".join(w + b" " for w in x.split())) + 1 for x in texts]
+
+
+def test_the_order_of_words_counts(make):
+    docs = make([" ".join(["stone river", "lamp glass", "river lamp"][(i * 7 + j) % 3] for j in range(40)) for i in range(30)] + ["stone river lamp glass", "glass lamp river stone"])
+    got = {r.doc_id: r for r in mixing.lm_scores(docs, F.col("doc_id") < 30).collect()}
+    assert math.isclose(got[30].base_score, got[31].base_score, rel_tol=1e-9) and got[30].score > got[31].score + 0.5
