@@ -3,8 +3,8 @@
 Small (light) sets enumerate their subsets of the sizes that an overlap with a partner must have; equal
 subsets meet. Large (heavy) sets scan inverted lists: those of the first few tokens in an order that puts
 rare tokens first, since linked sets must share one of these. The boundary between the two is where the
-estimated costs cross. Sets that meet are joined into candidate groups, in which overlaps are counted
-exactly by scanning the group's own inverted lists.
+estimated costs cross. Of the sets that meet at a key, those whose bitmaps don't rule out a link are joined into candidate
+groups, in which overlaps are counted exactly by scanning the group's own inverted lists.
 """
 
 from __future__ import annotations
@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from panelforge.llm.common import U64, WordHasher, as_bytes, bit_set, components, grams, grouped, hashed, id_bits, mix, scratch, table, written
 
-#: Sets up to this size may be light; sets of one block of a large candidate group.
-MOST_LIGHT, BLOCK = 40, 1024
+#: Sets up to this size may be light; sets of one block of a large candidate group; log2 of the bits of a set's bitmap.
+MOST_LIGHT, BLOCK, BITS = 40, 1024, 10
 
 _hasher = WordHasher()
 
@@ -67,6 +67,34 @@ def boundary(sizes: dict[int, int], mean_list: float, num: int, den: int) -> int
     return best[1]
 
 
+def bitmap(mixed: np.ndarray) -> bytes:
+    """One bit for each of a set's mixed hashes; some have it in common."""
+    out = np.zeros(1 << BITS, bool)
+    out[mixed >> U64(64 - BITS)] = True
+    return np.packbits(out).tobytes()
+
+
+def may_link(n: np.ndarray, bits: np.ndarray, num: int, den: int, split: int | None = None) -> list[tuple[int, int]]:
+    """Pairs of places that connect all those whose sets may be linked, by their sizes and bitmaps (as rows of words).
+
+    A bit that one set alone has stands for an element that the other lacks, and of n + m elements of linked sets no more
+    than (den - num) / (den + num) are so. Each place is compared with those that aren't connected yet. ``split``: as in ``overlaps``.
+    """
+    free, out = np.arange(len(n)), []
+    while len(free):
+        waiting, free = [free[0]], free[1:]
+        while waiting and len(free):
+            i = waiting.pop()
+            others = free if split is None else free[(free >= split) != (i >= split)]
+            apart = np.bitwise_count(bits[others] ^ bits[i]).sum(1, dtype=np.int64)
+            alike = den * np.minimum(n[others], n[i]) >= num * np.maximum(n[others], n[i])
+            hit = others[alike & (apart * (den + num) <= (n[others] + n[i]) * (den - num))]
+            out += [(int(i), int(j)) for j in hit]
+            waiting += hit.tolist()
+            free = free[~np.isin(free, hit)] if len(hit) else free
+    return out
+
+
 def overlaps(sets: list[np.ndarray], split: int | None = None) -> Iterator[tuple[int, np.ndarray]]:
     """For each set, its overlap with every later one, counted along inverted lists.
 
@@ -128,24 +156,24 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
                 own, rest = v[v < share], v[v >= share]
                 short = missing(len(v), num, den) + 1 - len(own)
                 key = (int(m.sum(dtype=U64).view(np.int64)), int(np.bitwise_xor.reduce(m).view(np.int64)) if len(m) else 0)
-                out.append((doc, len(v), *key, own, rest[: max(short, 0)], v if len(v) <= MOST_LIGHT else None))
+                out.append((doc, len(v), *key, own, rest[: max(short, 0)], v if len(v) <= MOST_LIGHT else None, bitmap(m)))
             a = pa.list_(pa.int64())
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), a, a, a)
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), a, a, a, pa.binary())
             yield pa.record_batch(
-                [pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 7, kinds)], ["doc_id", "n", "d1", "d2", "own", "rest", "small"]
+                [pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 8, kinds)], ["doc_id", "n", "d1", "d2", "own", "rest", "small", "bits"]
             )
 
     with scratch(docs.sparkSession):
         read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), as_bytes().alias("b"))
         all_sets = written(
-            read.mapInArrow(sets, "doc_id long, n long, d1 long, d2 long, own array<long>, rest array<long>, small array<long>")
+            read.mapInArrow(sets, "doc_id long, n long, d1 long, d2 long, own array<long>, rest array<long>, small array<long>, bits binary")
         )
         ids = all_sets.select("doc_id", "n", "d1", "d2")
         reps = ids.where("n > 0 and doc_id is not null").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"))
         first = all_sets.join(reps.select(F.col("rep").alias("doc_id"), "n", "d1", "d2"), ["doc_id", "n", "d1", "d2"], "left_semi").dropDuplicates(
             ["doc_id", "n", "d1", "d2"]
         )
-        first = written(first.select(F.xxhash64("doc_id", "d1", "d2").alias("set"), "doc_id", "n", "own", "rest", "small"))
+        first = written(first.select(F.xxhash64("doc_id", "d1", "d2").alias("set"), "doc_id", "n", "own", "rest", "small", "bits"))
 
         entry = first.select("set", F.explode("own").alias("token"))
         counts = written(entry.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"))
@@ -175,8 +203,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
 
         light = first.where(F.col("n") * num < F.lit(x * den)).select("set", "doc_id", "small").mapInArrow(keys, "set long, doc_id long, key long")
         met = written(heavy.withColumn("kind", F.lit(0)).unionByName(light.withColumn("kind", F.lit(1))))
-        hubs = met.groupBy("kind", "key").agg(F.min("set").alias("a"), F.max("set").alias("z")).where("a <> z").select("kind", "key", "a")
-        groups = written(components(met.join(hubs, ["kind", "key"]).select("a", F.col("set").alias("b"))))
+        groups = written(components(_candidates(met, first, num, den)))
 
         links = written(_verified(read, first, groups, k, num, den))
         # ``whole``: found in one place, so that the smallest id is already known
@@ -192,22 +219,20 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
         )
 
 
-def _verified(read: DataFrame, first: DataFrame, groups: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Links (doc_id, root, whole) inside the candidate groups (node: set, root).
+def _units(member: DataFrame, num: int, den: int, *kept: str) -> DataFrame:
+    """Units of work (kept columns, unit, side, whole) for all pairs of ``member`` (grp, n, doc_id, ...) within their groups.
 
     A group of at most BLOCK sets is one unit of work. A larger one is cut by size class, as sets of
     distant sizes can't be linked, and by hash into blocks; each pair of blocks of the same or adjacent
     classes is a unit, so that no task holds more than two blocks.
     """
-    spark = read.sparkSession
-    member = first.select("set", "doc_id", "n").join(groups.select(F.col("node").alias("set"), F.col("root").alias("grp")), "set")
     member = member.withColumn("class", F.floor(F.log("n") / F.lit(1.000001 * math.log(den / num) if num < den else 1.0)))
     by_class = member.groupBy("grp", "class").agg(F.count("*").alias("m"))
     size = by_class.groupBy("grp").agg(F.sum("m").alias("size"))
     cut = written(by_class.join(size, "grp").withColumn("chunks", F.when(F.col("size") <= BLOCK, 0).otherwise(F.ceil(F.col("m") / F.lit(BLOCK)))))
     member = written(
         member.join(cut.drop("m", "size"), ["grp", "class"]).withColumn("chunk", F.when(F.col("chunks") > 0, F.pmod(F.xxhash64("doc_id", F.lit(7)), "chunks")))
-        .select("set", "doc_id", "grp", F.when(F.col("chunks") > 0, F.col("class")).alias("class"), "chunk")
+        .select(*kept, "grp", F.when(F.col("chunks") > 0, F.col("class")).alias("class"), "chunk")
     )
     block = cut.where("chunks > 0").select("grp", "class", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
     other = block.select("grp", F.col("class").alias("class2"), F.col("chunk").alias("chunk2"))
@@ -216,10 +241,41 @@ def _verified(read: DataFrame, first: DataFrame, groups: DataFrame, k: int, num:
     sides = pair.select("grp", "class", "chunk", "unit", F.lit(0).alias("side")).unionByName(
         pair.where("class2 <> class or chunk2 <> chunk").select("grp", F.col("class2").alias("class"), F.col("chunk2").alias("chunk"), "unit", F.lit(1).alias("side"))
     )
-    work = (
-        member.where("chunk is null").select("set", "doc_id", F.xxhash64("grp").alias("unit"), F.lit(0).alias("side"), F.lit(True).alias("whole"))
-        .unionByName(member.where("chunk is not null").join(sides, ["grp", "class", "chunk"]).select("set", "doc_id", "unit", "side", F.lit(False).alias("whole")))
+    return (
+        member.where("chunk is null").select(*kept, F.xxhash64("grp").alias("unit"), F.lit(0).alias("side"), F.lit(True).alias("whole"))
+        .unionByName(member.where("chunk is not null").join(sides, ["grp", "class", "chunk"]).select(*kept, "unit", "side", F.lit(False).alias("whole")))
     )
+
+
+def _candidates(met: DataFrame, first: DataFrame, num: int, den: int) -> DataFrame:
+    """Edges (a, b) between sets that meet at a key (kind, key, set) and whose bitmaps don't rule out a link.
+
+    A shingle that many texts say by chance connects none of them so, however long its list. Keys at which the same sets meet count once.
+    """
+    own = (F.bit_xor(F.xxhash64(F.lit(i), "set")).alias(f"x{i}") for i in range(2))
+    lists = met.groupBy("kind", "key").agg(F.count("*").alias("m"), F.min("set").alias("a"), F.max("set").alias("z"), *own).where("a <> z")
+    lists = written(lists.groupBy("m", "x0", "x1").agg(F.min(F.struct("kind", "key")).alias("at")).select("at.kind", "at.key"))
+    member = met.join(lists, ["kind", "key"]).select(F.xxhash64("kind", "key").alias("grp"), "set", "doc_id")
+    work = _units(member.join(first.select("set", "n"), "set"), num, den, "set")
+
+    def connected(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        t = t.sort_by("side")
+        name, side, n = (t.column(c).to_numpy() for c in ("set", "side", "n"))
+        bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), U64).reshape(len(n), -1)
+        pairs = may_link(n, bits, num, den, int((side == 0).sum()) if side.any() else None)
+        if pairs:
+            i, j = np.array(pairs).T
+            yield pa.record_batch([pa.array(name[i]), pa.array(name[j])], ["a", "b"])
+
+    rows = work.drop("whole").join(first.select("set", "n", "bits"), "set")
+    return written(grouped(rows, ["unit"], "a long, b long", connected))
+
+
+def _verified(read: DataFrame, first: DataFrame, groups: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Links (doc_id, root, whole) inside the candidate groups (node: set, root)."""
+    spark = read.sparkSession
+    member = written(first.select("set", "doc_id", "n").join(groups.select(F.col("node").alias("set"), F.col("root").alias("grp")), "set"))
+    work = _units(member, num, den, "set", "doc_id")
     bits = spark.sparkContext.broadcast(id_bits(member, "doc_id"))
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -435,3 +435,27 @@ def test_a_pair_that_meets_in_several_bands_is_compared_once(spark, monkeypatch)
     monkeypatch.setattr(type(df), "distinct", lambda self: found.append(self) or self)
     pairs = lines._all_pairs(rooted, sig).collect()
     assert found and len(pairs) == len(set(pairs)) > 0
+
+
+def test_shingles_said_by_chance_connect_no_candidates(spark, make, monkeypatch):
+    rng = random.Random(5)
+    said = [" ".join(rng.choice("abcdefgh") * 2 for _ in range(3)) for _ in range(60)]
+    texts = [" ".join(rng.sample(said, 8)) for _ in range(400)]  # every shingle is in many texts, next to no two are alike
+    texts += [t + " x" for t in texts[:5]]
+    sizes = []
+    verified = jaccard._verified
+    monkeypatch.setattr(jaccard, "_verified", lambda read, first, groups, *a: sizes.extend(groups.groupBy("root").count().toPandas()["count"]) or verified(read, first, groups, *a))
+    monkeypatch.setattr(jaccard, "BLOCK", 50)
+    docs = make(texts)
+    for k, num, den in ((3, 90, 100), (3, 60, 100)):
+        got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(docs.select("doc_id", "text"), k, num, den).collect()}
+        sets = [frozenset(zip(*(t.split()[i:] for i in range(k)))) for t in texts]
+        root = list(range(len(sets)))
+        for i in range(len(sets)):
+            for j in range(i):
+                if den * len(sets[i] & sets[j]) >= num * len(sets[i] | sets[j]):
+                    a, z = sorted((root[i], root[j]))
+                    root = [a if r == z else r for r in root]
+        assert [got[i] for i in range(len(sets))] == root
+        if num == 90:
+            assert 0 < max(sizes) < 40  # all that met at a key was one group of hundreds
