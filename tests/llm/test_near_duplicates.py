@@ -459,3 +459,19 @@ def test_shingles_said_by_chance_connect_no_candidates(spark, make, monkeypatch)
         assert [got[i] for i in range(len(sets))] == root
         if num == 90:
             assert 0 < max(sizes) < 40  # all that met at a key was one group of hundreds
+
+
+def test_a_word_is_hashed_once_for_a_run_of_texts(monkeypatch):
+    import pyarrow as pa
+    import xxhash
+
+    from panelforge.llm import mixing
+
+    texts = [b"River STONE\triver", b"", b"stone  \x00\xc3\x84b river\n", b"\n"]
+    seen, one = [], xxhash.xxh3_64_intdigest
+    monkeypatch.setattr(mixing.xxhash, "xxh3_64_intdigest", lambda w: seen.append(w) or one(w))
+    ((part, t),) = mixing.tokens(pa.array(texts, pa.binary()))
+    assert t.hashes().tolist() == [one(w) for x in texts for w in x.lower().split()] and t.count.tolist() == [3, 0, 3, 0]
+    assert sorted(seen) == sorted({w for x in texts for w in x.lower().split()})
+    monkeypatch.setattr(mixing, "TEXTS", 20)
+    assert [n for _, t in mixing.tokens(pa.array(texts, pa.binary())) for n in t.count.tolist()] == [3, 0, 3, 0]
